@@ -280,7 +280,7 @@ def _(v: Views):
 
 
 @query("rare_share", f"""
-SELECT count(*) - sum(r) AS content_driven, sum(r) AS rare_driven, round((count(*) - sum(r)) * 100.0::DOUBLE / count(*), 6) AS content_pct,
+SELECT CAST(count(*) - sum(r) AS BIGINT) AS content_driven, CAST(sum(r) AS BIGINT) AS rare_driven, round((count(*) - sum(r)) * 100.0::DOUBLE / count(*), 6) AS content_pct,
  round(sum(r) * 100.0::DOUBLE / count(*), 6) AS rare_pct
 FROM (SELECT CASE WHEN coalesce(c.n, 0) < 46 THEN 1 ELSE 0 END AS r
  FROM {TOP20_SQL} t LEFT JOIN (SELECT icao_location, count(*) AS n FROM v_pred WHERE icao_location IS NOT NULL GROUP BY 1) c

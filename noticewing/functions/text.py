@@ -17,7 +17,7 @@ _TERM = r"[\p{L}\p{N}_]{2,}"
 
 def strip(c: Column) -> Column:
     """Drop white space of every kind, newlines included, from both ends."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\r\x0b\x0c"))
 
 
 def is_blank(c: Column) -> Column:
