@@ -100,13 +100,15 @@ def fold_accents(c: Column) -> Column:
     return F.translate(c, "".join(plain), "".join(plain.values()))
 
 
-def terms(c: Column) -> Column:
-    """Unigrams and bigrams of the folded lower-case text, in text order, unigrams first."""
-    uni = F.regexp_extract_all(fold_accents(F.lower(c)), F.lit(_TERM), F.lit(0))
-    pairs = F.zip_with(F.slice(uni, F.lit(1), F.greatest(F.size(uni) - 1, F.lit(0))),
-                       F.slice(uni, F.lit(2), F.greatest(F.size(uni) - 1, F.lit(0))),
-                       lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.concat(uni, pairs)
+def unigrams(c: Column) -> Column:
+    """Tokens of two or more word characters of the folded lower-case text, in text order."""
+    return F.regexp_extract_all(fold_accents(F.lower(c)), F.lit(_TERM), F.lit(0))
+
+
+def bigrams(uni: Column) -> Column:
+    """Neighbouring tokens joined by one space."""
+    n = F.greatest(F.size(uni) - 1, F.lit(0))
+    return F.zip_with(F.slice(uni, F.lit(1), n), F.slice(uni, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
 
 
 def prompt_text(c: dict[str, Column]) -> Column:
