@@ -34,7 +34,8 @@ def vocabulary(df: DataFrame, text: str = "text", max_terms: int = MAX_TERMS, mi
     Rows of `df` are documents. Counts are combined on the map side, so only distinct terms travel.
     """
     n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    spread = term_counts(df.select(text), text).select(F.explode("terms").alias("t"))
+    # explode_outer: a plain explode adds a filter on the array's size, which computes the array twice
+    spread = term_counts(df.select(text), text).select(F.explode_outer("terms").alias("t")).where("t IS NOT NULL")
     counts = spread.groupBy("t.term").agg(F.count(F.lit(1)).alias("df"), F.sum("t.tf").alias("total"))
     kept = counts.where(F.col("df") >= min_df).orderBy(F.desc("total"), F.asc("term")).limit(max_terms)
     # max_terms rows at most: numbering them in one task is bounded

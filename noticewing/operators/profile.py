@@ -131,7 +131,8 @@ def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
 
 def word_counts(df: DataFrame, by: str = "criticality", stopwords: Sequence[str] = domain.STOPWORDS) -> DataFrame:
     """Occurrences per (class, word)."""
-    spread = df.select(by, F.explode(tx.words(F.col("text"))).alias("word"))
+    # explode_outer: a plain explode adds a filter on the array's size, which computes the array twice
+    spread = df.select(by, F.explode_outer(tx.words(F.col("text"))).alias("word")).where(F.col("word").isNotNull())
     return spread.where(~tx.is_stopword(F.col("word"), stopwords)).groupBy(by, "word").agg(_count().alias("n"))
 
 

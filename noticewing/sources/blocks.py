@@ -23,7 +23,7 @@ def read_blocks(spark: SparkSession, path, whole_files: bool = False) -> DataFra
     if whole_files:
         raw = spark.read.text(path, wholetext=True)
         parts = F.split("value", domain.BLOCK_SEPARATOR, -1)
-        return raw.select(*where, F.lit(0).cast("long").alias("block_start"), F.posexplode(parts).alias("seq", "block")).withColumn(
+        return raw.select(*where, F.lit(0).cast("long").alias("block_start"), F.posexplode_outer(parts).alias("seq", "block")).withColumn(
             "seq", F.col("seq").cast("long")
         )
     raw = spark.read.text(path, lineSep=domain.BLOCK_SEPARATOR)

@@ -57,8 +57,8 @@ def brief_lines(scored: DataFrame, generated_at: str | None = None, pos: str = "
         none = F.array(*top, F.lit("  None."), F.lit(""))
         sections.append(F.struct(F.lit(i).alias("section"), F.when(F.col(lv) == 0, none).otherwise(F.array(*top)).alias("lines")))
     fixed = (
-        per_route.select("route", F.explode(F.array(*sections)).alias("s"))
-        .select("route", F.col("s.section").alias("section"), F.lit(-1).cast("long").alias("pos"), F.posexplode("s.lines").alias("line_no", "line"))
+        per_route.select("route", F.explode_outer(F.array(*sections)).alias("s"))
+        .select("route", F.col("s.section").alias("section"), F.lit(-1).cast("long").alias("pos"), F.posexplode_outer("s.lines").alias("line_no", "line"))
     )
     entry = lines(
         "-" * _W,
@@ -69,7 +69,7 @@ def brief_lines(scored: DataFrame, generated_at: str | None = None, pos: str = "
         "-" * _W, tx.strip(F.col("text")), "",
     )
     body = scored.where(level.isin(*domain.LEVELS)).select(
-        "route", (tx.level_order(level) + 1).alias("section"), F.col(pos).cast("long").alias("pos"), F.posexplode(entry).alias("line_no", "line")
+        "route", (tx.level_order(level) + 1).alias("section"), F.col(pos).cast("long").alias("pos"), F.posexplode_outer(entry).alias("line_no", "line")
     )
     return fixed.unionByName(body)
 

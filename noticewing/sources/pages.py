@@ -158,7 +158,10 @@ def page_items(pages: DataFrame) -> DataFrame:
     ok = ~F.exists("_items", lambda i: F.size(i["problems"]) > 0)
     envelope = [F.try_variant_get("_doc", f"$.{k}", "int").alias(n) for k, n in ENVELOPE.items()]
     keys = [c for c in pages.columns if c != "body"]
-    return opened.select(*keys, *envelope, ok.alias("page_ok"), F.posexplode("_items").alias("item_pos", "_i")).select(
+    # *_outer: a plain explode adds a filter on the array's size, which parses and checks every page twice
+    return opened.select(*keys, *envelope, ok.alias("page_ok"), F.posexplode_outer("_items").alias("item_pos", "_i")).where(
+        "item_pos IS NOT NULL"
+    ).select(
         *keys, *ENVELOPE.values(), "page_ok", "item_pos", "_i.item", "_i.problems"
     )
 
@@ -257,7 +260,8 @@ def schema_drift(items: DataFrame) -> DataFrame:
 
     declared = {f"notam.{k}": "STRING" for k in domain.NOTICE_FIELDS}
     declared |= {"core.notamEvent": "OBJECT", "core.notam": "OBJECT", "core.notamTranslation": "ARRAY", "notamEvent.scenario": "BIGINT"}
-    seen = items.select(F.explode(F.concat(entries(NOTAM, "notam"), entries(CORE, "core"), entries(f"{CORE}.notamEvent", "notamEvent"))).alias("e"))
+    found = F.concat(entries(NOTAM, "notam"), entries(CORE, "core"), entries(f"{CORE}.notamEvent", "notamEvent"))
+    seen = items.select(F.explode_outer(found).alias("e")).where("e IS NOT NULL")
     path, kind, value = F.col("e.path"), F.col("e.kind"), F.col("e.value")
     want = F.lit(None).cast("string")
     for name, expected in declared.items():
