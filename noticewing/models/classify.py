@@ -75,19 +75,23 @@ class LinearModel:
 
 def fit_lr(
     df: DataFrame, vocab: tfidf.TfidfModel | None = None, key: str = "id", text: str = "text", label: str = "criticality",
-    c: float = 1.0, max_iter: int = 1000,
+    c: float = 1.0, max_iter: int = 1000, tol: float = 1e-4,
 ) -> LinearModel:
     """Balanced multinomial logistic regression with L2 penalty 1/(C n) on TF-IDF vectors."""
-    vocab = vocab or tfidf.TfidfModel.fit(df, text)
-    rows, n = balanced(df.select(key, label, text), label)
-    data = rows.select(key, "y", "weight").join(vocab.transform(rows, key, text), key).persist()
+    source = df.select(key, label, text).persist()
     try:
-        model = LogisticRegression(
-            labelCol="y", weightCol="weight", family="multinomial", regParam=1.0 / (c * n), elasticNetParam=0.0,
-            standardization=False, maxIter=max_iter,
-        ).fit(data)
+        vocab = vocab or tfidf.TfidfModel.fit(source, text)
+        rows, n = balanced(source, label)
+        data = rows.select(key, "y", "weight").join(vocab.transform(rows, key, text), key).persist()
+        try:
+            model = LogisticRegression(
+                labelCol="y", weightCol="weight", family="multinomial", regParam=1.0 / (c * n), elasticNetParam=0.0,
+                standardization=False, maxIter=max_iter, tol=tol,
+            ).fit(data)
+        finally:
+            data.unpersist()
     finally:
-        data.unpersist()
+        source.unpersist()
     matrix, bias = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
     # a level absent from the training rows can never be predicted
     k = len(LEVELS)
