@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 KEY = "spark.checkpoint.dir"
 
 
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="noticewing-")
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder under the one the cluster names in spark.checkpoint.dir.
 
@@ -20,8 +26,7 @@ def scratch(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"set {KEY} to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="noticewing-")
-        spark.conf.set(KEY, base)
+        base = _local_folder()
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
