@@ -198,6 +198,14 @@ def _(v: Views):
     return pages.schema_drift(pages.page_items(_pages(v)))
 
 
+@query("schema_inferred", """
+SELECT count(*) > 0 AS has_items, bool_or(pos % 17 = 3) AS has_bogus, bool_or(scope IS NOT NULL) AS has_scope, FALSE AS has_schedule FROM v_notices""")
+def _(v: Views):
+    inferred = pages.infer_schema(pages.page_items(_pages(v)))
+    seen = {"has_items": "coreNOTAMData", "has_bogus": "bogus: STRING", "has_scope": "scope: STRING", "has_schedule": "schedule"}
+    return inferred.select(*[F.col("schema").contains(text).alias(name) for name, text in seen.items()])
+
+
 # ---------------------------------------------------------------- airport files
 
 LINE_SQL = """CAST(pos AS VARCHAR) || ',"' || name || CASE WHEN pos % 13 = 0 THEN ', Intl' ELSE '' END || '","City","' || country || '",' ||

@@ -112,7 +112,8 @@ class Views:
 
     def notices(self) -> DataFrame:
         d = F.col("doc_id")
-        docs = self.table("documents").select("doc_id", "text", "lang", "source")
+        # The join needs this partitioning on large tables anyway; on one small file it spreads the texts.
+        docs = self.table("documents").select("doc_id", "text", "lang", "source").repartition("doc_id")
         events = self.table("events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
         return docs.join(events, F.col("event_id") == d).select(
             d.alias("pos"),

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticewing.plans import order as od
+from noticewing.plans import storage
 
 PERCENTILE = 0.95
 NODES = "tree int, node int, feature int, threshold double, left int, right int, size int, depth int"
@@ -84,7 +85,8 @@ class IsolationForestModel:
         """Fit on all rows: trees on hashed samples, offset from every training score."""
         nodes, psi = grow_forest(df, embedding, key, trees, psi, seed)
         model = cls(nodes, psi, 0.0)
-        scores = model.transform(df.select(key, embedding), embedding)
+        # written once, because the quantile reads the scores twice
+        scores = storage.written(model.transform(df.select(key, embedding), embedding).select("anomaly_score"))
         cut = od.exact_quantiles(scores, "anomaly_score", [1.0 - contamination]).first()
         return cls(nodes, psi, -float(cut["quantile"]))
 
@@ -158,7 +160,10 @@ def _arrays(nodes: pd.DataFrame) -> list[dict[str, np.ndarray]]:
 
 
 def flag(df: DataFrame, score: str = "anomaly_score", mode: str = "batch_percentile", out: str = "is_anomaly") -> DataFrame:
-    """Mark anomalies: above 0 for "fit_offset", at or above the batch's 95th percentile for "batch_percentile"."""
+    """Mark anomalies: above 0 for "fit_offset", at or above the batch's 95th percentile for "batch_percentile".
+
+    The percentile reads `df` twice more; write expensive scores to a table first.
+    """
     if mode == "fit_offset":
         return df.withColumn(out, F.col(score) > 0)
     if mode != "batch_percentile":

@@ -36,7 +36,8 @@ def waypoints(routes: DataFrame, n: int | None = None, gap_miles: float | None =
         raise ValueError("n must not be negative")
     inner = F.lit(n) if n is not None else F.floor(F.col("distance_miles") / F.lit(float(gap_miles))).cast("int")
     still = (F.col("dep_lat") == F.col("dst_lat")) & (F.col("dep_lon") == F.col("dst_lon"))
-    ends = route_length(routes).withColumn("_last", F.when(still, 0).otherwise(inner + 1))
+    # a narrow route row grows into many points, so routes are spread over the tasks first
+    ends = route_length(routes.repartition(key)).withColumn("_last", F.when(still, 0).otherwise(inner + 1))
     stepped = ends.withColumn("wp_idx", F.explode_outer(F.sequence(F.lit(0), F.col("_last"))))
     moved = stepped.withColumn(
         "_at",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from noticewing import domain
 from noticewing.models import classify, embed, iforest, split, tfidf
 from noticewing.operators import dedupe, filters, lookup, metrics, profile, ranking, spatial
+from noticewing.plans import storage
 from noticewing.sources import briefs, labels
 from noticewing.sources.models import Models
 
@@ -92,7 +93,8 @@ def score_batch(df: DataFrame, models: Models, encoder: embed.Encoder, key: str
     )
     vectors = encoder(active)
     forest = models.forest.transform(vectors).withColumnsRenamed({"criticality": "rf_criticality", "confidence": "rf_confidence"})
-    scored = models.isolation.transform(forest).drop("embedding").withColumn("rf_confidence", F.bround("rf_confidence", 3))
+    # Scored once and written: the percentile below and the result read the table, not the models again.
+    scored = storage.written(models.isolation.transform(forest).drop("embedding").withColumn("rf_confidence", F.bround("rf_confidence", 3)))
     flagged = iforest.flag(scored, mode="batch_percentile").withColumn("anomaly_score", F.bround("anomaly_score", 4))
     both = profile.consensus(flagged.join(linear, key)).withColumnRenamed(key, "notam_id")
     return both.select(pos, *RESULT)

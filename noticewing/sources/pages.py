@@ -240,6 +240,11 @@ def collect_union(*dfs: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dfs)
 
 
+def infer_schema(items: DataFrame) -> DataFrame:
+    """One row with the merged schema of all items seen, as text."""
+    return items.agg(F.schema_of_variant_agg("item").alias("schema"))
+
+
 def schema_drift(items: DataFrame) -> DataFrame:
     """Differences between the items seen and the declared schema: (path, issue, detail, n).
 
