@@ -11,7 +11,7 @@ from noticewing.catalog.views import Views
 from noticewing.functions import text as tx
 from noticewing.models import classify, embed, iforest, split, tfidf
 from noticewing.operators import filters
-from noticewing.plans import workflows
+from noticewing.plans import storage, workflows
 
 DIM = 64
 
@@ -60,7 +60,7 @@ def _(v: Views):
 
 
 def _parts(v: Views) -> tuple[DataFrame, DataFrame]:
-    parts = split.stratified_split(_training(v))
+    parts = storage.written(split.stratified_split(_training(v)))
     return parts.where(~F.col("is_test")), parts.where(F.col("is_test"))
 
 
@@ -95,7 +95,7 @@ def _(v: Views):
 
 @query("rf_predict")
 def _(v: Views):
-    parts = split.stratified_split(_vectors(v))
+    parts = storage.written(split.stratified_split(_vectors(v)))
     model = classify.fit_rf(parts.where(~F.col("is_test")))
     done = model.transform(parts.where(F.col("is_test")).withColumnRenamed("criticality", "y_true"))
     return done.select("id", "y_true", F.col("criticality").alias("y_pred"), "confidence")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -17,6 +18,8 @@ from noticewing.operators import metrics
 from noticewing.plans import order as od
 
 LEVELS = domain.LEVELS
+#: training rows one task holds
+ROWS_PER_TASK = 10_000
 
 
 def balanced(df: DataFrame, label: str = "criticality") -> tuple[DataFrame, int]:
@@ -30,6 +33,11 @@ def balanced(df: DataFrame, label: str = "criticality") -> tuple[DataFrame, int]
     return rows.where(F.col("y").isNotNull()), n
 
 
+def _even(df: DataFrame, n: int) -> DataFrame:
+    """Partitions of equal size for an iterative fit: each round waits for the largest."""
+    return df.repartition(max(1, math.ceil(n / ROWS_PER_TASK)))
+
+
 @dataclass
 class LinearModel:
     """Multinomial coefficients next to the vocabulary; scoring needs no vectors."""
@@ -82,7 +90,7 @@ def fit_lr(
     try:
         vocab = vocab or tfidf.TfidfModel.fit(source, text)
         rows, n = balanced(source, label)
-        data = rows.select(key, "y", "weight").join(vocab.transform(rows, key, text), key).persist()
+        data = _even(rows.select(key, "y", "weight").join(vocab.transform(rows, key, text), key), n).persist()
         try:
             model = LogisticRegression(
                 labelCol="y", weightCol="weight", family="multinomial", regParam=1.0 / (c * n), elasticNetParam=0.0,
@@ -131,8 +139,8 @@ def fit_rf(
     max_depth: int = 30, seed: int = 42,
 ) -> ForestModel:
     """Balanced random forest; 30 is the deepest a tree may grow here."""
-    rows, _n = balanced(df.select(label, embedding), label)
-    data = rows.withColumn("features", array_to_vector(F.col(embedding).cast("array<double>"))).persist()
+    rows, n = balanced(df.select(label, embedding), label)
+    data = _even(rows.withColumn("features", array_to_vector(F.col(embedding).cast("array<double>"))), n).persist()
     try:
         model = RandomForestClassifier(
             labelCol="y", weightCol="weight", numTrees=trees, maxDepth=max_depth, minInstancesPerNode=min_leaf,
