@@ -33,20 +33,21 @@ TOTAL_SQL = f"({PURPOSE_SQL}) + ({TYPE_SQL}) + ({CLASS_SQL}) + ({SCOPE_SQL})"
 
 
 @query("char_sets", """
-SELECT id, list_sort(list_distinct(string_split(purpose, ''))) AS purpose_set,
-       list_sort(list_distinct(string_split(scope, ''))) AS scope_set FROM v_notices""")
+SELECT id, array_to_string(list_sort(list_distinct(string_split(purpose, ''))), ',') AS purpose_set,
+       array_to_string(list_sort(list_distinct(string_split(scope, ''))), ',') AS scope_set FROM v_notices""")
 def _(v: Views):
-    sets = {f"{c}_set": F.array_sort(tx.char_set(F.col(c))) for c in ("purpose", "scope")}
+    sets = {f"{c}_set": F.array_join(F.array_sort(tx.char_set(F.col(c))), ",") for c in ("purpose", "scope")}
     return v.notices().select("id", *[e.alias(n) for n, e in sets.items()])
 
 
 @query("effective_end", """
-SELECT id, CASE WHEN pos % 6 = 0 THEN NULL WHEN pos % 6 = 1 THEN NULL ELSE date_trunc('second', issued) END AS effective_end,
+SELECT id, CASE WHEN pos % 6 = 0 THEN NULL WHEN pos % 6 = 1 THEN NULL ELSE strftime(issued, '%Y-%m-%d %H:%M:%S') END AS effective_end,
        pos % 6 = 0 AS is_permanent FROM v_notices""")
 def _(v: Views):
     iso = F.date_format("issued", "yyyy-MM-dd'T'HH:mm:ss'.000Z'")
     given = F.when(F.col("pos") % 6 == 0, "PERM").when(F.col("pos") % 6 == 1, "soon").otherwise(iso)
-    return v.notices().select("id", tx.effective_end(given).alias("e")).select("id", "e.*")
+    end = v.notices().select("id", tx.effective_end(given).alias("e")).select("id", "e.*")
+    return end.withColumn("effective_end", F.date_format("effective_end", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("strip_prefix", "SELECT id, classification, type FROM v_notices")

@@ -133,15 +133,16 @@ def _(v: Views):
 
 
 @query("flatten_notices", """
-SELECT id, 'A' || CAST(pos AS VARCHAR) || '/24' AS number, type, date_trunc('second', issued) AS issued, selection_code,
+SELECT id, 'A' || CAST(pos AS VARCHAR) || '/24' AS number, type, strftime(issued, '%Y-%m-%d %H:%M:%S') AS issued, selection_code,
  array_to_string(list_sort(list_distinct(string_split(purpose, ''))), '') AS purpose, series, classification,
- CASE WHEN pos % 6 <> 0 THEN date_trunc('second', issued) END AS effective_end, pos % 6 = 0 AS is_permanent,
+ CASE WHEN pos % 6 <> 0 THEN strftime(issued, '%Y-%m-%d %H:%M:%S') END AS effective_end, pos % 6 = 0 AS is_permanent,
  icao_location, text, 6000 AS scenario, 'A) ' || id AS formatted_text FROM v_notices""")
 def _(v: Views):
     valid, _quarantine = pages.validate_items(pages.page_items(_pages(v, defects=False)))
     flat = pages.flatten_notices(valid)
     chars = F.when(F.col("purpose").isNotNull(), F.concat_ws("", F.array_sort("purpose")))
-    return flat.select(
+    times = {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("issued", "effective_end")}
+    return flat.withColumns(times).select(
         "id", "number", "type", "issued", "selection_code", chars.alias("purpose"), "series", "classification", "effective_end",
         "is_permanent", "icao_location", "text", "scenario", F.col("translations")[0]["formatted_text"].alias("formatted_text"),
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from string import Formatter
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -111,23 +112,24 @@ def bigrams(uni: Column) -> Column:
     return F.zip_with(F.slice(uni, F.lit(1), n), F.slice(uni, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
 
 
+def fill(template: str, **values: Column | str) -> Column:
+    """The template with its {names} replaced by columns or constants."""
+    parts: list[Column] = []
+    for literal, name, _spec, _conversion in Formatter().parse(template):
+        if literal:
+            parts.append(F.lit(literal))
+        if name:
+            value = values[name]
+            parts.append(F.lit(value) if isinstance(value, str) else value.cast("string"))
+    return F.concat(*parts)
+
+
 def prompt_text(c: dict[str, Column]) -> Column:
-    """The per-notice question put to a labelling service; `c` maps field name to column."""
-
-    def field(name: str) -> Column:
-        return F.coalesce(c[name].cast("string"), F.lit("None"))
-
-    return F.concat(
-        F.lit("Flight: "), field("departure"), F.lit(" -> "), field("destination"),
-        F.lit("\n\nNOTAM:\nID: "), field("id"),
-        F.lit("\nType: "), strip_enum(field("type")),
-        F.lit("\nLocation: "), field("location"), F.lit(" (ICAO: "), field("icao_location"), F.lit(")"),
-        F.lit("\nClassification: "), strip_enum(field("classification")),
-        F.lit("\nSelection Code: "), field("selection_code"),
-        F.lit("\nEffective: "), field("effective_start"), F.lit(" to "), field("effective_end"),
-        F.lit("\nText: "), field("text"),
-        F.lit("\n\nReturn JSON only."),
-    )
+    """The per-notice question put to a labelling service; `c` maps field name to column, null prints 'None'."""
+    shown = {name: F.coalesce(value.cast("string"), F.lit("None")) for name, value in c.items()}
+    for coded in ("type", "classification"):
+        shown[coded] = strip_enum(shown[coded])
+    return fill(domain.PROMPT, **shown)
 
 
 def parse_reply(c: Column) -> Column:

@@ -39,10 +39,9 @@ def brief_lines(scored: DataFrame, generated_at: str | None = None, pos: str = "
         return F.array(*[c if not isinstance(c, str) else F.lit(c) for c in cols])
 
     both = (F.coalesce("departure", F.lit("")) != "") & (F.coalesce("destination", F.lit("")) != "")
-    title = F.when(both, F.concat("departure", F.lit(" -> "), "destination")).otherwise("NOTAM BRIEF")
+    title = F.when(both, F.concat("departure", F.lit(" -> "), "destination")).otherwise(domain.BRIEF_NO_ROUTE)
     head = lines(
-        "=" * _W, F.concat(F.lit("  NOTAM BRIEF  |  "), title, F.lit(f"  |  {now} UTC")),
-        F.format_string("  %d NOTAMs scored by ML pipeline", F.col("total")), "-" * _W,
+        "=" * _W, tx.fill(domain.BRIEF_TITLE, route=title, now=now), tx.fill(domain.BRIEF_TOTAL, total=F.col("total")), "-" * _W,
         *[F.concat(F.format_string(f"  {lv:<8} %4d  (", F.col(lv)), _share(F.col(lv), F.col("total")), F.lit("%)")) for lv in domain.LEVELS],
         F.concat(F.format_string("  Anomalies    %4d  (", F.col("anomalies")), _share(F.col("anomalies"), F.col("total")), F.lit("%)")),
         "=" * _W, "",
@@ -50,11 +49,9 @@ def brief_lines(scored: DataFrame, generated_at: str | None = None, pos: str = "
     sections = [F.struct(F.lit(0).alias("section"), head.alias("lines"))]
     for i, lv in enumerate(domain.LEVELS, start=1):
         top = [
-            F.lit("=" * _W),
-            F.concat(F.lit(f"  {domain.SECTION_TITLES[lv]}  —  "), F.col(lv).cast("string"), F.lit(" NOTAMs")),
-            F.lit("=" * _W),
+            F.lit("=" * _W), tx.fill(domain.BRIEF_SECTION, title=domain.SECTION_TITLES[lv], count=F.col(lv)), F.lit("=" * _W),
         ]
-        none = F.array(*top, F.lit("  None."), F.lit(""))
+        none = F.array(*top, F.lit(domain.BRIEF_NONE), F.lit(""))
         sections.append(F.struct(F.lit(i).alias("section"), F.when(F.col(lv) == 0, none).otherwise(F.array(*top)).alias("lines")))
     fixed = (
         per_route.select("route", F.explode_outer(F.array(*sections)).alias("s"))
@@ -62,9 +59,9 @@ def brief_lines(scored: DataFrame, generated_at: str | None = None, pos: str = "
     )
     entry = lines(
         "-" * _W,
-        F.concat(
-            F.lit("  "), "notam_id", F.lit("  |  "), level, F.when(F.col("is_anomaly"), "  [ANOMALY]").otherwise(""),
-            F.lit("  |  conf="), F.bround(F.col("rf_confidence") * 100, 0).cast("int").cast("string"), F.lit("%"),
+        tx.fill(
+            domain.BRIEF_ENTRY, id=F.col("notam_id"), level=level, flag=F.when(F.col("is_anomaly"), domain.BRIEF_ANOMALY).otherwise(""),
+            conf=F.bround(F.col("rf_confidence") * 100, 0).cast("int"),
         ),
         "-" * _W, tx.strip(F.col("text")), "",
     )
