@@ -66,14 +66,16 @@ def inverse(lat1, lon1, lat2, lon2, rounds: int = 200):
             cos_2m = np.where(cos_sq == 0, 0.0, cos_s - 2 * su1 * su2 / cos_sq)
             c = _F / 16 * cos_sq * (4 + _F * (4 - 3 * cos_sq))
             new = diff + (1 - c) * _F * sin_a * (sigma + c * sin_s * (cos_2m + c * cos_s * (-1 + 2 * cos_2m**2)))
-            settled = same | (np.abs(new - lam) < 1e-14)
+            # sigma and the azimuth belong to the longitude before the last step, so one more round follows
+            finished = settled.all()
+            settled = same | (np.abs(new - lam) < 1e-13)
             lam = new
-            if settled.all():
+            if finished:
                 break
         big_a, big_b = _series(cos_sq)
         metres = _B * big_a * (sigma - _delta_sigma(big_b, sin_s, cos_s, cos_2m))
         bearing = np.degrees(np.arctan2(cu2 * np.sin(lam), cu1 * su2 - su1 * cu2 * np.cos(lam)))
-    metres = np.where(settled | (np.abs(lam) <= np.pi), metres, np.nan)
+    metres, bearing = np.where(settled, metres, np.nan), np.where(settled, bearing, np.nan)
     return np.where(same, 0.0, metres), np.where(same, 0.0, bearing)
 
 

@@ -37,6 +37,13 @@ def test_waypoints_are_even_and_follow_the_geodesic(spark):
     assert np.abs(bearing + 86.110).max() < 1
 
 
+def test_antipodal_ends_fail_loudly(spark):
+    metres, _ = geo.inverse([0.0, JFK[0]], [0.0, JFK[1]], [0.5, LAX[0]], [179.7, LAX[1]])
+    assert np.isnan(metres[0]) and metres[1] / geo.METRES_PER_MILE == pytest.approx(2474.884, abs=1e-3)
+    with pytest.raises(Exception, match="antipodal"):
+        spatial.waypoints(_route(spark, (0.0, 0.0), (0.5, 179.7)), n=3).collect()
+
+
 def test_same_airport_and_bad_gap(spark):
     assert spatial.waypoints(_route(spark, JFK, JFK), n=7).count() == 1
     for gap in (0, -1.0):
