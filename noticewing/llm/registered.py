@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticewing.llm import bpe, lines, minhash, packing, quality, severity, sharding
+from noticewing.llm import bpe, lines, minhash, packing, quality, severity, sharding, substrings
 from noticewing.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,6 +62,12 @@ def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(read_table(spark, sf_dir, "documents").select("doc_id", "text"), 0.8)
 
 
+@query("op8_substrings")
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.window_report(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(F.col("_id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
 @query("op9_toxicity")
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
