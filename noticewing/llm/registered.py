@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticewing.llm import bpe, lines, minhash, packing, quality, severity, sharding, substrings
+from noticewing.llm import bpe, hyperplanes, lines, minhash, packing, quality, severity, sharding, substrings
 from noticewing.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,26 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(docs, tokenizer_path("byte_bpe_50k.json")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+@query("op5_vectors", """
+WITH v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), n AS (SELECT *, sqrt(list_inner_product(e, e)) AS norm FROM v),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id
+    AND len(a.e) = len(b.e) AND list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.98
+), r AS (
+  WITH RECURSIVE c(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT c.a, l.b FROM c JOIN l ON c.b = l.a)
+  SELECT a, min(b) AS component FROM c GROUP BY a
+), k AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(k.n, 0) AS n_links, r.component AS component_id, vec_id = r.component AS kept
+FROM embeddings JOIN r ON r.a = vec_id LEFT JOIN k ON k.a = vec_id
+""")
+def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperplanes.near_vectors(read_table(spark, sf_dir, "embeddings"), 0.98)
+
+
 @query("op6_quality")
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
