@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticewing.llm import bpe, hyperplanes, lines, minhash, packing, quality, severity, sharding, substrings
+from noticewing.llm import bpe, hyperplanes, lines, minhash, packing, postings, quality, severity, sharding, substrings
 from noticewing.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+@query("op2_nearest")
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postings.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 @query("op3_minhash")
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.duplicate_report(read_table(spark, sf_dir, "documents").select("doc_id", "text"), 0.8)
