@@ -53,7 +53,7 @@ def _(v: Views):
 @query("strip_prefix", "SELECT id, classification, type FROM v_notices")
 def _(v: Views):
     printed = v.notices().select(
-        "id", F.concat(F.lit("Classification."), "classification").alias("c"), F.concat(F.lit("NotamType."), "type").alias("t")
+        "id", F.concat(F.lit("Classification."), "classification").alias("c"), F.concat(F.lit(domain.TYPE_PREFIX), "type").alias("t")
     )
     return printed.select("id", tx.strip_enum(F.col("c")).alias("classification"), tx.strip_enum(F.col("t")).alias("type"))
 
@@ -93,16 +93,16 @@ def _(v: Views):
 
 
 @query("prompt_text", """
-SELECT id, route, 'Flight: ' || departure || ' -> ' || destination || chr(10) || chr(10) || 'NOTAM:' || chr(10) || 'ID: ' || id || chr(10)
- || 'Type: ' || type || chr(10) || 'Location: ' || coalesce(icao_location, 'None') || ' (ICAO: ' || coalesce(icao_location, 'None') || ')' || chr(10)
- || 'Classification: ' || classification || chr(10) || 'Selection Code: ' || coalesce(selection_code, 'None') || chr(10)
- || 'Effective: ' || strftime(issued, '%Y-%m-%d %H:%M:%S') || ' to PERM' || chr(10) || 'Text: ' || text || chr(10) || chr(10)
- || 'Return JSON only.' AS prompt FROM v_route_notices""")
+SELECT id, route, 'How much does this notice matter to a flight from ' || departure || ' to ' || destination || '?' || chr(10) || chr(10)
+ || id || ', type ' || type || ', class ' || classification || chr(10) || 'At ' || coalesce(icao_location, 'None') || ', ICAO code '
+ || coalesce(icao_location, 'None') || ', selection code ' || coalesce(selection_code, 'None') || chr(10)
+ || 'In force from ' || strftime(issued, '%Y-%m-%d %H:%M:%S') || ' until PERM' || chr(10) || chr(10) || text || chr(10) || chr(10)
+ || 'Answer with one JSON object.' AS prompt FROM v_route_notices""")
 def _(v: Views):
     df = v.route_notices()
     cols = {c: F.col(c) for c in ("departure", "destination", "id", "selection_code", "text")}
     cols |= {
-        "type": F.concat(F.lit("NotamType."), "type"), "classification": F.concat(F.lit("Classification."), "classification"),
+        "type": F.concat(F.lit(domain.TYPE_PREFIX), "type"), "classification": F.concat(F.lit("Classification."), "classification"),
         "location": F.col("icao_location"), "icao_location": F.col("icao_location"),
         "effective_start": F.date_format("issued", "yyyy-MM-dd HH:mm:ss"), "effective_end": F.lit("PERM"),
     }
@@ -110,13 +110,13 @@ def _(v: Views):
 
 
 @query("label_parse", """
-SELECT notam_id, attempt, NOT bad AS ok,
+SELECT notice_id, attempt, NOT bad AS ok,
  CASE WHEN bad THEN NULL WHEN pos % 100 < 8 THEN 'HIGH' WHEN pos % 17 = 0 THEN 'INFO' ELSE 'LOW' END AS criticality,
  CASE WHEN bad THEN NULL WHEN pos % 19 = 0 THEN 100 ELSE pos % 100 END AS score,
  CASE WHEN bad THEN NULL ELSE 'r' || CAST(attempt AS VARCHAR) END AS reason
 FROM (SELECT *, pos % 23 = 0 AND pos % 19 <> 0 AS bad FROM v_replies) r""")
 def _(v: Views):
-    return v.replies().select("notam_id", "attempt", tx.parse_reply(F.col("reply")).alias("l")).select("notam_id", "attempt", "l.*")
+    return v.replies().select("notice_id", "attempt", tx.parse_reply(F.col("reply")).alias("l")).select("notice_id", "attempt", "l.*")
 
 
 @query("route_tag", "SELECT route, id, departure, destination FROM v_route_notices")
@@ -125,9 +125,9 @@ def _(v: Views):
 
 
 @query("consensus", """
-SELECT notam_id, y_pred2 AS lr_criticality, y_pred AS rf_criticality, y_pred = y_pred2 AS models_agree, y_pred AS final_criticality FROM v_pred""")
+SELECT notice_id, y_pred2 AS lr_criticality, y_pred AS rf_criticality, y_pred = y_pred2 AS models_agree, y_pred AS final_criticality FROM v_pred""")
 def _(v: Views):
-    df = v.pred().select("notam_id", F.col("y_pred2").alias("lr_criticality"), F.col("y_pred").alias("rf_criticality"))
+    df = v.pred().select("notice_id", F.col("y_pred2").alias("lr_criticality"), F.col("y_pred").alias("rf_criticality"))
     return profile.consensus(df)
 
 
@@ -241,7 +241,7 @@ def _(v: Views):
     return spatial.radius_join(notices, points, 30.0).select("icao", "id", F.round("distance_nm", 6).alias("distance_nm"))
 
 
-STORE_SQL = "(SELECT notam_id FROM v_labels WHERE reason NOT LIKE 'LABELING_FAILED%')"
+STORE_SQL = "(SELECT notice_id FROM v_labels WHERE reason NOT LIKE 'LABELING_FAILED%')"
 
 
 def _store(v: Views):
@@ -262,7 +262,7 @@ def _(v: Views):
 
 @query("labeled", """
 SELECT n.id, n.route, n.departure, n.destination, n.icao_location, n.classification, n.selection_code, n.text,
- l.criticality, l.score, l.reason FROM v_route_notices n JOIN v_labels l ON l.notam_id = n.id""")
+ l.criticality, l.score, l.reason FROM v_route_notices n JOIN v_labels l ON l.notice_id = n.id""")
 def _(v: Views):
     return lookup.attach_labels(v.route_notices(), v.labels())
 
@@ -271,13 +271,13 @@ TOP20_SQL = "(SELECT * FROM v_pred ORDER BY anomaly_score DESC, pos LIMIT 20)"
 
 
 @query("rare_airport", f"""
-SELECT t.notam_id, t.icao_location, coalesce(c.n, 0) AS airport_total, coalesce(c.n, 0) < 46 AS likely_rare
+SELECT t.notice_id, t.icao_location, coalesce(c.n, 0) AS airport_total, coalesce(c.n, 0) < 46 AS likely_rare
 FROM {TOP20_SQL} t LEFT JOIN (SELECT icao_location, count(*) AS n FROM v_pred WHERE icao_location IS NOT NULL GROUP BY 1) c
 ON c.icao_location = t.icao_location""")
 def _(v: Views):
     pred = v.pred()
     top = profile.nlargest(pred, "anomaly_score", 20, "pos")
-    return lookup.rare_airports(top, pred, threshold=46).select("notam_id", "icao_location", "airport_total", "likely_rare")
+    return lookup.rare_airports(top, pred, threshold=46).select("notice_id", "icao_location", "airport_total", "likely_rare")
 
 
 @query("rare_share", f"""
@@ -292,12 +292,12 @@ def _(v: Views):
 
 
 @query("feature_align", """
-SELECT l.notam_id AS id, l.criticality, e.label AS vector_label, len(e.embedding) AS dims
-FROM v_labels l JOIN embeddings e ON l.notam_id = 'NOTAM_1_' || CAST(e.vec_id AS VARCHAR)""")
+SELECT l.notice_id AS id, l.criticality, e.label AS vector_label, len(e.embedding) AS dims
+FROM v_labels l JOIN embeddings e ON l.notice_id = 'ENTRY_1_' || CAST(e.vec_id AS VARCHAR)""")
 def _(v: Views):
-    labels = v.labels().select(F.col("notam_id").alias("id"), "criticality")
+    labels = v.labels().select(F.col("notice_id").alias("id"), "criticality")
     vectors = v.table("embeddings").select(
-        F.concat(F.lit("NOTAM_1_"), F.col("vec_id").cast("string")).alias("id"), F.col("label").alias("vector_label"),
+        F.concat(F.lit("ENTRY_1_"), F.col("vec_id").cast("string")).alias("id"), F.col("label").alias("vector_label"),
         F.size("embedding").alias("dims"),
     )
     return lookup.align_features(labels, vectors)
@@ -345,15 +345,15 @@ def _(v: Views):
 
 
 @query("first_success", """
-SELECT notam_id, coalesce(max(criticality), 'INFO') AS criticality, coalesce(max(score), 0) AS score,
+SELECT notice_id, coalesce(max(criticality), 'INFO') AS criticality, coalesce(max(score), 0) AS score,
  coalesce(max(reason), 'LABELING_FAILED: ' || CASE WHEN bool_or(status = 400) THEN 'HTTP 400' WHEN bool_or(status = 200) THEN 'invalid reply' ELSE 'None' END) AS reason,
  max(won) AS attempt
-FROM (SELECT *, good AND attempt = min(CASE WHEN good THEN attempt END) OVER (PARTITION BY notam_id) AS first FROM
+FROM (SELECT *, good AND attempt = min(CASE WHEN good THEN attempt END) OVER (PARTITION BY notice_id) AS first FROM
   (SELECT *, status = 200 AND NOT (pos % 23 = 0 AND pos % 19 <> 0) AS good FROM v_replies) g) h,
  LATERAL (SELECT CASE WHEN first THEN CASE WHEN pos % 100 < 8 THEN 'HIGH' WHEN pos % 17 = 0 THEN 'INFO' ELSE 'LOW' END END AS criticality,
   CASE WHEN first THEN CASE WHEN pos % 19 = 0 THEN 100 ELSE pos % 100 END END AS score,
   CASE WHEN first THEN 'r' || CAST(attempt AS VARCHAR) END AS reason, CASE WHEN first THEN attempt END AS won) z
-GROUP BY notam_id""")
+GROUP BY notice_id""")
 def _(v: Views):
     return dedupe.first_success(v.replies())
 
@@ -378,8 +378,8 @@ def _(v: Views):
 
 
 @query("label_summary", f"""
-SELECT l.lv AS criticality, count(x.notam_id) AS n, round(count(x.notam_id) * 100.0::DOUBLE / t.total, 6) AS pct,
- repeat('█', CAST(floor(count(x.notam_id) * 100.0::DOUBLE / t.total / 2) AS INT)) AS bar, t.failed, count(x.notam_id) < 50 AS warning
+SELECT l.lv AS criticality, count(x.notice_id) AS n, round(count(x.notice_id) * 100.0::DOUBLE / t.total, 6) AS pct,
+ repeat('█', CAST(floor(count(x.notice_id) * 100.0::DOUBLE / t.total / 2) AS INT)) AS bar, t.failed, count(x.notice_id) < 50 AS warning
 FROM (VALUES {LEVEL_VALUES}) l(lv) CROSS JOIN (SELECT count(*) AS total, count(*) FILTER (WHERE reason LIKE 'LABELING_FAILED%') AS failed FROM v_labels) t
 LEFT JOIN v_labels x ON x.criticality = l.lv GROUP BY l.lv, t.total, t.failed""")
 def _(v: Views):
@@ -511,9 +511,17 @@ def _flagged(v: Views):
     return iforest.flag(v.pred().withColumnRenamed("y_true", "criticality"), "anomaly_score", mode="batch_percentile")
 
 
-@query("percentile_flag", f"SELECT notam_id, is_anomaly FROM {FLAGGED_SQL} t")
+@query("percentile_flag", f"SELECT notice_id, is_anomaly FROM {FLAGGED_SQL} t")
 def _(v: Views):
-    return _flagged(v).select("notam_id", "is_anomaly")
+    return _flagged(v).select("notice_id", "is_anomaly")
+
+
+@query("percentile_flag_by_route", """
+SELECT route, notice_id, anomaly_score >= quantile_cont(anomaly_score, 0.95) OVER (PARTITION BY route) AS is_anomaly FROM v_scored""")
+def _(v: Views):
+    from noticewing.models import iforest
+
+    return iforest.flag(v.scored(), mode="batch_percentile", by="route").select("route", "notice_id", "is_anomaly")
 
 
 @query("score_quantiles", """
@@ -548,18 +556,18 @@ SELECT y_true AS criticality, p.prob, round(quantile_cont(anomaly_score, 0.25) F
  round(quantile_cont(anomaly_score, 0.5) FILTER (WHERE p.prob = 0.5), 9) AS q50, round(quantile_cont(anomaly_score, 0.75) FILTER (WHERE p.prob = 0.75), 9) AS q75
 FROM v_pred CROSS JOIN (VALUES (0.25::DOUBLE), (0.5), (0.75)) p(prob) GROUP BY 1, 2""")
 def _(v: Views):
-    long = od.exact_quantiles_by(v.pred(), "anomaly_score", [0.25, 0.5, 0.75], "y_true", domain.LEVELS)
+    long = od.exact_quantiles_by(v.pred(), "anomaly_score", [0.25, 0.5, 0.75], "y_true")
     cols = [F.round(F.when(F.col("prob") == p, F.col("quantile")), 9).alias(n) for p, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))]
     return long.select(F.col("y_true").alias("criticality"), "prob", *cols)
 
 
 @query("top_anomalies", f"""
-SELECT notam_id, icao_location, classification, y_true AS criticality, anomaly_score, substr(text, 1, 120) AS text_preview, substr(reason, 1, 100) AS reason_preview
+SELECT notice_id, icao_location, classification, y_true AS criticality, anomaly_score, substr(text, 1, 120) AS text_preview, substr(reason, 1, 100) AS reason_preview
 FROM {TOP20_SQL} t""")
 def _(v: Views):
     top = profile.nlargest(v.pred(), "anomaly_score", 20, "pos")
     return top.select(
-        "notam_id", "icao_location", "classification", F.col("y_true").alias("criticality"), "anomaly_score",
+        "notice_id", "icao_location", "classification", F.col("y_true").alias("criticality"), "anomaly_score",
         tx.preview(F.col("text"), 120).alias("text_preview"), tx.preview(F.col("reason"), 100).alias("reason_preview"),
     )
 

@@ -83,6 +83,6 @@ def _(v: Views):
     return _rounded(spatial.waypoints(v.flights(), n=5))
 
 
-@query("waypoints_by_gap", waypoints_sql("CAST(floor(miles / 100) AS INT)"))
+@query("waypoints_by_gap", waypoints_sql("CAST(floor(miles / 40) AS INT)"))
 def _(v: Views):
-    return _rounded(spatial.waypoints(v.flights(), gap_miles=100.0))
+    return _rounded(spatial.waypoints(v.flights(), gap_miles=40.0))

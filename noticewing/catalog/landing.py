@@ -20,13 +20,13 @@ STAMP = "yyyy-MM-dd'T'HH:mm:ss'.000Z'"
 
 #: defect planted in an item -> (SQL test on pos, reason the validator must give)
 DEFECTS = {
-    "extra": ("pos % 17 = 3", "extra:notam.bogus"),
+    "extra": ("pos % 17 = 3", "extra:notice.bogus"),
     "enum": ("pos % 19 = 4", "value:type"),
     "time": ("pos % 23 = 5", "value:issued"),
     "text": ("pos % 29 = 6", "missing:text"),
     "purpose": ("pos % 31 = 7", "value:purpose"),
     "geometry": ("pos % 37 = 8", "missing:item.geometry"),
-    "scenario": ("pos % 41 = 9", "value:notamEvent.scenario"),
+    "scenario": ("pos % 41 = 9", "value:event.scenario"),
 }
 REASONS_SQL = "[x FOR x IN [" + ", ".join(f"CASE WHEN {t} THEN '{r}' END" for t, r in DEFECTS.values()) + "] IF x IS NOT NULL]"
 PAGED_SQL = f"""(SELECT *, 'r' || CAST(pos % 3 AS VARCHAR) AS request_id, CAST(pos // 3 // {PAGE} + 1 AS INT) AS page_num, CAST(pos // 3 % {PAGE} AS INT) AS item_pos,
@@ -54,12 +54,12 @@ def _item(defects: bool = True) -> Column:
     )
     translation = F.array(F.struct(F.lit("ICAO").alias("type"), F.concat(F.lit("A) "), F.col("id")).alias("formattedText")))
     core = F.struct(
-        F.struct(F.when(bad("scenario"), "abc").otherwise("6000").alias("scenario")).alias("notamEvent"), notice.alias("notam"),
-        translation.alias("notamTranslation"),
+        F.struct(F.when(bad("scenario"), "abc").otherwise("6000").alias("scenario")).alias(domain.EVENT_KEY), notice.alias(domain.NOTICE_KEY),
+        translation.alias(domain.TRANSLATION_KEY),
     )
     geometry = F.when(~bad("geometry"), F.struct(F.lit("GeometryCollection").alias("type")))
     return F.struct(
-        F.lit("Feature").alias("type"), F.struct(core.alias("coreNOTAMData")).alias("properties"), geometry.alias("geometry")
+        F.lit("Feature").alias("type"), F.struct(core.alias(domain.CORE_KEY)).alias("properties"), geometry.alias("geometry")
     )
 
 
@@ -80,7 +80,7 @@ def _pages(v: Views, defects: bool = True) -> DataFrame:
 
 
 def _id() -> Column:
-    return F.try_variant_get("item", f"{pages.NOTAM}.id", "string").alias("id")
+    return F.try_variant_get("item", f"{pages.NOTICE}.id", "string").alias("id")
 
 
 @query("page_items", f"""
@@ -191,10 +191,10 @@ def _(v: Views):
 
 @query("schema_drift", """
 SELECT * FROM (
- SELECT 'notam.bogus' AS path, 'extra' AS issue, 'STRING' AS detail, count(*) FILTER (WHERE pos % 17 = 3) AS n FROM v_notices
- UNION ALL SELECT 'notam.type', 'new_value', 'X', count(*) FILTER (WHERE pos % 19 = 4) FROM v_notices
- UNION ALL SELECT 'notamEvent.scenario', 'type', 'STRING', count(*) FROM v_notices
- UNION ALL SELECT 'notam.' || k, 'missing', NULL, 0 FROM (SELECT unnest(['affectedFIR', 'traffic', 'minimumFL', 'maximumFL', 'schedule', 'coordinates', 'radius', 'lowerLimit', 'upperLimit']) AS k) u) d""")
+ SELECT 'notice.bogus' AS path, 'extra' AS issue, 'STRING' AS detail, count(*) FILTER (WHERE pos % 17 = 3) AS n FROM v_notices
+ UNION ALL SELECT 'notice.type', 'new_value', 'X', count(*) FILTER (WHERE pos % 19 = 4) FROM v_notices
+ UNION ALL SELECT 'event.scenario', 'type', 'STRING', count(*) FROM v_notices
+ UNION ALL SELECT 'notice.' || k, 'missing', NULL, 0 FROM (SELECT unnest(['affectedFIR', 'traffic', 'minimumFL', 'maximumFL', 'schedule', 'coordinates', 'radius', 'lowerLimit', 'upperLimit']) AS k) u) d""")
 def _(v: Views):
     return pages.schema_drift(pages.page_items(_pages(v)))
 
@@ -203,7 +203,7 @@ def _(v: Views):
 SELECT count(*) > 0 AS has_items, bool_or(pos % 17 = 3) AS has_bogus, bool_or(scope IS NOT NULL) AS has_scope, FALSE AS has_schedule FROM v_notices""")
 def _(v: Views):
     inferred = pages.infer_schema(pages.page_items(_pages(v)))
-    seen = {"has_items": "coreNOTAMData", "has_bogus": "bogus: STRING", "has_scope": "scope: STRING", "has_schedule": "schedule"}
+    seen = {"has_items": domain.CORE_KEY, "has_bogus": "bogus: STRING", "has_scope": "scope: STRING", "has_schedule": "schedule"}
     return inferred.select(*[F.col("schema").contains(text).alias(name) for name, text in seen.items()])
 
 
@@ -285,18 +285,18 @@ def _printable(v: Views) -> DataFrame:
     n = v.route_notices()
     return n.select(
         "route_no", "route", "departure", "destination", "pos", "id", F.concat(F.lit("A"), F.col("pos").cast("string"), F.lit("/24")).alias("number"),
-        F.concat(F.lit("NotamType."), "type").alias("type"), F.date_format("issued", "yyyy-MM-dd HH:mm:ss").alias("issued"), "selection_code",
+        F.concat(F.lit(domain.TYPE_PREFIX), "type").alias("type"), F.date_format("issued", "yyyy-MM-dd HH:mm:ss").alias("issued"), "selection_code",
         F.coalesce("icao_location", F.lit("ZZZ")).alias("location"), F.lit("2024-10-02").alias("effective_start"), F.lit("PERM").alias("effective_end"),
         F.concat(F.lit("Classification."), "classification").alias("classification"), F.lit("KZJX").alias("account_id"),
         F.lit("2024-10-02").alias("last_updated"), "icao_location", "text",
     )
 
 
-BLOCK_SQL = """'ID: ' || id || chr(10) || 'Number: A' || CAST(pos AS VARCHAR) || '/24' || chr(10) || 'Type: NotamType.' || type || chr(10)
+BLOCK_SQL = f"""'ID: ' || id || chr(10) || 'Number: A' || CAST(pos AS VARCHAR) || '/24' || chr(10) || 'Type: {domain.TYPE_PREFIX}' || type || chr(10)
  || 'Issued: ' || strftime(issued, '%Y-%m-%d %H:%M:%S') || chr(10) || 'Selection Code: ' || coalesce(selection_code, 'None') || chr(10)
  || 'Location: ' || coalesce(icao_location, 'ZZZ') || chr(10) || 'Effective Start: 2024-10-02' || chr(10) || 'Effective End: PERM' || chr(10)
  || 'Classification: Classification.' || classification || chr(10) || 'Account ID: KZJX' || chr(10) || 'Last Updated: 2024-10-02' || chr(10)
- || 'ICAO Location: ' || coalesce(icao_location, 'None') || chr(10){route} || 'Text: ' || text"""
+ || 'ICAO Location: ' || coalesce(icao_location, 'None') || chr(10){{route}} || 'Text: ' || text"""
 ROUTE_LINES = " || 'Route: ' || route || chr(10) || 'Departure: ' || departure || chr(10) || 'Destination: ' || destination || chr(10)"
 
 
@@ -343,12 +343,12 @@ def _(v: Views):
 
 
 @query("label_upsert", """
-SELECT notam_id, CASE WHEN CAST(substr(notam_id, 9) AS BIGINT) % 3 = 0 AND reason NOT LIKE 'LABELING_FAILED%' THEN 'INFO' ELSE criticality END AS criticality, score, reason
+SELECT notice_id, CASE WHEN CAST(substr(notice_id, 9) AS BIGINT) % 3 = 0 AND reason NOT LIKE 'LABELING_FAILED%' THEN 'INFO' ELSE criticality END AS criticality, score, reason
 FROM v_labels""")
 def _(v: Views):
     root = storage.scratch(v.spark)
     labels.save_store(v.labels(), root)
-    new = v.labels().where(F.substring("notam_id", 9, 20).cast("long") % 3 == 0).withColumn("criticality", F.lit("INFO"))
+    new = v.labels().where(F.substring("notice_id", 9, 20).cast("long") % 3 == 0).withColumn("criticality", F.lit("INFO"))
     labels.save_store(labels.upsert_labels(labels.load_store(v.spark, root), new), root)
     return labels.load_store(v.spark, root)
 
@@ -361,7 +361,7 @@ HEAD = " UNION ALL ".join(
     for i, lv in enumerate(domain.LEVELS)
 )
 HEADS = " UNION ALL ".join(
-    f"""SELECT route, {i}, CAST(-1 AS BIGINT), u.k, CASE u.k WHEN 1 THEN '  {domain.SECTION_TITLES[lv]}  —  ' || CAST({lv.lower()} AS VARCHAR) || ' NOTAMs' WHEN 3 THEN '  None.' WHEN 4 THEN '' ELSE repeat('=', 72) END
+    f"""SELECT route, {i}, CAST(-1 AS BIGINT), u.k, CASE u.k WHEN 1 THEN '  {domain.SECTION_TITLES[lv]}: ' || CAST({lv.lower()} AS VARCHAR) WHEN 3 THEN '  Nothing here.' WHEN 4 THEN '' ELSE repeat('=', 72) END
  FROM c CROSS JOIN (SELECT unnest(range(5)) AS k) u WHERE u.k < 3 OR {lv.lower()} = 0"""
     for i, lv in enumerate(domain.LEVELS, start=1)
 )
@@ -371,14 +371,14 @@ HEADS = " UNION ALL ".join(
 WITH c AS (SELECT route, departure, destination, count(*) AS total, count(*) FILTER (WHERE is_anomaly) AS anomalies,
   {", ".join(f"count(*) FILTER (WHERE final_criticality = '{lv}') AS {lv.lower()}" for lv in domain.LEVELS)} FROM v_scored GROUP BY 1, 2, 3)
 SELECT route, CAST(section AS INT) AS section, pos, CAST(line_no AS INT) AS line_no, line FROM (
- SELECT route, 0 AS section, CAST(-1 AS BIGINT) AS pos, u.k AS line_no, CASE u.k WHEN 1 THEN '  NOTAM BRIEF  |  ' || departure || ' -> ' || destination || '  |  2025-01-01 00:00Z UTC'
-   WHEN 2 THEN '  ' || CAST(total AS VARCHAR) || ' NOTAMs scored by ML pipeline' WHEN 3 THEN repeat('-', 72) WHEN 10 THEN '' ELSE repeat('=', 72) END AS line
+ SELECT route, 0 AS section, CAST(-1 AS BIGINT) AS pos, u.k AS line_no, CASE u.k WHEN 1 THEN '  Briefing ' || departure || ' -> ' || destination || ', made 2025-01-01 00:00Z UTC'
+   WHEN 2 THEN '  Notices rated: ' || CAST(total AS VARCHAR) WHEN 3 THEN repeat('-', 72) WHEN 10 THEN '' ELSE repeat('=', 72) END AS line
  FROM c CROSS JOIN (SELECT unnest([0, 1, 2, 3, 9, 10]) AS k) u
  UNION ALL {HEAD}
- UNION ALL SELECT route, 0, CAST(-1 AS BIGINT), 8, '  Anomalies    ' || printf('%4d', anomalies) || '  (' || {PCT1.format(n='anomalies')} || '%)' FROM c
+ UNION ALL SELECT route, 0, CAST(-1 AS BIGINT), 8, rpad('  Unusual', 10, ' ') || ' ' || printf('%4d', anomalies) || '  (' || {PCT1.format(n='anomalies')} || '%)' FROM c
  UNION ALL {HEADS}
  UNION ALL SELECT route, CASE final_criticality WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 3 ELSE 4 END, pos, u.k,
-   CASE u.k WHEN 1 THEN '  ' || notam_id || '  |  ' || final_criticality || CASE WHEN is_anomaly THEN '  [ANOMALY]' ELSE '' END || '  |  conf=' || CAST(CAST(round_even(rf_confidence * 100, 0) AS INT) AS VARCHAR) || '%'
+   CASE u.k WHEN 1 THEN '  ' || final_criticality || CASE WHEN is_anomaly THEN ', unusual' ELSE '' END || '  ' || notice_id || '  (confidence ' || CAST(CAST(round_even(rf_confidence * 100, 0) AS INT) AS VARCHAR) || ' %)'
     WHEN 3 THEN trim(text, ' ' || chr(10) || chr(9) || chr(13)) WHEN 4 THEN '' ELSE repeat('-', 72) END
  FROM v_scored CROSS JOIN (SELECT unnest(range(5)) AS k) u) z""")
 def _(v: Views):

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from noticewing import domain
 from noticewing.catalog.registry import query
 from noticewing.catalog.views import Views
-from noticewing.functions import text as tx
 from noticewing.models import classify, embed, iforest, split, tfidf
 from noticewing.operators import filters
 from noticewing.plans import storage, workflows
 
-DIM = 64
+#: the library's own vector width
+DIM = 384
 
 
 def _training(v: Views) -> DataFrame:
@@ -124,6 +124,6 @@ def _(v: Views):
 @query("score_batch")
 def _(v: Views):
     encoder = embed.hashing_encoder(DIM)
-    models, _metrics = workflows.train_all(v.labeled(), encoder, trees=50)
+    models, _metrics = workflows.train_all(v.labeled(), encoder)
     notices = v.notices().select("id", "text", "pos")
-    return workflows.score_batch(notices, models, encoder).withColumn("text", tx.preview(F.col("text"), 100))
+    return workflows.score_batch(notices, models, encoder)

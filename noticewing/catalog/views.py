@@ -11,7 +11,7 @@ from noticewing import domain
 
 SQL = {
     "v_notices": """
-SELECT d.doc_id AS pos, 'NOTAM_1_' || CAST(d.doc_id AS VARCHAR) AS id,
+SELECT d.doc_id AS pos, 'ENTRY_1_' || CAST(d.doc_id AS VARCHAR) AS id,
  CASE d.doc_id % 10 WHEN 0 THEN 'R' WHEN 1 THEN 'C' ELSE 'N' END AS type, e.ts AS issued,
  CASE WHEN d.doc_id % 5 < 3 THEN NULL ELSE 'Q' || upper(substr(e.event_type,1,4)) END AS selection_code,
  CASE d.doc_id % 7 WHEN 0 THEN 'NBO' WHEN 1 THEN 'BO' WHEN 2 THEN 'O' WHEN 3 THEN 'M' WHEN 4 THEN 'K' WHEN 5 THEN NULL ELSE 'NB' END AS purpose,
@@ -29,16 +29,16 @@ UNION ALL SELECT 1,'OKC_ORD','KOKC','KORD' UNION ALL SELECT 2,'OKC_DEN','KOKC','
     "v_route_notices": """
 SELECT r.route_no, r.route, r.departure, r.destination, n.* FROM v_notices n JOIN v_routes r ON n.pos % (r.route_no + 2) = 0""",
     "v_labels": """
-SELECT id AS notam_id, CASE WHEN pos % 100 < 8 THEN 'HIGH' WHEN pos % 100 < 29 THEN 'MEDIUM' WHEN pos % 100 < 83 THEN 'LOW' ELSE 'INFO' END AS criticality,
+SELECT id AS notice_id, CASE WHEN pos % 100 < 8 THEN 'HIGH' WHEN pos % 100 < 29 THEN 'MEDIUM' WHEN pos % 100 < 83 THEN 'LOW' ELSE 'INFO' END AS criticality,
  CASE WHEN pos % 100 < 8 THEN 75 + pos % 26 WHEN pos % 100 < 29 THEN 40 + pos % 35 WHEN pos % 100 < 83 THEN 15 + pos % 25 ELSE pos % 15 END AS score,
  CASE WHEN pos % 97 = 5 THEN 'LABELING_FAILED: timeout' ELSE 'auto' END AS reason FROM v_notices WHERE pos % 13 <> 12""",
     "v_labeled": """
 SELECT n.id, n.route, n.departure, n.destination, n.icao_location, n.classification, n.selection_code, n.text,
  l.criticality, l.score, l.reason, n.pos
 FROM (SELECT * FROM v_route_notices QUALIFY row_number() OVER (PARTITION BY id ORDER BY route_no, pos) = 1) n
-JOIN v_labels l ON l.notam_id = n.id""",
+JOIN v_labels l ON l.notice_id = n.id""",
     "v_replies": """
-SELECT id AS notam_id, a.attempt, CASE WHEN (pos + a.attempt) % 4 = 0 OR pos % 29 = 3 THEN 429 WHEN pos % 31 = 4 THEN 400 ELSE 200 END AS status,
+SELECT id AS notice_id, a.attempt, CASE WHEN (pos + a.attempt) % 4 = 0 OR pos % 29 = 3 THEN 429 WHEN pos % 31 = 4 THEN 400 ELSE 200 END AS status,
  CASE WHEN pos % 3 = 0 THEN '```json' || chr(10) ELSE '' END || '{"criticality":"' ||
  CASE WHEN pos % 100 < 8 THEN 'high' WHEN pos % 17 = 0 THEN 'SEVERE' ELSE 'low' END || '","score":' ||
  CASE WHEN pos % 19 = 0 THEN '140' WHEN pos % 23 = 0 THEN '"85.7"' ELSE CAST(pos % 100 AS VARCHAR) END ||
@@ -60,17 +60,17 @@ FROM (SELECT o_orderkey AS route_id, 'KA' || CAST(o_custkey AS VARCHAR) AS dep,
              'KA' || CAST((o_custkey * 7 + datediff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE))) % 150 AS VARCHAR) AS dst FROM orders) f
 JOIN v_airports a ON a.icao = f.dep JOIN v_airports b ON b.icao = f.dst""",
     "v_pred": """
-SELECT l.notam_id, n.pos, l.criticality AS y_true, CASE WHEN n.pos % 5 = 0 THEN 'LOW' WHEN n.pos % 23 = 0 THEN 'HIGH' ELSE l.criticality END AS y_pred,
+SELECT l.notice_id, n.pos, l.criticality AS y_true, CASE WHEN n.pos % 5 = 0 THEN 'LOW' WHEN n.pos % 23 = 0 THEN 'HIGH' ELSE l.criticality END AS y_pred,
  CASE WHEN n.pos % 7 = 0 THEN 'MEDIUM' ELSE l.criticality END AS y_pred2,
  CAST((n.pos * 7919) % 10007 AS DOUBLE) / 10007.0::DOUBLE AS anomaly_score,
  n.icao_location, n.classification, n.text, l.reason
-FROM v_labels l JOIN v_notices n ON n.id = l.notam_id""",
+FROM v_labels l JOIN v_notices n ON n.id = l.notice_id""",
     "v_scored": """
-SELECT r.route_no, r.route, r.departure, r.destination, r.pos, p.notam_id, r.text, p.y_pred2 AS lr_criticality,
+SELECT r.route_no, r.route, r.departure, r.destination, r.pos, p.notice_id, r.text, p.y_pred2 AS lr_criticality,
  CAST(250 + p.pos % 751 AS DOUBLE) / 1000.0::DOUBLE AS lr_confidence, p.y_pred AS rf_criticality,
  CAST(250 + (p.pos * 3) % 751 AS DOUBLE) / 1000.0::DOUBLE AS rf_confidence,
  p.anomaly_score, p.anomaly_score >= 0.95::DOUBLE AS is_anomaly, p.y_pred2 = p.y_pred AS models_agree, p.y_pred AS final_criticality
-FROM v_route_notices r JOIN v_pred p ON p.notam_id = r.id""",
+FROM v_route_notices r JOIN v_pred p ON p.notice_id = r.id""",
 }
 
 
@@ -117,7 +117,7 @@ class Views:
         events = self.table("events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
         return docs.join(events, F.col("event_id") == d).select(
             d.alias("pos"),
-            F.concat(F.lit("NOTAM_1_"), d.cast("string")).alias("id"),
+            F.concat(F.lit("ENTRY_1_"), d.cast("string")).alias("id"),
             _case(d % 10, {0: "R", 1: "C"}, "N").alias("type"),
             F.col("ts").alias("issued"),
             F.when(d % 5 >= 3, F.concat(F.lit("Q"), F.upper(F.substring("event_type", 1, 4)))).alias("selection_code"),
@@ -147,7 +147,7 @@ class Views:
         p = F.col("pos")
         m = p % 100
         return self.notices().where(p % 13 != 12).select(
-            F.col("id").alias("notam_id"),
+            F.col("id").alias("notice_id"),
             F.when(m < 8, "HIGH").when(m < 29, "MEDIUM").when(m < 83, "LOW").otherwise("INFO").alias("criticality"),
             F.when(m < 8, 75 + p % 26).when(m < 29, 40 + p % 35).when(m < 83, 15 + p % 25).otherwise(p % 15).alias("score"),
             F.when(p % 97 == 5, "LABELING_FAILED: timeout").otherwise("auto").alias("reason"),
@@ -162,7 +162,7 @@ class Views:
         p, a = F.col("pos"), F.col("attempt")
         fenced = p % 3 == 0
         return self.notices().select("id", "pos", F.explode(F.array(*[F.lit(i) for i in range(1, 6)])).alias("attempt")).select(
-            F.col("id").alias("notam_id"), "attempt",
+            F.col("id").alias("notice_id"), "attempt",
             F.when(((p + a) % 4 == 0) | (p % 29 == 3), 429).when(p % 31 == 4, 400).otherwise(200).alias("status"),
             F.concat(
                 F.when(fenced, "```json\n").otherwise(""), F.lit('{"criticality":"'),
@@ -201,8 +201,8 @@ class Views:
     def pred(self) -> DataFrame:
         p = F.col("pos")
         notices = self.notices().select("id", "pos", "icao_location", "classification", "text")
-        return self.labels().join(notices, F.col("id") == F.col("notam_id")).select(
-            "notam_id", "pos", F.col("criticality").alias("y_true"),
+        return self.labels().join(notices, F.col("id") == F.col("notice_id")).select(
+            "notice_id", "pos", F.col("criticality").alias("y_true"),
             F.when(p % 5 == 0, "LOW").when(p % 23 == 0, "HIGH").otherwise(F.col("criticality")).alias("y_pred"),
             F.when(p % 7 == 0, "MEDIUM").otherwise(F.col("criticality")).alias("y_pred2"),
             ((p * 7919 % 10007).cast("double") / 10007.0).alias("anomaly_score"),
@@ -210,11 +210,11 @@ class Views:
         )
 
     def scored(self) -> DataFrame:
-        pred = self.pred().select("notam_id", F.col("pos").alias("ppos"), "y_pred", "y_pred2", "anomaly_score")
+        pred = self.pred().select("notice_id", F.col("pos").alias("ppos"), "y_pred", "y_pred2", "anomaly_score")
         rows = self.route_notices().select("route_no", "route", "departure", "destination", "pos", "id", "text")
         p = F.col("ppos")
-        return rows.join(pred, F.col("notam_id") == F.col("id")).select(
-            "route_no", "route", "departure", "destination", "pos", "notam_id", "text",
+        return rows.join(pred, F.col("notice_id") == F.col("id")).select(
+            "route_no", "route", "departure", "destination", "pos", "notice_id", "text",
             F.col("y_pred2").alias("lr_criticality"), ((250 + p % 751).cast("double") / 1000.0).alias("lr_confidence"),
             F.col("y_pred").alias("rf_criticality"), ((250 + p * 3 % 751).cast("double") / 1000.0).alias("rf_confidence"),
             "anomaly_score", (F.col("anomaly_score") >= 0.95).alias("is_anomaly"),

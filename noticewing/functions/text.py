@@ -27,8 +27,8 @@ def is_blank(c: Column) -> Column:
 
 
 def strip_enum(c: Column) -> Column:
-    """'Classification.DOM' -> 'DOM', 'NotamType.N' -> 'N'."""
-    return F.replace(F.replace(c, F.lit("Classification."), F.lit("")), F.lit("NotamType."), F.lit(""))
+    """The value behind the printed name of its enumeration."""
+    return F.replace(F.replace(c, F.lit(domain.CLASSIFICATION_PREFIX), F.lit("")), F.lit(domain.TYPE_PREFIX), F.lit(""))
 
 
 def null_if_blank(c: Column, tokens: Iterable[str] = ("", "None", "\\N", "NaN")) -> Column:

@@ -60,16 +60,10 @@ def embed(df: DataFrame, encoder: Encoder, store: DataFrame | None = None, key:
 def project_2d(df: DataFrame, embedding: str = "embedding", key: str = "id", sample: int = 2000, seed: int = 42) -> DataFrame:
     """Two principal components (fitted on all rows) of a seeded sample of rows, for inspection.
 
-    The sample is the rows with the smallest hashes. A hash bound leaves about four times as many as
-    are wanted, so the final sort is small however many tasks read the data.
+    The sample is the rows with the smallest hashes; every task keeps that many at most before they meet.
     """
     vectors = df.withColumn("_f", array_to_vector(F.col(embedding).cast("array<double>")))
     model = PCA(k=2, inputCol="_f", outputCol="_p").fit(vectors)
-    hashed = F.xxhash64(F.col(key), F.lit(seed))
-    share = 4.0 * sample / max(vectors.count(), 1)
-    near = vectors.where(hashed <= int(share * 2.0**64 - 2.0**63)) if share < 1 else vectors
-    if share < 1 and near.count() < sample:
-        near = vectors
-    picked = near.orderBy(hashed, F.col(key)).limit(sample)
+    picked = vectors.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(sample)
     point = vector_to_array("_p")
     return model.transform(picked).withColumn("x", point[0]).withColumn("y", point[1]).drop("_f", "_p")

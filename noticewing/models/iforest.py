@@ -118,39 +118,35 @@ class IsolationForestModel:
 
 
 def grow_forest(df: DataFrame, embedding: str, key: str, trees: int, psi: int, seed: int) -> tuple[pd.DataFrame, int]:
-    """(node table, sample size). The seeded hash of the key picks rows, so partitioning does not matter.
+    """(node table, sample size). Seeded hashes of the key pick rows, so partitioning does not matter.
 
-    A pool of about trees x psi rows is drawn first; each tree takes the psi pool rows with its own
-    smallest hashes. Work after the first scan does not depend on the size of the data.
+    Every tree draws from all rows: those whose hash for the tree is below a bound that leaves four
+    samples on average, then the psi smallest. A tree that gets fewer is an error.
     """
-    def share(*parts):
-        return F.pmod(F.xxhash64(*parts), F.lit(_SCALE)) / F.lit(float(_SCALE))
-
     n = df.count()
-    pool_share = min(1.0, trees * psi / max(n, 1))
-    pool = df.select(F.col(key).alias("k"), F.col(embedding).alias("v")).where(share(F.col(key), F.lit(seed)) <= pool_share).persist()
-    try:
-        have = pool.count()
-        take = min(psi, have)
-        limit = math.ceil(math.log2(max(take, 2)))
-        # four times the sample on average, so that psi rows are left for sure in practice; all of a small pool
-        keep = 1.0 if have <= 8 * psi else 4.0 * psi / have
-        drawn = (
-            pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-            .withColumn("h", F.xxhash64("k", F.lit(seed), "tree"))
-            .where(F.pmod("h", F.lit(_SCALE)) / float(_SCALE) <= keep)
-        )
-
-        def build(pdf: pd.DataFrame) -> pd.DataFrame:
-            tree = int(pdf["tree"].iloc[0])
-            chosen = pdf.sort_values(["h", "k"]).head(take)
-            points = np.stack([np.asarray(v, dtype="float64") for v in chosen["v"]])
-            grown = grow_tree(points, limit, np.random.default_rng([seed, tree]))
-            return pd.DataFrame([(tree, *r) for r in grown], columns=["tree", "node", "feature", "threshold", "left", "right", "size", "depth"])
-
-        nodes = drawn.groupBy("tree").applyInPandas(build, NODES).toPandas()
-    finally:
-        pool.unpersist()
+    take = min(psi, n)
+    limit = math.ceil(math.log2(max(take, 2)))
+    bound = min(1.0, 4.0 * psi / max(n, 1))
+    k, v = F.col(key).alias("k"), F.col(embedding).alias("v")
+
+    def drawn_by(tree):
+        return F.pmod(F.xxhash64(F.col(key), F.lit(seed), tree), F.lit(_SCALE)) < F.lit(int(bound * _SCALE))
+
+    trees_of = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), drawn_by)
+    drawn = df.select(k, v, F.explode(trees_of).alias("tree")).withColumn("h", F.xxhash64("k", F.lit(seed), "tree"))
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        tree = int(pdf["tree"].iloc[0])
+        if len(pdf) < take:
+            raise ValueError(f"tree {tree} drew {len(pdf)} rows of {take}")
+        chosen = pdf.sort_values(["h", "k"]).head(take)
+        points = np.stack([np.asarray(v, dtype="float64") for v in chosen["v"]])
+        grown = grow_tree(points, limit, np.random.default_rng([seed, tree]))
+        return pd.DataFrame([(tree, *r) for r in grown], columns=["tree", "node", "feature", "threshold", "left", "right", "size", "depth"])
+
+    nodes = drawn.groupBy("tree").applyInPandas(build, NODES).toPandas()
+    if n and nodes["tree"].nunique() < trees:
+        raise ValueError(f"only {nodes['tree'].nunique()} of {trees} trees drew rows")
     return nodes.sort_values(["tree", "node"], ignore_index=True), take
 
 
@@ -159,14 +155,21 @@ def _arrays(nodes: pd.DataFrame) -> list[dict[str, np.ndarray]]:
     return [{c: t[c].to_numpy() for c in columns} for _, t in nodes.sort_values(["tree", "node"]).groupby("tree")]
 
 
-def flag(df: DataFrame, score: str = "anomaly_score", mode: str = "batch_percentile", out: str = "is_anomaly") -> DataFrame:
+def flag(
+    df: DataFrame, score: str = "anomaly_score", mode: str = "batch_percentile", out: str = "is_anomaly", by: str | None = None
+) -> DataFrame:
     """Mark anomalies: above 0 for "fit_offset", at or above the batch's 95th percentile for "batch_percentile".
 
-    The percentile reads `df` twice more; write expensive scores to a table first.
+    `by` makes each of its values a batch of its own (null is one too). The percentile reads `df`
+    again; write expensive scores to a table first. A null score is never an anomaly.
     """
     if mode == "fit_offset":
         return df.withColumn(out, F.col(score) > 0)
     if mode != "batch_percentile":
         raise ValueError(f"unknown mode: {mode}")
-    threshold = od.exact_quantiles(df, score, [PERCENTILE]).select("quantile").scalar()
-    return df.withColumn(out, F.col(score) >= threshold)
+    if by is None:
+        threshold = od.exact_quantiles(df, score, [PERCENTILE]).select("quantile").scalar()
+        return df.withColumn(out, F.col(score) >= threshold)
+    cut = od.exact_quantiles_by(df, score, [PERCENTILE], by).select(F.col(by).alias("_by"), F.col("quantile").alias("_cut"))
+    names = [F.col(f"`{c}`") for c in df.columns if c != out]
+    return df.join(cut, F.col(by).eqNullSafe(F.col("_by")), "left").select(*names, F.coalesce(F.col(score) >= F.col("_cut"), F.lit(False)).alias(out))

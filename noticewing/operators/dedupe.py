@@ -46,7 +46,7 @@ def union_routes(dfs: Sequence[DataFrame]) -> DataFrame:
 def first_success(attempts: DataFrame, max_attempts: int = domain.MAX_ATTEMPTS) -> DataFrame:
     """Label of the first good attempt per notice, else a failure row that names the last error.
 
-    Input: notam_id, attempt, status, reply, and optionally error. Retry statuses leave no error
+    Input: notice_id, attempt, status, reply, and optionally error. Retry statuses leave no error
     behind, so a notice with nothing else fails with 'None'.
     """
     given = F.col("error") if "error" in attempts.columns else F.lit(None).cast("string")
@@ -62,13 +62,13 @@ def first_success(attempts: DataFrame, max_attempts: int = domain.MAX_ATTEMPTS)
         )
     )
     label = F.struct("_label.criticality", "_label.score", "_label.reason", "attempt")
-    per_id = tried.groupBy("notam_id").agg(
+    per_id = tried.groupBy("notice_id").agg(
         F.min_by(label, F.when(F.col("_ok"), F.col("attempt"))).alias("_won"),
         F.max_by("_error", F.when(F.col("_error").isNotNull(), F.col("attempt"))).alias("_last"),
     )
     failed = F.concat(F.lit(f"{domain.FAILED_PREFIX}: "), F.left(F.coalesce("_last", F.lit("None")), F.lit(100)))
     return per_id.select(
-        "notam_id",
+        "notice_id",
         F.coalesce("_won.criticality", F.lit("INFO")).alias("criticality"),
         F.coalesce("_won.score", F.lit(0)).alias("score"),
         F.when(F.col("_won").isNotNull(), F.col("_won.reason")).otherwise(failed).alias("reason"),

@@ -73,13 +73,13 @@ def tag_route(df: DataFrame, routes: DataFrame, route: str = "route") -> DataFra
 
 def split_cached(df: DataFrame, store: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
     """(already labelled, to be labelled) by presence in the label store."""
-    done = store.select(F.col("notam_id").alias(key))
+    done = store.select(F.col("notice_id").alias(key))
     return df.join(done, key, "left_semi"), df.join(done, key, "left_anti")
 
 
 def attach_labels(df: DataFrame, labels: DataFrame) -> DataFrame:
     """Labelled set: notices with a label, repeated ids kept, in the fixed 11 columns."""
-    label = labels.select(F.col("notam_id").alias("id"), "criticality", "score", "reason")
+    label = labels.select(F.col("notice_id").alias("id"), "criticality", "score", "reason")
     joined = df.withColumn("classification", tx.strip_enum(F.col("classification"))).join(label, "id")
     return joined.select(*domain.LABELED_COLUMNS)
 

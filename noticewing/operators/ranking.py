@@ -57,19 +57,25 @@ def rule_score(
 
 
 def rank_notices(
-    df: DataFrame, partition: str | None = None, pos: str = "input_pos", score: str = "rule_score",
+    df: DataFrame, partition: str | None = None, pos: str | Sequence[str] = "input_pos", score: str = "rule_score",
     weights: rules.Weights = rules.DEFAULT,
 ) -> DataFrame:
-    """Notices by descending score, ties in input order.
+    """Notices by descending score, ties in input order: `pos` or several columns, nulls last.
 
     Without `partition` the frame is sorted as a whole (a range-partitioned sort). With it a rank per
-    partition value is added; the scores and position buckets split even a route that holds most rows.
+    partition value (null is one) is added; the scores and position buckets split even a route that
+    holds most rows.
     """
+    pos = [pos] if isinstance(pos, str) else list(pos)
     scored = df if score in df.columns else rule_score(df, weights, out=score)
     if partition is None:
-        return scored.orderBy(F.desc(score), F.asc(pos))
+        return scored.orderBy(F.desc_nulls_last(score), *[F.asc_nulls_last(p) for p in pos])
+
+    def last(c):
+        return F.coalesce(c.cast("double"), F.lit(float("inf")))
+
     return od.grouped_position(
         scored, [partition],
-        buckets=[-F.col(score), od.position_bucket(F.col(pos))],
-        order=[F.asc(pos)], out="rank",
+        buckets=[last(-F.col(score)), *[last(F.col(p)) for p in pos[:-1]], last(od.position_bucket(F.col(pos[-1])))],
+        order=[F.asc_nulls_last(p) for p in pos], out="rank",
     )

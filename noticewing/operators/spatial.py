@@ -12,8 +12,6 @@ from noticewing.functions import geo
 
 #: notices of one grid cell that one join task should hold; fuller cells are split
 ROWS_PER_CELL = 200_000
-#: most cells that are split; with fewer hot cells than this every hot one is
-MAX_HOT_CELLS = 10_000
 
 
 def route_length(routes: DataFrame) -> DataFrame:
@@ -85,14 +83,14 @@ def radius_join(
     own = own.withColumn("_row", F.floor((F.col("lat") + 90.0) / side).cast("int")).withColumn(
         "_col", F.pmod(F.floor((F.col("lon") + 180.0) / side).cast("int"), F.lit(columns))
     )
-    # Hot cells: at most MAX_HOT_CELLS rows of three integers.
+    # One row per full cell, all of them; joins measure its size themselves.
     hot = (
         own.groupBy("_row", "_col").agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > rows_per_cell).orderBy(F.desc("_n")).limit(MAX_HOT_CELLS)
+        .where(F.col("_n") > rows_per_cell)
         .select("_row", "_col", F.ceil(F.col("_n") / rows_per_cell).cast("int").alias("_splits"))
     )
     splits = F.coalesce("_splits", F.lit(1))
-    left = own.join(F.broadcast(hot), ["_row", "_col"], "left").withColumn(
+    left = own.join(hot, ["_row", "_col"], "left").withColumn(
         "_salt", F.when(F.col("_splits").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), splits).cast("int"))
     ).drop("_splits")
 
@@ -113,7 +111,7 @@ def radius_join(
         .withColumn("_row", F.explode(rows))
         .withColumn("_col", F.explode(F.sequence(first, last)))
         .withColumn("_col", F.pmod(F.col("_col"), F.lit(columns)))
-        .join(F.broadcast(hot), ["_row", "_col"], "left")
+        .join(hot, ["_row", "_col"], "left")
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), splits - 1)))
         .drop("_splits")
     )

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -30,7 +32,8 @@ def grouped_position(
     """Add the 1-based position of each row within its `by` group.
 
     `buckets` must not decrease along `order`. Only one bucket is sorted per task; the number of
-    rows in the buckets before it comes from a count table. `by` columns must not be null.
+    rows in the buckets before it comes from a count table. Null `by` values are a group of their own;
+    bucket columns must not be null.
     """
     names = [f"_bucket{i}" for i in range(len(buckets))]
     cut = df.select("*", *[b.alias(n) for b, n in zip(buckets, names)])
@@ -39,10 +42,9 @@ def grouped_position(
     running = W.partitionBy(*by).orderBy(*names).rowsBetween(W.unboundedPreceding, -1)
     starts = sizes.select(*keys, F.coalesce(F.sum("_rows").over(running), F.lit(0)).alias("_start"))
     local = cut.withColumn("_local", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
-    return (
-        local.join(starts, keys)
-        .select(*df.columns, (F.col("_start") + F.col("_local")).alias(out))
-    )
+    there = starts.select(*[F.col(k).alias(f"_of_{k}") for k in keys], "_start")
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+    return local.join(there, same).select(*df.columns, (F.col("_start") + F.col("_local")).alias(out))
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float]) -> DataFrame:
@@ -132,10 +134,32 @@ def value_counts(df: DataFrame, *cols: str, name: str = "n") -> DataFrame:
     return df.dropna(subset=list(cols)).groupBy(*cols).agg(F.count(F.lit(1)).alias(name))
 
 
-def exact_quantiles_by(df: DataFrame, value: str, probs: Sequence[float], by: str, groups: Sequence[str]) -> DataFrame:
-    """`exact_quantiles` for each of a short, known list of group values."""
-    parts = [exact_quantiles(df.where(F.col(by) == g), value, probs).withColumn(by, F.lit(g)) for g in groups]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+def exact_quantiles_by(df: DataFrame, value: str, probs: Sequence[float], by: str) -> DataFrame:
+    """(`by`, prob, quantile) for every value of `by`, null included, in one plan.
+
+    Equal values of a group are counted first; counts of slices of the value range say which slice
+    holds a wanted rank, and only rows of such slices are ordered, each slice of a group by itself.
+    """
+    base = df.select(F.col(by).alias("_by"), F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
+    counted = base.groupBy("_by", "v").agg(F.count(F.lit(1)).alias("c"))
+    # Slices hold about equally many of all values, so that a far value does not fill one slice.
+    cuts = base.agg(F.percentile_approx("v", [i / 512 for i in range(1, 512)], 5000)).scalar()
+    sliced = counted.withColumn("_cuts", cuts).withColumn("b", F.size(F.filter("_cuts", lambda x: x <= F.col("v")))).drop("_cuts")
+    running = W.partitionBy("_by").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
+    cells = sliced.groupBy("_by", "b").agg(F.sum("c").alias("k")).select(
+        F.col("_by").alias("_g"), F.col("b").alias("_b"), "k",
+        F.coalesce(F.sum("k").over(running), F.lit(0)).alias("before"), F.sum("k").over(W.partitionBy("_by")).alias("n"))
+    asked = cells.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs]))).withColumn("rank", (F.col("n") - 1) * F.col("prob"))
+    asked = asked.withColumns({"r_low": F.floor("rank") + 1, "r_high": F.ceil("rank") + 1, "frac": F.col("rank") - F.floor("rank")})
+    asked = asked.where((F.col("before") < F.col("r_high")) & (F.col("before") + F.col("k") >= F.col("r_low")))
+    inside = W.partitionBy("_by", "b", "prob").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
+    ranked = (
+        sliced.join(asked, F.col("_by").eqNullSafe(F.col("_g")) & (F.col("b") == F.col("_b")))
+        .withColumn("upto", F.col("before") + F.sum("c").over(inside)).withColumn("after", F.col("upto") - F.col("c"))
+    )
+
+    def pick(rank: str) -> Column:
+        return F.max(F.when((F.col("after") < F.col(rank)) & (F.col("upto") >= F.col(rank)), F.col("v")))
+
+    return ranked.groupBy("_by", "prob", "frac").agg(pick("r_low").alias("low"), pick("r_high").alias("high")).select(
+        F.col("_by").alias(by), "prob", (F.col("low") + F.col("frac") * (F.col("high") - F.col("low"))).alias("quantile"))

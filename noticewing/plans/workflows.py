@@ -15,7 +15,7 @@ from noticewing.sources import briefs, labels
 from noticewing.sources.models import Models
 
 RESULT = (
-    "notam_id", "text", "lr_criticality", "lr_confidence", "rf_criticality", "rf_confidence",
+    "notice_id", "text", "lr_criticality", "lr_confidence", "rf_criticality", "rf_confidence",
     "anomaly_score", "is_anomaly", "models_agree", "final_criticality",
 )
 
@@ -29,20 +29,18 @@ def route_notices(
     Routes (route_id, departure, destination) are resolved and checked, waypoints laid, notices joined
     by distance, repeats along a route dropped at the first waypoint, and the rest ranked by the rules.
     """
-    inside = filters.conus(airports, country_values)
-    info = ("lat", "lon")
-    found, _ = lookup.lookup_airports(routes, inside, code="departure", info=info)
-    found = found.withColumnsRenamed({"lat": "dep_lat", "lon": "dep_lon"})
-    found, _ = lookup.lookup_airports(found, inside, code="destination", info=info)
-    found = found.withColumnsRenamed({"lat": "dst_lat", "lon": "dst_lon"})
+    found = routes
+    for code, end in (("departure", "dep"), ("destination", "dst")):
+        # The first airport with the code decides, and then has to lie inside.
+        found, _ = lookup.lookup_airports(found, airports, code=code, info=("lat", "lon", "country", "tz_name"))
+        found = filters.conus(found, country_values).drop("country", "tz_name").withColumnsRenamed({"lat": f"{end}_lat", "lon": f"{end}_lon"})
     rejected = routes.join(found.select("route_id"), "route_id", "left_anti")
     points = spatial.waypoints(found, gap_miles=gap_miles).withColumnsRenamed({"lat": "point_lat", "lon": "point_lon"})
     slim = notices.select("id", "pos", "lat", "lon")
     near = spatial.radius_join(slim, points, radius_nm)
     # first waypoint that meets a notice, per route: numbers only, so the text is joined once afterwards
     first = near.groupBy("route_id", "id").agg(F.min("wp_idx").alias("wp_idx"))
-    hits = first.join(notices, "id").withColumn("input_pos", F.col("wp_idx").cast("long") * (1 << 40) + F.col("pos"))
-    ranked = ranking.rank_notices(hits, "route_id", "input_pos")
+    ranked = ranking.rank_notices(first.join(notices, "id"), "route_id", ("wp_idx", "pos"))
     return ranked, rejected
 
 
@@ -51,13 +49,14 @@ def build_labeled(
 ) -> tuple[DataFrame, DataFrame]:
     """(labelled set, updated label store) from parsed route datasets in route order.
 
-    `ask` turns the notices without a label into landed attempts (notam_id, attempt, status, reply).
+    `ask` turns the notices without a label into landed attempts (notice_id, attempt, status, reply).
     """
     merged = dedupe.keep_first(dedupe.union_routes(route_blocks), "id", ["route_no", *order])
     _hits, todo = lookup.split_cached(merged, store)
-    fresh = dedupe.first_success(ask(todo)).drop("attempt")
+    # Written once: the answers are read more than once, and a service is asked once.
+    fresh = dedupe.first_success(storage.written(ask(todo))).drop("attempt")
     known = labels.upsert_labels(store, fresh)
-    failed = fresh.where(F.col("reason").startswith(domain.FAILED_PREFIX)).join(store.select("notam_id"), "notam_id", "left_anti")
+    failed = fresh.where(F.col("reason").startswith(domain.FAILED_PREFIX)).join(store.select("notice_id"), "notice_id", "left_anti")
     return lookup.attach_labels(merged, known.unionByName(failed)), known
 
 
@@ -85,26 +84,30 @@ def train_all(labeled: DataFrame, encoder: embed.Encoder, key: str = "id", **for
     return Models(linear, rf, isolation), scores
 
 
-def score_batch(df: DataFrame, models: Models, encoder: embed.Encoder, key: str = "id", pos: str = "pos") -> DataFrame:
-    """Ten result columns plus the input position for every notice that is not cancelled."""
+def scores(df: DataFrame, models: Models, encoder: embed.Encoder, key: str = "id", pos: str = "pos") -> DataFrame:
+    """Both classifiers' levels and the raw anomaly score of every notice that is not cancelled, written once."""
     active = filters.active_only(df.select(key, "text", pos))
     linear = models.linear.transform(active, key).select(
         key, F.col("criticality").alias("lr_criticality"), F.bround("confidence", 3).alias("lr_confidence")
     )
     vectors = encoder(active)
     forest = models.forest.transform(vectors).withColumnsRenamed({"criticality": "rf_criticality", "confidence": "rf_confidence"})
-    # Scored once and written: the percentile below and the result read the table, not the models again.
-    scored = storage.written(models.isolation.transform(forest).drop("embedding").withColumn("rf_confidence", F.bround("rf_confidence", 3)))
-    flagged = iforest.flag(scored, mode="batch_percentile").withColumn("anomaly_score", F.bround("anomaly_score", 4))
-    both = profile.consensus(flagged.join(linear, key)).withColumnRenamed(key, "notam_id")
-    return both.select(pos, *RESULT)
+    scored = models.isolation.transform(forest).drop("embedding").withColumn("rf_confidence", F.bround("rf_confidence", 3))
+    return storage.written(profile.consensus(scored.join(linear, key)).withColumnRenamed(key, "notice_id"))
+
+
+def score_batch(df: DataFrame, models: Models, encoder: embed.Encoder, key: str = "id", pos: str = "pos") -> DataFrame:
+    """Ten result columns plus the input position for every notice that is not cancelled; one batch."""
+    flagged = iforest.flag(scores(df, models, encoder, key, pos), mode="batch_percentile")
+    return flagged.withColumn("anomaly_score", F.bround("anomaly_score", 4)).select(pos, *RESULT)
 
 
 def brief_routes(ranked: DataFrame, models: Models, encoder: embed.Encoder, routes: DataFrame, generated_at: str | None = None) -> DataFrame:
-    """Briefing lines of ranked route notices; each distinct notice is scored once."""
+    """Briefing lines of ranked route notices; each distinct notice is scored once, each route is a batch of its own."""
     distinct = dedupe.keep_first(ranked.select("id", "text", "pos"), "id", ["pos"])
-    scored = score_batch(distinct, models, encoder).drop("pos", "text")
+    scored = scores(distinct, models, encoder).drop("pos", "text")
     named = routes.select("route_id", "departure", "destination")
-    rows = ranked.select("route_id", F.col("id").alias("notam_id"), F.col("rank").cast("long").alias("pos"), "text")
-    joined = rows.join(scored, "notam_id").join(named, "route_id").withColumnRenamed("route_id", "route")
+    rows = ranked.select("route_id", F.col("id").alias("notice_id"), F.col("rank").cast("long").alias("pos"), "text")
+    flagged = iforest.flag(rows.join(scored, "notice_id"), mode="batch_percentile", by="route_id")
+    joined = flagged.join(named, "route_id").withColumnRenamed("route_id", "route")
     return briefs.brief_lines(joined, generated_at)

@@ -17,6 +17,9 @@ for _name in domain.FACILITY_COLUMNS:
     FACILITIES = FACILITIES.add(_name, "string")
 
 
+_MARK = "\u0002"
+
+
 def _file_order():
     """Orderable position of a row in its file, right for split files too."""
     return F.struct(
@@ -35,12 +38,11 @@ def ingest_airports(lines: DataFrame, strict_split: bool = True, value: str = "v
     if strict_split:
         cut = lines.withColumn("_f", F.split(value, ",", -1))
     else:
-        # One column more than wanted, to notice lines that are too long.
-        wide = ", ".join(f"c{i} string" for i in range(n + 1))
-        got = F.from_csv(F.col(value), F.lit(wide), {"nullValue": "\u0000"})
-        cut = lines.withColumn("_r", got).withColumn(
-            "_f", F.array_compact(F.array(*[F.col(f"_r.c{i}") for i in range(n + 1)]))
-        ).drop("_r")
+        # A mark as one more column stands right behind the wanted ones, empty or not, if their number fits.
+        wide = ", ".join(f"c{i} string" for i in range(n + 2))
+        got = F.from_csv(F.concat(F.col(value), F.lit(f",{_MARK}")), F.lit(wide), {"nullValue": "\u0000"})
+        fields = F.array(*[F.coalesce(F.col(f"_r.c{i}"), F.lit("")) for i in range(n)])
+        cut = lines.withColumn("_r", got).withColumn("_f", F.when((F.col(f"_r.c{n}") == _MARK) & F.col(f"_r.c{n + 1}").isNull(), fields)).drop("_r")
     fits = F.coalesce(F.size("_f") == n, F.lit(False))
 
     def field(i: int, name: str):

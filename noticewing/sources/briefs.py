@@ -24,7 +24,7 @@ def _share(n, total):
 def brief_lines(scored: DataFrame, generated_at: str | None = None, pos: str = "pos") -> DataFrame:
     """Lines (route, section, pos, line_no, line): header, then HIGH to INFO, input order inside.
 
-    `scored` needs route, departure, destination, notam_id, text, rf_confidence, is_anomaly,
+    `scored` needs route, departure, destination, notice_id, text, rf_confidence, is_anomaly,
     final_criticality and the position column. Header and section heads come from counts per route,
     so no route is gathered anywhere.
     """
@@ -43,7 +43,7 @@ def brief_lines(scored: DataFrame, generated_at: str | None = None, pos: str = "
     head = lines(
         "=" * _W, tx.fill(domain.BRIEF_TITLE, route=title, now=now), tx.fill(domain.BRIEF_TOTAL, total=F.col("total")), "-" * _W,
         *[F.concat(F.format_string(f"  {lv:<8} %4d  (", F.col(lv)), _share(F.col(lv), F.col("total")), F.lit("%)")) for lv in domain.LEVELS],
-        F.concat(F.format_string("  Anomalies    %4d  (", F.col("anomalies")), _share(F.col("anomalies"), F.col("total")), F.lit("%)")),
+        F.concat(F.format_string(f"{domain.BRIEF_UNUSUAL:<10} %4d  (", F.col("anomalies")), _share(F.col("anomalies"), F.col("total")), F.lit("%)")),
         "=" * _W, "",
     )
     sections = [F.struct(F.lit(0).alias("section"), head.alias("lines"))]
@@ -60,7 +60,7 @@ def brief_lines(scored: DataFrame, generated_at: str | None = None, pos: str = "
     entry = lines(
         "-" * _W,
         tx.fill(
-            domain.BRIEF_ENTRY, id=F.col("notam_id"), level=level, flag=F.when(F.col("is_anomaly"), domain.BRIEF_ANOMALY).otherwise(""),
+            domain.BRIEF_ENTRY, id=F.col("notice_id"), level=level, flag=F.when(F.col("is_anomaly"), domain.BRIEF_ANOMALY).otherwise(""),
             conf=F.bround(F.col("rf_confidence") * 100, 0).cast("int"),
         ),
         "-" * _W, tx.strip(F.col("text")), "",

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from noticewing import domain
 from noticewing.functions import text as tx
@@ -40,26 +39,35 @@ def upsert_labels(store: DataFrame, new: DataFrame) -> DataFrame:
     """Store with new labels added or replacing old ones; failed labels are not kept, so they are retried."""
     good = new.where(~F.coalesce(F.col("reason").startswith(domain.FAILED_PREFIX), F.lit(False)))
     both = good.withColumn("_age", F.lit(0)).unionByName(store.withColumn("_age", F.lit(1)), allowMissingColumns=True)
-    return od.keep_first(both, "notam_id", ["_age"]).drop("_age")
+    return od.keep_first(both, "notice_id", ["_age"]).drop("_age")
 
 
 def save_store(labels: DataFrame, root: str) -> None:
     """Write the whole store as its next version; readers keep the old one until this is complete."""
     spark = labels.sparkSession
     latest = _latest(spark, root)
-    labels.write.parquet(f"{root}/version={0 if latest is None else latest + 1}")
+    # What a failed writer left under the number is no version yet and is written over.
+    labels.write.mode("overwrite").parquet(f"{root}/version={0 if latest is None else latest + 1}")
 
 
 def load_store(spark: SparkSession, root: str) -> DataFrame:
     """Newest version of the label store, empty when there is none."""
     latest = _latest(spark, root)
     if latest is None:
-        return spark.createDataFrame([], "notam_id string, criticality string, score int, reason string")
+        return spark.createDataFrame([], "notice_id string, criticality string, score int, reason string")
     return spark.read.parquet(f"{root}/version={latest}")
 
 
 def _latest(spark: SparkSession, root: str) -> int | None:
-    try:
-        return spark.read.parquet(root).agg(F.max("version")).first()[0]
-    except AnalysisException:
+    """Newest version that was written to its end; half-written ones are passed over."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(path):
         return None
+    found = []
+    for entry in files.listStatus(path):
+        name = entry.getPath().getName()
+        done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(entry.getPath(), "_SUCCESS")
+        if name.startswith("version=") and files.exists(done):
+            found.append(int(name.removeprefix("version=")))
+    return max(found, default=None)

@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from noticewing import domain
 from noticewing.functions import text as tx
 
-NOTAM = "$.properties.coreNOTAMData.notam"
-CORE = "$.properties.coreNOTAMData"
+CORE = f"$.properties.{domain.CORE_KEY}"
+NOTICE = f"{CORE}.{domain.NOTICE_KEY}"
+EVENT = f"{CORE}.{domain.EVENT_KEY}"
+TRANSLATION = f"{CORE}.{domain.TRANSLATION_KEY}"
 ENVELOPE = {"pageSize": "page_size", "pageNum": "page_num", "totalCount": "total_count", "totalPages": "total_pages"}
 LANDED = "request_id string, status int, body string"
 
@@ -62,7 +64,7 @@ def _extra_keys(v: Column, path: str, allowed: Iterable[str], tag: str) -> Colum
 
 def _field_problem(v: Column, key: str, required: bool) -> Column:
     """Reason text when a notice field breaks its rule, else null."""
-    path = f"{NOTAM}.{key}"
+    path = f"{NOTICE}.{key}"
     kind, value = _type(v, path), _text(v, path)
     absent = kind.isNull() | (kind == "VOID") if not required else F.lit(False)
     if key in domain.CHAR_SET_FIELDS:
@@ -85,7 +87,7 @@ def _field_problem(v: Column, key: str, required: bool) -> Column:
 
 def item_problems(v: Column) -> Column:
     """Reasons an item (variant) breaks the closed schema; an empty array for a valid item."""
-    translations = F.try_variant_get(v, f"{CORE}.notamTranslation", "array<variant>")
+    translations = F.try_variant_get(v, TRANSLATION, "array<variant>")
 
     def bad_translation(t: Column) -> Column:
         kind = _text(t, "$.type")
@@ -98,19 +100,19 @@ def item_problems(v: Column) -> Column:
     single = [
         F.when(F.coalesce(_text(v, "$.type") != "Feature", F.lit(True)), "value:item.type"),
         F.when(_type(v, "$.geometry").isNull(), "missing:item.geometry"),
-        F.when(~F.coalesce(_type(v, NOTAM).startswith("OBJECT"), F.lit(False)), "missing:notam"),
-        F.when(~_is_int(v, f"{CORE}.notamEvent.scenario"), "value:notamEvent.scenario"),
-        F.when(translations.isNull(), "missing:notamTranslation").when(F.exists(translations, bad_translation), "value:notamTranslation"),
+        F.when(~F.coalesce(_type(v, NOTICE).startswith("OBJECT"), F.lit(False)), "missing:notice"),
+        F.when(~_is_int(v, f"{EVENT}.scenario"), "value:event.scenario"),
+        F.when(translations.isNull(), "missing:translation").when(F.exists(translations, bad_translation), "value:translation"),
         *[_field_problem(v, k, True) for k in domain.REQUIRED_FIELDS],
         *[_field_problem(v, k, False) for k in domain.OPTIONAL_FIELDS],
     ]
     return F.concat(
         F.array_compact(F.array(*single)),
         _extra_keys(v, "$", ("type", "properties", "geometry"), "item"),
-        _extra_keys(v, "$.properties", ("coreNOTAMData",), "properties"),
-        _extra_keys(v, CORE, ("notamEvent", "notam", "notamTranslation"), "core"),
-        _extra_keys(v, f"{CORE}.notamEvent", ("scenario",), "notamEvent"),
-        _extra_keys(v, NOTAM, domain.NOTICE_FIELDS, "notam"),
+        _extra_keys(v, "$.properties", (domain.CORE_KEY,), "properties"),
+        _extra_keys(v, CORE, (domain.EVENT_KEY, domain.NOTICE_KEY, domain.TRANSLATION_KEY), "core"),
+        _extra_keys(v, EVENT, ("scenario",), "event"),
+        _extra_keys(v, NOTICE, domain.NOTICE_FIELDS, "notice"),
     )
 
 
@@ -121,6 +123,11 @@ def _opened(pages: DataFrame) -> DataFrame:
     return doc.withColumn("_items", F.transform(items, lambda x: F.struct(x.alias("item"), item_problems(x).alias("problems"))))
 
 
+def _whole(doc: Column) -> Column:
+    """Whether all numbers of the envelope are there."""
+    return F.coalesce(reduce(lambda a, b: a & b, [_is_int(doc, f"$.{k}") for k in ENVELOPE]), F.lit(False))
+
+
 def classify_responses(pages: DataFrame, on_error: str = "column") -> DataFrame:
     """Add `kind`: success, rate_limited, not_json, unauthenticated, error, message or invalid, and `detail`.
 
@@ -129,7 +136,7 @@ def classify_responses(pages: DataFrame, on_error: str = "column") -> DataFrame:
     """
     opened = _opened(pages)
     doc = F.col("_doc")
-    whole = reduce(lambda a, b: a & b, [_is_int(doc, f"$.{k}") for k in ENVELOPE])
+    whole = _whole(doc)
     clean = F.coalesce(~F.exists("_items", lambda i: F.size(i["problems"]) > 0), F.lit(False))
     error = F.when(_type(doc, "$.error") == "STRING", _text(doc, "$.error"))
     message = F.when(_type(doc, "$.message") == "STRING", _text(doc, "$.message"))
@@ -153,9 +160,13 @@ def classify_responses(pages: DataFrame, on_error: str = "column") -> DataFrame:
 
 
 def page_items(pages: DataFrame) -> DataFrame:
-    """One row per item in page order: envelope numbers, item_pos (0-based), item, problems, page_ok."""
+    """One row per item in page order: envelope numbers, item_pos (0-based), item, problems, page_ok.
+
+    page_ok is true where the whole page is a success: status, envelope and every item.
+    """
     opened = _opened(pages)
-    ok = ~F.exists("_items", lambda i: F.size(i["problems"]) > 0)
+    limited = F.coalesce(F.col("status") == 429, F.lit(False))
+    ok = ~limited & _whole(F.col("_doc")) & ~F.exists("_items", lambda i: F.size(i["problems"]) > 0)
     envelope = [F.try_variant_get("_doc", f"$.{k}", "int").alias(n) for k, n in ENVELOPE.items()]
     keys = [c for c in pages.columns if c != "body"]
     # *_outer: a plain explode adds a filter on the array's size, which parses and checks every page twice
@@ -177,17 +188,17 @@ def flatten_notices(items: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     v = F.col("item")
 
     def field(key: str, name: str) -> Column:
-        value = _text(v, f"{NOTAM}.{key}")
+        value = _text(v, f"{NOTICE}.{key}")
         if key in domain.TIME_FIELDS:
             value = tx.iso_ts(value)
         elif key in domain.CHAR_SET_FIELDS:
             value = tx.char_set(value)
         return value.alias(name)
 
-    end = tx.effective_end(_text(v, f"{NOTAM}.effectiveEnd"))
+    end = tx.effective_end(_text(v, f"{NOTICE}.effectiveEnd"))
     plain = [field(k, n) for k, n in domain.NOTICE_FIELDS.items() if k != "effectiveEnd"]
     translations = F.transform(
-        F.try_variant_get(v, f"{CORE}.notamTranslation", "array<variant>"),
+        F.try_variant_get(v, TRANSLATION, "array<variant>"),
         lambda t: F.struct(
             _text(t, "$.type").alias("type"), _text(t, "$.formattedText").alias("formatted_text"),
             _text(t, "$.simpleText").alias("simple_text"),
@@ -195,7 +206,7 @@ def flatten_notices(items: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     )
     return items.select(
         *keep, *plain, end["effective_end"].alias("effective_end"), end["is_permanent"].alias("is_permanent"),
-        _text(v, f"{CORE}.notamEvent.scenario").try_cast("int").alias("scenario"),
+        _text(v, f"{EVENT}.scenario").try_cast("int").alias("scenario"),
         translations.alias("translations"), F.to_json(F.try_variant_get(v, "$.geometry", "variant")).alias("geometry"),
     )
 
@@ -263,9 +274,9 @@ def schema_drift(items: DataFrame) -> DataFrame:
             ),
         )
 
-    declared = {f"notam.{k}": "STRING" for k in domain.NOTICE_FIELDS}
-    declared |= {"core.notamEvent": "OBJECT", "core.notam": "OBJECT", "core.notamTranslation": "ARRAY", "notamEvent.scenario": "BIGINT"}
-    found = F.concat(entries(NOTAM, "notam"), entries(CORE, "core"), entries(f"{CORE}.notamEvent", "notamEvent"))
+    declared = {f"notice.{k}": "STRING" for k in domain.NOTICE_FIELDS}
+    declared |= {f"core.{domain.EVENT_KEY}": "OBJECT", f"core.{domain.NOTICE_KEY}": "OBJECT", f"core.{domain.TRANSLATION_KEY}": "ARRAY", "event.scenario": "BIGINT"}
+    found = F.concat(entries(NOTICE, "notice"), entries(CORE, "core"), entries(EVENT, "event"))
     seen = items.select(F.explode_outer(found).alias("e")).where("e IS NOT NULL")
     path, kind, value = F.col("e.path"), F.col("e.kind"), F.col("e.value")
     want = F.lit(None).cast("string")
@@ -273,7 +284,7 @@ def schema_drift(items: DataFrame) -> DataFrame:
         want = F.when(path == name, expected).otherwise(want)
     listed = F.lit(True)
     for key, allowed in domain.ENUM_FIELDS.items():
-        listed = F.when(path == f"notam.{key}", value.isin(*allowed)).otherwise(listed)
+        listed = F.when(path == f"notice.{key}", value.isin(*allowed)).otherwise(listed)
     base = F.regexp_extract(kind, r"^[A-Z]+", 0)
     issue = (
         F.when(want.isNull(), "extra")

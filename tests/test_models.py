@@ -86,8 +86,8 @@ def test_models_on_disk(spark, trained, tmp_path, labeled):
     encoder = embed.hashing_encoder(32)
     rows = labeled.select("id", "text", F.monotonically_increasing_id().alias("pos")).where("pos is not null")
     rows = rows.unionByName(spark.createDataFrame([("x", "RWY Canceled", 10**12)], "id string, text string, pos long"))
-    a = workflows.score_batch(rows, models, encoder).orderBy("notam_id").collect()
-    b = workflows.score_batch(rows, again, encoder).orderBy("notam_id").collect()
+    a = workflows.score_batch(rows, models, encoder).orderBy("notice_id").collect()
+    b = workflows.score_batch(rows, again, encoder).orderBy("notice_id").collect()
     assert a == b and len(a) == 160 and list(a[0].asDict()) == ["pos", *workflows.RESULT]
     assert all(r["final_criticality"] == r["rf_criticality"] for r in a)
     flagged = sum(r["is_anomaly"] for r in a)
@@ -143,7 +143,7 @@ def test_route_brief_end_to_end(spark, trained):
     assert [(r["id"], r["rank"]) for r in rows] == [("near1", 1), ("near2", 2)]
     assert [r["route_id"] for r in rejected.collect()] == ["JFK_HNL"]
     lines = [r["line"] for r in workflows.brief_routes(ranked, models, embed.hashing_encoder(32), routes, "2025-01-01 00:00Z").orderBy("section", "pos", "line_no").collect()]
-    assert lines[1] == "  NOTAM BRIEF  |  JFK -> KBOS  |  2025-01-01 00:00Z UTC" and "  2 NOTAMs scored by ML pipeline" in lines
+    assert lines[1] == "  Briefing JFK -> KBOS, made 2025-01-01 00:00Z UTC" and "  Notices rated: 2" in lines
 
 
 def test_labelled_set_end_to_end(spark):
@@ -151,17 +151,17 @@ def test_labelled_set_end_to_end(spark):
         return spark.createDataFrame([(i, k, "R1", "A", "B", "KX", "Classification.DOM", "Q", f"t {k}") for i, k in enumerate(ids)],
                                      "seq int, id string, route string, departure string, destination string, icao_location string, classification string, selection_code string, text string")
 
-    kept = spark.createDataFrame([("n1", "LOW", 20, "old")], "notam_id string, criticality string, score int, reason string")
+    kept = spark.createDataFrame([("n1", "LOW", 20, "old")], "notice_id string, criticality string, score int, reason string")
 
     def ask(todo):
         assert {r["id"] for r in todo.select("id").collect()} == {"n2", "n3"}
-        return todo.select(F.col("id").alias("notam_id"), F.lit(1).alias("attempt"), F.when(F.col("id") == "n3", 400).otherwise(200).alias("status"),
+        return todo.select(F.col("id").alias("notice_id"), F.lit(1).alias("attempt"), F.when(F.col("id") == "n3", 400).otherwise(200).alias("status"),
                            F.lit('{"criticality":"HIGH","score":80}').alias("reply"))
 
     labeled, known = workflows.build_labeled([blocks(["n1", "n2"]), blocks(["n2", "n3"])], kept, ask, ["seq"])
     got = {r["id"]: (r["criticality"], r["classification"], r["reason"]) for r in labeled.collect()}
     assert got == {"n1": ("LOW", "DOM", "old"), "n2": ("HIGH", "DOM", ""), "n3": ("INFO", "DOM", "LABELING_FAILED: HTTP 400")}
-    assert {r["notam_id"] for r in known.collect()} == {"n1", "n2"}
+    assert {r["notice_id"] for r in known.collect()} == {"n1", "n2"}
 
 
 def test_rare_airports(spark):

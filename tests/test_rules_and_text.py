@@ -94,7 +94,7 @@ def test_first_success_and_failure_reasons(spark):
         ("c", 1, 429, None), ("c", 2, 500, None), ("c", 3, 529, None),
         ("d", 1, 400, None), ("d", 6, 200, good),
     ]
-    got = {r["notam_id"]: r for r in dedupe.first_success(spark.createDataFrame(rows, "notam_id string, attempt int, status int, reply string")).collect()}
+    got = {r["notice_id"]: r for r in dedupe.first_success(spark.createDataFrame(rows, "notice_id string, attempt int, status int, reply string")).collect()}
     assert (got["a"]["criticality"], got["a"]["attempt"]) == ("HIGH", 2)
     assert got["b"]["reason"] == "LABELING_FAILED: invalid reply"
     assert got["c"]["reason"] == "LABELING_FAILED: None" and got["c"]["criticality"] == "INFO"
