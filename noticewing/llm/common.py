@@ -138,6 +138,13 @@ def batches_of(rows: np.ndarray, most: int = 1 << 22) -> Iterator[tuple[int, int
         i = j
 
 
+def text_groups(column: pa.Array, most: int = 1 << 20) -> Iterator[list[str]]:
+    """A text column's rows in groups of about `most` bytes, null as empty."""
+    _, rows = text_bytes(column)
+    for i, j in batches_of(rows, most):
+        yield column.slice(i, j - i).fill_null("").to_pylist()
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """start, start+1, ... of every range, end to end."""
     total = int(lengths.sum())

@@ -3,48 +3,112 @@
 from __future__ import annotations
 
 import heapq
+import json
+import os
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticewing.llm.common import hash64, without, written
+from noticewing.llm.common import hash64, text_groups, without, written
 from noticewing.plans.order import grouped_position
 
-#: words a task remembers; beyond it the memory starts anew
-REMEMBERED = 300_000
+#: words a worker remembers in each of two generations; the older goes when the newer is full
+REMEMBERED = 200_000
 #: hash buckets a length's pieces are ranked in
 RANK_BUCKETS = 1 << 10
-PIECE = "start long, length long, ids_crc32 long, doc_tokens long"
+_PIECE = ["start", "length", "ids_crc32", "doc_tokens"]
+
+
+#: beyond these signs normal forms and lower case are left to the library; its special tokens too
+_FAR = re.compile("[^\x00-\u012f\u0131-\u024f]|<\\|")
+#: how the tokenizer divides a lower-case text of other signs: letters, single digits, contractions, the rest
+_LETTERS, _DIGITS, _WHITE = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r\x20\x85\xa0"
+_PARTS = re.compile(f"[{_LETTERS}]+|[{_DIGITS}]|'(?:s|t|re|ve|m|ll|d)|[^{_LETTERS}{_DIGITS}{_WHITE}]+")
+
+
+class Memory(dict):
+    """Ids of words, in two generations: when the newer is full the older goes. Lives as long as its worker."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = self.older[word]
+        return ids
+
+    def turn(self) -> None:
+        if len(self) > REMEMBERED:
+            self.older = dict(self)
+            self.clear()
 
 
 class WordIds:
-    """Token ids of whole texts for a tokenizer whose words never cross a space, little-endian 32-bit."""
+    """Token ids of whole texts by the tokenizers library, as little-endian 32-bit numbers.
+
+    For a tokenizer that lower-cases, drops white space, never merges across letters, digits and other
+    signs, and ends words with a suffix in its tokens: the library encodes every part that is not
+    known yet, and texts of far scripts or with special tokens whole.
+    """
 
     def __init__(self, text: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.library = Tokenizer.from_str(text)
         self.library.no_truncation()
         self.library.no_padding()
-        self.known: dict[str, bytes] = {"": b""}
+        spec = json.loads(text)
+        suffix = spec["model"].get("end_of_word_suffix")
+        if not suffix or "Lowercase" not in json.dumps(spec["normalizer"]):
+            raise ValueError("a lower-casing vocabulary with word ends is needed")
+        self.last = np.zeros(1 + max(spec["model"]["vocab"].values()), dtype=bool)
+        self.last[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
+        self.parts = Memory()
+
+    def _each(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _simple(self, words: list[str]) -> list[bytes]:
+        """Ids of parts that the tokenizer does not divide, encoded many in a text and told apart by their last tokens."""
+        out: list[bytes] = []
+        for i in range(0, len(words), 6400):
+            texts = [words[k : k + 64] for k in range(i, min(i + 6400, len(words)), 64)]
+            for some, e in zip(texts, self.library.encode_batch_fast([" ".join(t) for t in texts], add_special_tokens=False)):
+                ids = np.array(e.ids, dtype="<u4")
+                ends = np.flatnonzero(self.last[ids]) + 1
+                if len(ends) == len(some):
+                    raw, at = ids.tobytes(), (ends * 4).tolist()
+                    out += [raw[a:b] for a, b in zip([0, *at], at)]
+                else:
+                    out += self._each(some)
+        return out
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known = {"": b""}
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({w for ws in parts for w in ws if w not in self.known})
-        for i in range(0, len(new), 10_000):
-            some = new[i : i + 10_000]
-            for word, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[word] = np.array(e.ids, dtype="<u4").tobytes()
-        known = self.known
-        for ws in parts:
-            yield b"".join([known[w] for w in ws])
+        parts = self.parts
+        parts.turn()
+        far = [("<|" in t) if t.isascii() else bool(_FAR.search(t)) for t in texts]
+        divided = [None if f else _PARTS.findall(t.lower()) for t, f in zip(texts, far)]
+        seen = set(chain.from_iterable(ps for ps in divided if ps))
+        new = [p for p in seen if p not in parts and p not in parts.older]
+        parts.update(zip(new, self._simple(new)))
+        for text, ps in zip(texts, divided):
+            yield self._each([text])[0] if ps is None else b"".join(map(parts.__getitem__, ps))
+
+
+@lru_cache(maxsize=2)
+def word_ids(text: str) -> WordIds:
+    """One encoder for a worker process, whatever the number of its tasks."""
+    return WordIds(text)
 
 
 def pieces(docs: DataFrame, tokenizer_file: str, *, capacity: int, end_id: int, text: str = "text") -> DataFrame:
@@ -57,24 +121,24 @@ def pieces(docs: DataFrame, tokenizer_file: str, *, capacity: int, end_id: int,
     model = docs.sparkSession.sparkContext.broadcast(Path(tokenizer_file).read_text(encoding="utf-8"))
     end = np.array([end_id], dtype="<u4").tobytes()
 
-    def cut(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = WordIds(model.value)
-        for part in parts:
-            texts, out, i = part.fillna("").tolist(), [], 0
-            while i < len(texts):
-                j, size = i, 0
-                while j < len(texts) and size < 1 << 20:
-                    size += len(texts[j])
-                    j += 1
-                for ids in encode(texts[i:j]):
+    def cut(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encode = word_ids(model.value)
+        for column in parts:
+            found: list[tuple[int, int, int, int]] = []
+            sizes = []
+            for texts in text_groups(column):
+                for ids in encode(texts):
                     ids += end
                     n = len(ids) // 4
-                    out.append([(s, min(capacity, n - s), zlib.crc32(ids[4 * s : 4 * (s + capacity)]), n) for s in range(0, n, capacity)])
-                i = j
-            yield pd.Series(out)
-
-    add = F.pandas_udf(cut, f"array<struct<{PIECE.replace(' long', ':long')}>>")
-    rest = without(docs, text, "start", "length", "ids_crc32", "doc_tokens")
+                    starts = range(0, n, capacity)
+                    found += [(s, min(capacity, n - s), zlib.crc32(ids[4 * s : 4 * (s + capacity)]), n) for s in starts]
+                    sizes.append(len(starts))
+            values = np.array(found, dtype=np.int64).reshape(-1, 4)
+            flat = pa.StructArray.from_arrays([pa.array(values[:, k]) for k in range(4)], names=_PIECE)
+            yield pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), flat)
+
+    add = F.arrow_udf(cut, f"array<struct<{','.join(f'{c}:long' for c in _PIECE)}>>")
+    rest = without(docs, text, *_PIECE)
     names = [F.col(f"`{c}`") for c in rest.columns]
     return docs.select(*names, F.explode(add(F.col(f"`{text}`"))).alias("_p")).select(*names, "_p.*")
 
