@@ -5,18 +5,19 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticewing.llm.common import without
+from noticewing.llm.common import free_name, text_groups, without
 
 #: words a task remembers; beyond it the memory starts anew
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 #: cells of the trees that are merged side by side
 CELLS = 1 << 21
 _NONE = np.int64(1) << np.int64(62)
@@ -183,17 +184,30 @@ class Codec:
             yield ",".join([f[0] for f in found]), sum([f[1] for f in found]), b"".join([f[2] for f in found])
 
 
-def _groups(texts: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
-    """Texts in groups of about `most` signs."""
-    group, size = [], 0
-    for t in texts:
-        group.append(t)
-        size += len(t)
-        if size >= most:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
+@lru_cache(maxsize=2)
+def codec(text: str) -> Codec:
+    """One codec for a worker process, whatever the number of its tasks."""
+    return Codec(ByteBpe(text))
+
+
+def _added(docs: DataFrame, tokenizer_file: str, text: str, make, kind: str) -> DataFrame:
+    """`docs` with the fields of `kind`, which `make` gets from each text's ids, their number and bytes."""
+    model = docs.sparkSession.sparkContext.broadcast(Path(tokenizer_file).read_text(encoding="utf-8"))
+    names = [field.split(":")[0] for field in kind.split(",")]
+
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        both = codec(model.value).both
+        for column in parts:
+            rows = [make(*one) for texts in text_groups(column) for one in both(texts)]
+            yield pa.StructArray.from_arrays([pa.array([r[k] for r in rows], type=_ARROW[names[k]]) for k in range(len(names))], names=names)
+
+    kept = without(docs, *names)
+    new = free_name(kept, "_t")
+    added = kept.withColumn(new, F.arrow_udf(run, f"struct<{kind}>")(F.col(f"`{text}`")))
+    return added.select(*[F.col(f"`{c}`") for c in kept.columns], f"{new}.*")
+
+
+_ARROW = {"ids": pa.list_(pa.int32()), "n_tokens": pa.int64(), "decoded": pa.string(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
 
 
 def tokenized(docs: DataFrame, tokenizer_file: str, text: str = "text") -> DataFrame:
@@ -203,18 +217,11 @@ def tokenized(docs: DataFrame, tokenizer_file: str, text: str = "text") -> DataF
     strings of special tokens in a text become those tokens. Null texts count as empty: no ids, empty
     text. Bytes that are no UTF-8 decode to U+FFFD. Columns with these names are replaced.
     """
-    model = docs.sparkSession.sparkContext.broadcast(Path(tokenizer_file).read_text(encoding="utf-8"))
 
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        codec = Codec(ByteBpe(model.value))
-        for part in parts:
-            rows = [(np.fromstring(i, dtype=np.int32, sep=",") if n else np.zeros(0, np.int32), n, b.decode("utf-8", "replace"))
-                    for g in _groups(part.fillna("").tolist()) for i, n, b in codec.both(g)]
-            yield pd.DataFrame(rows, columns=["ids", "n_tokens", "decoded"])
+    def make(ids: str, n: int, raw: bytes) -> tuple:
+        return [int(i) for i in ids.split(",")] if n else [], n, raw.decode("utf-8", "replace")
 
-    add = F.pandas_udf(run, "ids array<int>, n_tokens long, decoded string")
-    return without(docs, "ids", "n_tokens", "decoded").withColumn("_t", add(F.col(f"`{text}`"))).select(
-        *[F.col(f"`{c}`") for c in without(docs, "ids", "n_tokens", "decoded").columns], "_t.*")
+    return _added(docs, tokenizer_file, text, make, "ids:array<int>,n_tokens:bigint,decoded:string")
 
 
 def token_digests(docs: DataFrame, tokenizer_file: str, text: str = "text") -> DataFrame:
@@ -222,16 +229,9 @@ def token_digests(docs: DataFrame, tokenizer_file: str, text: str = "text") -> D
 
     ids_sha256 is of the decimal ids joined by commas, decoded_sha256 of the decoded text in UTF-8.
     """
-    model = docs.sparkSession.sparkContext.broadcast(Path(tokenizer_file).read_text(encoding="utf-8"))
 
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        codec = Codec(ByteBpe(model.value))
-        for part in parts:
-            rows = [(n, hashlib.sha256(i.encode()).hexdigest(), hashlib.sha256(b.decode("utf-8", "replace").encode()).hexdigest())
-                    for g in _groups(part.fillna("").tolist()) for i, n, b in codec.both(g)]
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+    def make(ids: str, n: int, raw: bytes) -> tuple:
+        text = raw.decode("utf-8", "replace").encode()
+        return n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text).hexdigest()
 
-    add = F.pandas_udf(run, "n_tokens long, ids_sha256 string, decoded_sha256 string")
-    names = ("n_tokens", "ids_sha256", "decoded_sha256")
-    kept = without(docs, *names)
-    return kept.withColumn("_t", add(F.col(f"`{text}`"))).select(*[F.col(f"`{c}`") for c in kept.columns], "_t.*")
+    return _added(docs, tokenizer_file, text, make, "n_tokens:bigint,ids_sha256:string,decoded_sha256:string")
