@@ -88,9 +88,10 @@ def _grades(row: np.ndarray, col: np.ndarray, count: np.ndarray, toxic: np.ndarr
     return grades
 
 
-def fit_ordinal(row: np.ndarray, col: np.ndarray, value: np.ndarray, grade: np.ndarray, n_words: int, *, l2: float = 2e-4, steps: int = 250, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and increasing cuts that maximise the cumulative-link likelihood less an L2 penalty (Adam)."""
+def fit_ordinal(row: np.ndarray, col: np.ndarray, value: np.ndarray, grade: np.ndarray, n_words: int, *, prior: float = 1.0, steps: int = 250, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and increasing cuts of the largest posterior: cumulative-link likelihood, weights N(0, prior^2) (Adam)."""
     n, k = len(grade), GRADES - 1
+    l2 = 1 / (n * prior**2)
     share = np.clip(np.array([(grade <= c).mean() for c in range(k)]), 1e-3, 1 - 1e-3)
     first = np.log(share / (1 - share))
     theta = np.concatenate((np.zeros(n_words), [first[0]], np.log(np.maximum(np.diff(first), 1e-2))))
