@@ -46,7 +46,7 @@ def _delta_sigma(big_b, sin_s, cos_s, cos_2m):
 def inverse(lat1, lon1, lat2, lon2, rounds: int = 200):
     """(metres, initial bearing in degrees) on WGS-84 by Vincenty's inverse formula, vectorised.
 
-    Nearly antipodal pairs, where the iteration does not settle, give NaN.
+    Nearly antipodal pairs, where the iteration does not settle, are solved from the direct formula.
     """
     lat1, lon1, lat2, lon2 = (np.asarray(v, dtype="float64") for v in (lat1, lon1, lat2, lon2))
     u1, u2 = (np.arctan((1 - _F) * np.tan(np.radians(v))) for v in (lat1, lat2))
@@ -75,8 +75,50 @@ def inverse(lat1, lon1, lat2, lon2, rounds: int = 200):
         big_a, big_b = _series(cos_sq)
         metres = _B * big_a * (sigma - _delta_sigma(big_b, sin_s, cos_s, cos_2m))
         bearing = np.degrees(np.arctan2(cu2 * np.sin(lam), cu1 * su2 - su1 * cu2 * np.cos(lam)))
-    metres, bearing = np.where(settled, metres, np.nan), np.where(settled, bearing, np.nan)
-    return np.where(same, 0.0, metres), np.where(same, 0.0, bearing)
+    metres, bearing = np.where(same, 0.0, metres), np.where(same, 0.0, bearing)
+    given = np.isfinite(lat1) & np.isfinite(lon1) & np.isfinite(lat2) & np.isfinite(lon2)
+    open_ = np.flatnonzero(np.atleast_1d(~settled & given))
+    if len(open_):
+        flat = [np.atleast_1d(v).astype("float64") for v in np.broadcast_arrays(lat1, lon1, lat2, lon2, metres, bearing)]
+        shape = np.shape(flat[4]) if np.ndim(metres) else ()
+        flat[4][open_], flat[5][open_] = _far_inverse(*(v[open_] for v in flat[:4]))
+        metres, bearing = flat[4].reshape(shape), flat[5].reshape(shape)
+    return np.where(settled | given, metres, np.nan), np.where(settled | given, bearing, np.nan)
+
+
+def _far_inverse(lat1, lon1, lat2, lon2, starts: int = 24, rounds: int = 60):
+    """(metres, bearing) of nearly antipodal pairs: the shortest geodesic whose end meets the target.
+
+    Newton steps on bearing and length of the direct formula from bearings all around; of those that
+    meet the target the shortest counts. Pairs that none meets are NaN.
+    """
+    n = len(lat1)
+    bearing = np.tile((np.arange(starts) + 0.5) * 360.0 / starts, (n, 1))
+    metres = np.full((n, starts), np.pi * _B * 0.999)
+    at = [np.repeat(v[:, None], starts, axis=1) for v in (lat1, lon1, lat2, lon2)]
+
+    def miss(b, m):
+        lat, lon = direct(at[0], at[1], b, m)
+        turn = (lon - at[3] + 540.0) % 360.0 - 180.0
+        return np.radians(lat - at[2]) * _A, np.radians(turn) * np.cos(np.radians(at[2])) * _A
+
+    with np.errstate(all="ignore"):
+        for _ in range(rounds):
+            y, x = miss(bearing, metres)
+            yb, xb = miss(bearing + 1e-4, metres)
+            ym, xm = miss(bearing, metres + 10.0)
+            a, b, c, d = (yb - y) / 1e-4, (ym - y) / 10.0, (xb - x) / 1e-4, (xm - x) / 10.0
+            det = a * d - b * c
+            turn, go = (-y * d + b * x) / det, (-a * x + c * y) / det
+            bearing = bearing + np.nan_to_num(np.clip(turn, -10, 10))
+            metres = np.clip(metres + np.nan_to_num(np.clip(go, -2e5, 2e5)), 0.9 * np.pi * _B, 1.01 * np.pi * _A)
+        y, x = miss(bearing, metres)
+    met = np.where(np.hypot(x, y) < 1e-2, metres, np.inf)
+    best = met.argmin(axis=1)
+    row = np.arange(n)
+    found = np.isfinite(met[row, best])
+    turned = (bearing[row, best] + 540.0) % 360.0 - 180.0
+    return np.where(found, met[row, best], np.nan), np.where(found, turned, np.nan)
 
 
 def direct(lat1, lon1, bearing, metres, rounds: int = 100):

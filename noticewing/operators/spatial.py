@@ -32,10 +32,10 @@ def waypoints(routes: DataFrame, n: int | None = None, gap_miles: float | None =
         raise ValueError("Gap is not a valid number.")
     if n is not None and n < 0:
         raise ValueError("n must not be negative")
-    # null comes back from the ellipsoid formula for nearly antipodal ends; such a route must not vanish silently
+    # null comes back for ends that are missing or meet no geodesic; such a route must not vanish silently
     lost = F.col("distance_miles").isNull() | F.isnan("distance_miles")
     inner = F.lit(n) if n is not None else F.floor(F.col("distance_miles") / F.lit(float(gap_miles))).cast("int")
-    inner = F.when(lost, F.raise_error(F.lit("the ends of a route are nearly antipodal"))).otherwise(inner)
+    inner = F.when(lost, F.raise_error(F.lit("the ends of a route are unknown or meet no geodesic"))).otherwise(inner)
     still = (F.col("dep_lat") == F.col("dst_lat")) & (F.col("dep_lon") == F.col("dst_lon"))
     # a narrow route row grows into many points, so routes are spread over the tasks first
     ends = route_length(routes.repartition(key)).withColumn("_last", F.when(still, 0).otherwise(inner + 1))

@@ -37,11 +37,15 @@ def test_waypoints_are_even_and_follow_the_geodesic(spark):
     assert np.abs(bearing + 86.110).max() < 1
 
 
-def test_antipodal_ends_fail_loudly(spark):
-    metres, _ = geo.inverse([0.0, JFK[0]], [0.0, JFK[1]], [0.5, LAX[0]], [179.7, LAX[1]])
-    assert np.isnan(metres[0]) and metres[1] / geo.METRES_PER_MILE == pytest.approx(2474.884, abs=1e-3)
-    with pytest.raises(Exception, match="antipodal"):
-        spatial.waypoints(_route(spark, (0.0, 0.0), (0.5, 179.7)), n=3).collect()
+def test_nearly_antipodal_ends(spark):
+    # Karney, Algorithms for geodesics (2013), and half a meridian
+    metres, bearing = geo.inverse([-30.0, 0.0, 0.0, JFK[0]], [0.0, 0.0, 0.0, JFK[1]], [29.9, 0.5, 0.0, LAX[0]], [179.8, 179.7, 180.0, LAX[1]])
+    assert metres[:3] == pytest.approx([19989832.827610, 19944127.421, 20003931.4586], abs=1e-3)
+    assert bearing[0] == pytest.approx(161.890524736, abs=1e-6) and metres[3] / geo.METRES_PER_MILE == pytest.approx(2474.884, abs=1e-3)
+    points = spatial.waypoints(_route(spark, (0.0, 0.0), (0.5, 179.7)), n=3).orderBy("wp_idx").toPandas()
+    assert len(points) == 5 and points["lat"].iloc[2] > 70 and points["lon"].iloc[-1] == 179.7
+    row = spatial.route_length(_route(spark, (0.0, 0.0), (0.3, 179.7))).first()
+    assert row["distance_miles"] * geo.METRES_PER_MILE == pytest.approx(19965251.4086, abs=1e-2)
 
 
 def test_same_airport_and_bad_gap(spark):
