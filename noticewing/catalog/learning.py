@@ -37,6 +37,12 @@ def _(v: Views):
     return split.stratified_split(_training(v)).groupBy("criticality", "is_test").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("split_sides", "SELECT id, CAST(1 AS BIGINT) AS sides FROM v_labeled WHERE reason NOT LIKE 'LABELING_FAILED%' GROUP BY id")
+def _(v: Views):
+    # no row on both sides, none lost
+    return split.stratified_split(_training(v)).groupBy("id").agg(F.count_distinct("is_test").alias("sides"))
+
+
 TERMS_SQL = r"""docs AS (SELECT id, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}_]{2,}') AS u FROM v_notices),
  grams AS (SELECT id, unnest(u) AS term FROM docs UNION ALL SELECT id, unnest(list_transform(range(1, len(u)), lambda i: u[i] || ' ' || u[i + 1])) FROM docs),
  tf AS (SELECT id, term, count(*) AS tf FROM grams GROUP BY 1, 2),
@@ -109,6 +115,29 @@ def _(v: Views):
     )
 
 
+@query("iforest_totals", """
+SELECT CAST(t AS INT) AS tree, least(256, n) AS leaf_rows, TRUE AS within_depth
+FROM (SELECT unnest(range(200)) AS t) z CROSS JOIN (SELECT count(*) AS n FROM embeddings) c""")
+def _(v: Views):
+    # every tree isolates exactly its sample and stays within the depth of a balanced tree
+    model = iforest.IsolationForestModel.fit(_vectors(v))
+    limit = F.ceil(F.log2(F.lit(float(max(model.psi, 2)))))
+    return model.frame(v.spark).groupBy("tree").agg(
+        F.sum(F.when(F.col("feature") < 0, F.col("size"))).alias("leaf_rows"), (F.max("depth") <= limit).alias("within_depth")
+    )
+
+
+@query("iforest_roundtrip", "SELECT vec_id AS id, TRUE AS same FROM embeddings")
+def _(v: Views):
+    vectors = _vectors(v)
+    model = iforest.IsolationForestModel.fit(vectors)
+    folder = storage.scratch(v.spark)
+    model.save(v.spark, folder)
+    again = iforest.IsolationForestModel.load(v.spark, folder)
+    both = again.transform(model.transform(vectors, out="first"), out="second")
+    return both.select("id", (F.col("first") == F.col("second")).alias("same"))
+
+
 @query("iforest_score")
 def _(v: Views):
     vectors = _vectors(v)
