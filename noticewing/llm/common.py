@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from noticewing.plans.storage import written
 
-__all__ = ["free_name", "hash64", "read_table", "uniform", "without", "written"]
+__all__ = ["free_name", "hash64", "read_table", "release", "uniform", "without", "written"]
 
 #: bytes of text hashed at once, so that the arrays beside it stay small
 BLOCK = 1 << 18
@@ -24,6 +25,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that are over: it does so when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """`df` without columns that have one of these names, whatever their case."""
     low = {n.lower() for n in names}

@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from noticewing.llm.common import (
-    batches_of, hash64, mixed, ranges, text_bytes, word_hashes, word_spans, written,
+    batches_of, hash64, lists, mixed, ranges, release, text_bytes, word_hashes, word_spans, written,
 )
 
 #: share of all lines from which on a token's frequency is counted; rarer tokens rank as equally rare
-FREQUENT = 4e-4
+FREQUENT = 5e-5
 #: bytes of text whose lines are counted and collapsed together
 CHUNK = 24 << 20
 #: bytes of text whose keys meet in one partition
@@ -38,7 +38,7 @@ def doc_keys(docs: DataFrame, key: str = "doc_id", text: str = "text") -> dict[s
 
 
 def _token_sets(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Line of every row, and each line's distinct tokens: (row of line, number in row, line of token, token)."""
+    """Row and number of every line, and the distinct tokens of each with their line, lines in order."""
     feeds = np.flatnonzero(data == _LF)
     # A row begins a line and so does every feed in it, even its last byte: that line is empty.
     line_row = np.concatenate((np.arange(len(rows) - 1), np.searchsorted(rows[1:], feeds, side="right")))
@@ -48,11 +48,13 @@ def _token_sets(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, ...]:
     starts, ends, _ = word_spans(data, rows)
     tokens = word_hashes(data, starts, ends)
     line = np.searchsorted(cuts, starts, side="right") - 1
-    by = np.lexsort((tokens, line))
-    line, tokens = line[by], tokens[by]
-    new = np.ones(len(line), dtype=bool)
-    new[1:] = (line[1:] != line[:-1]) | (tokens[1:] != tokens[:-1])
-    return line_row, line_no, line[new], tokens[new]
+    with np.errstate(over="ignore"):
+        both = mixed(tokens ^ (line.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    by = np.argsort(both)
+    new = np.ones(len(by), dtype=bool)
+    new[1:] = both[by[1:]] != both[by[:-1]]
+    one = np.sort(by[new])  # one place of every (line, token), in the order of lines
+    return line_row, line_no, line[one], tokens[one]
 
 
 def _signatures(n_lines: int, line: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,6 +68,18 @@ def _signatures(n_lines: int, line: np.ndarray, tokens: np.ndarray) -> tuple[np.
         return mixed(total ^ mixed(other + size.astype(np.uint64))), size
 
 
+def _bitmaps(n_lines: int, line: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """128 bits of each line, the parity of its tokens on each: sets differ in at least as many tokens as bits."""
+    out = np.zeros((n_lines, 2), dtype=np.uint64)
+    bit = ((tokens >> np.uint64(20)) & np.uint64(127)).astype(np.int64)
+    for i in range(0, n_lines, 1 << 14):  # some lines at a time: a count per line and bit
+        n = min(1 << 14, n_lines - i)
+        a, b = np.searchsorted(line, (i, i + n))
+        odd = np.bincount((line[a:b] - i) * 128 + bit[a:b], minlength=n * 128).astype(np.uint8) & 1
+        out[i : i + n] = np.packbits(odd.reshape(n, 128), axis=1, bitorder="little").view(np.uint64)
+    return out
+
+
 def _chunks(batches: Iterator[pa.RecordBatch], most: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray, pa.RecordBatch]]:
     """Blocks of a batch whose column `text` has about `most` bytes: bytes, row starts, the block's rows."""
     for batch in batches:
@@ -74,47 +88,48 @@ def _chunks(batches: Iterator[pa.RecordBatch], most: int = CHUNK) -> Iterator[tu
             yield data[rows[i] : rows[j]], rows[i : j + 1] - rows[i], batch.slice(i, j - i)
 
 
-def frequent_tokens(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and line counts of tokens that occur in many lines (column `text`).
+def _read(docs: DataFrame) -> DataFrame:
+    """Lines with tokens (kind 0: document, number in it, signature, distinct tokens, bitmap) and token counts.
 
-    Every chunk of text reports tokens in at least half of FREQUENT of its lines; sums over all chunks
-    are within that of the truth, and no token of FREQUENT of all lines is missed. At most
-    2 / FREQUENT times the tokens of a mean line reach the driver, however many documents there are.
+    Every chunk of text reports tokens in at least half of FREQUENT of its lines (kind 1: token as
+    `_sig`, lines as `_n`) and how many lines it has (kind 2).
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for data, rows, _ in _chunks(batches):
-            line_row, _, _, tokens = _token_sets(data, rows)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for data, rows, part in _chunks(batches):
+            line_row, line_no, line, tokens = _token_sets(data, rows)
+            sig, size = _signatures(len(line_row), line, tokens)
+            some = size > 0
             words, n = np.unique(tokens, return_counts=True)
             often = n >= max(1.0, FREQUENT / 2 * len(line_row))
+            more = int(often.sum()) + 1
+            none, at = np.zeros(more, dtype=np.int64), pa.array(line_row[some])
+            bitmap = _bitmaps(len(line_row), line, tokens)[some].view(np.int64)
+            add = lambda column, tail: np.concatenate((np.asarray(column), tail))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.append(words[often].view(np.int64), 0)), pa.array(np.append(n[often], len(line_row))), pa.array(np.append(np.zeros(often.sum(), bool), True))],
-                names=["token", "n", "total"])
-
-    found = docs.select("text").mapInArrow(count, "token long, n long, total boolean").groupBy("total", "token").agg(F.sum("n").alias("n"))
-    found = written(found)
-    total = found.where("total").agg(F.sum("n")).first()[0] or 0
-    rows = found.where(~F.col("total") & (F.col("n") >= F.lit(FREQUENT / 2 * total))).select("token", "n").toArrow()
-    token, n = rows["token"].to_numpy().view(np.uint64), rows["n"].to_numpy()
-    order = np.argsort(token)
-    return token[order], n[order]
+                [pa.array(add(np.zeros(len(at), np.int32), np.append(np.ones(more - 1), 2).astype(np.int32))),
+                 pa.array(add(part.column("_id").take(at), none)), pa.array(add(part.column("_h").take(at), none)),
+                 pa.array(add(line_no[some].astype(np.int32), none.astype(np.int32))),
+                 pa.array(add(sig[some].view(np.int64), np.append(words[often].view(np.int64), 0))),
+                 pa.array(add(size[some].astype(np.int32), np.append(n[often], len(line_row)).astype(np.int32))),
+                 *(pa.array(add(bitmap[:, k], none)) for k in range(2))],
+                names=["_kind", "_id", "_h", "_line", "_sig", "_n", "_b0", "_b1"])
 
+    return docs.select("_id", "_h", "text").mapInArrow(run, "_kind int, _id long, _h long, _line int, _sig long, _n int, _b0 long, _b1 long")
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """One row per line with tokens: document, number in it, signature, number of distinct tokens."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for data, rows, part in _chunks(batches, 1 << 22):
-            line_row, line_no, line, tokens = _token_sets(data, rows)
-            sig, size = _signatures(len(line_row), line, tokens)
-            some = size > 0
-            at = line_row[some]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("_id").take(pa.array(at)), part.column("_h").take(pa.array(at)), pa.array(line_no[some].astype(np.int32)),
-                 pa.array(sig[some].view(np.int64)), pa.array(size[some].astype(np.int32))],
-                names=["_id", "_h", "_line", "_sig", "_n"])
+def frequent_tokens(read: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of tokens that many lines have, and how rare each is (0 rarest; others are rarer).
 
-    return docs.select("_id", "_h", "text").mapInArrow(run, "_id long, _h long, _line int, _sig long, _n int")
+    Sums over all chunks are within FREQUENT / 2 of all lines of the truth. At most 2 / FREQUENT times
+    the tokens of a mean line reach the driver, however many documents there are.
+    """
+    total = read.where("_kind = 2").agg(F.sum("_n")).first()[0] or 0
+    sums = read.where("_kind = 1").groupBy("_sig").agg(F.sum("_n").alias("n"))
+    rows = sums.where(F.col("n") >= F.lit(FREQUENT / 2 * total)).toArrow()
+    token, n = rows["_sig"].to_numpy().view(np.uint64), rows["n"].to_numpy()
+    order = np.argsort(token)
+    return token[order], np.minimum(16 * np.log2(1 + n[order]), 511).astype(np.uint64)
 
 
 def pair_prefix(n: np.ndarray, threshold: Fraction) -> np.ndarray:
@@ -131,22 +146,21 @@ def pair_prefix(n: np.ndarray, threshold: Fraction) -> np.ndarray:
     return np.minimum((n * slope.numerator) // slope.denominator + 2, n)
 
 
-def _keys(docs: DataFrame, threshold: Fraction, n_parts: int, low: int, span: int) -> DataFrame:
+def _keys(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], threshold: Fraction, n_parts: int, low: int, span: int) -> DataFrame:
     """Blobs of (key, signature, size, position, order) by partition, lines of a chunk collapsed first.
 
     A key is the hash of two neighbouring tokens, rarest first, of the pair prefix. Sets of one to
     three tokens match only equal sets and show no keys; nothing is lost by it when t > 3/4.
     """
-    words, counts = frequent_tokens(docs)
-    shared = docs.sparkSession.sparkContext.broadcast((words, counts))
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
     least = 4 if threshold > Fraction(3, 4) else 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, count = shared.value
-        for data, rows, part in _chunks(batches, CHUNK // 2):
+        for data, rows, part in _chunks(batches, 1 << 22):  # fewer lines than 2^22
             line_row, _, line, tokens = _token_sets(data, rows)
             sig, size = _signatures(len(line_row), line, tokens)
-            order = ((part.column("_id").to_numpy().astype(float) - low) / span * (2**32 - 1)).clip(0, 2**32 - 1).astype(np.uint32)[line_row]
+            order = ((part.column("_id").to_numpy().astype(float) - low) / span * (2**16 - 1)).clip(0, 2**16 - 1).astype(np.uint16)[line_row]
             by = np.lexsort((order, sig))
             first = np.ones(len(by), dtype=bool)
             first[1:] = sig[by][1:] != sig[by][:-1]
@@ -155,11 +169,12 @@ def _keys(docs: DataFrame, threshold: Fraction, n_parts: int, low: int, span: in
             chosen &= size >= least
             keep = chosen[line]
             line, tokens = line[keep], tokens[keep]
-            rank = np.zeros(len(tokens), dtype=np.int64)
+            rank = np.zeros(len(tokens), dtype=np.uint64)
             if len(often):
                 at = np.minimum(np.searchsorted(often, tokens), len(often) - 1)
-                rank = np.where(often[at] == tokens, count[at], 0)
-            by = np.lexsort((tokens, rank, line))  # rarest first; equal ranks by hash
+                rank = np.where(often[at] == tokens, count[at] + np.uint64(1), np.uint64(0))
+            # Lines in order, in each the rarest first, equal ranks by hash: 22, 10 and 32 bits.
+            by = np.argsort(line.astype(np.uint64) << np.uint64(42) | rank << np.uint64(32) | tokens >> np.uint64(32))
             line, tokens = line[by], tokens[by]
             start = np.searchsorted(line, line)
             place = np.arange(len(line)) - start
@@ -171,7 +186,7 @@ def _keys(docs: DataFrame, threshold: Fraction, n_parts: int, low: int, span: in
             part_no = (pair >> np.uint64(32)) % np.uint64(n_parts)
             entry = np.zeros(len(at), dtype=ENTRY)
             entry["key"], entry["sig"], entry["order"] = pair & np.uint64(0xFFFFFFFF), sig[line], order[line]
-            entry["n"], entry["i"] = np.minimum(size[line], 65535), np.minimum(place, 65535)
+            entry["n"], entry["i"] = np.minimum(size[line], 65535), np.minimum(place, 255)
             by = np.argsort(part_no, kind="stable")
             entry, part_no = entry[by], part_no[by]
             some, edge = np.unique(part_no, return_index=True)
@@ -183,8 +198,9 @@ def _keys(docs: DataFrame, threshold: Fraction, n_parts: int, low: int, span: in
     return docs.select("_id", "text").mapInArrow(run, "part int, blob binary")
 
 
-#: one key of one line; sizes and positions beyond 65534 are written as 65535 and pass every filter
-ENTRY = np.dtype([("key", "<u4"), ("sig", "<u8"), ("order", "<u4"), ("n", "<u2"), ("i", "<u2")])
+#: one key of one line; sizes beyond 65534 are written as 65535 and pass every filter, positions
+#: beyond 255 as 255; order is the document's rough place among all
+ENTRY = np.dtype([("key", "<u4"), ("sig", "<u8"), ("order", "<u2"), ("n", "<u2"), ("i", "u1")])
 _SHARED = "kind int, key long, sig long, other long, n int, i int, m int, j int"
 
 
@@ -198,8 +214,9 @@ def filtered(n: np.ndarray, i: np.ndarray, m: np.ndarray, j: np.ndarray, t: Frac
     known = (n < 65535) & (m < 65535)
     length = np.minimum(n, m) * t.denominator >= np.maximum(n, m) * t.numerator
     most = np.minimum(n - i, m - j) + np.minimum(i, j)
+    known &= (i < 255) & (j < 255)
     enough = most * (t.denominator + t.numerator) >= t.numerator * (n + m)
-    return ~known | (length & enough)
+    return length & (~known | enough) | (n == 65535) | (m == 65535)
 
 
 def _meet(blobs: DataFrame, t: Fraction, n_parts: int) -> DataFrame:
@@ -250,17 +267,24 @@ def _rows(kind: int, key: np.ndarray, e: np.ndarray, own: np.ndarray, other: np.
         names=["kind", "key", "sig", "other", "n", "i", "m", "j"])
 
 
-@F.arrow_udf(T.ArrayType(T.StructType().add("line", "integer").add("tokens", T.ArrayType(T.LongType()))))
+@F.arrow_udf(T.ArrayType(T.StructType().add("sig", "long").add("tokens", T.ArrayType(T.LongType()))))
 def _tokens_of(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     for text, wanted in columns:
         data, rows = text_bytes(text)
-        wanted = wanted.combine_chunks() if isinstance(wanted, pa.ChunkedArray) else wanted
-        out = []
-        for r in range(len(text)):
-            line_row, line_no, line, tokens = _token_sets(data[rows[r] : rows[r + 1]], rows[r : r + 2] - rows[r])
-            edge = np.searchsorted(line, np.arange(len(line_row) + 1))
-            out.append([{"line": k, "tokens": tokens[edge[k] : edge[k + 1]].view(np.int64)} for k in wanted[r].as_py()])
-        yield pa.array(out, type=pa.list_(pa.struct([("line", pa.int32()), ("tokens", pa.list_(pa.int64()))])))
+        asked, edge = wanted.flatten().to_numpy(), wanted.offsets.to_numpy() - wanted.offsets.to_numpy()[0]
+        sigs, sizes, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, j in batches_of(rows):
+            line_row, _, line, tokens = _token_sets(data[rows[i] : rows[j]], rows[i : j + 1] - rows[i])
+            sig, size = _signatures(len(line_row), line, tokens)
+            first = np.searchsorted(line_row, np.arange(j - i))
+            pick = np.repeat(first, np.diff(edge[i : j + 1])) + asked[edge[i] : edge[j]]
+            start = np.concatenate(([0], np.cumsum(size)))
+            sigs.append(sig[pick].view(np.int64))
+            sizes.append(size[pick])
+            values.append(tokens[ranges(start[pick], size[pick])].view(np.int64))
+        found = pa.StructArray.from_arrays(
+            [pa.array(np.concatenate(sigs)), lists(np.concatenate(values), np.concatenate(sizes), pa.int64())], names=["sig", "tokens"])
+        yield pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), found)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
@@ -292,29 +316,36 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id",
     spark = docs.sparkSession
     slim = docs.select(*[c.alias(n) for n, c in doc_keys(docs, key, text).items()], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     low, high, size = slim.agg(F.min("_id"), F.max("_id"), F.sum(F.length(F.col("text").cast("binary")))).first()
-    lines = written(_lines(slim))
+    read = written(_read(slim))
+    lines = read.where("_kind = 0").drop("_kind")
     place = F.struct("_id", "_h", "_line")
-    firsts = written(lines.groupBy("_sig").agg(F.min(place).alias("_first")))
+    firsts = written(lines.groupBy("_sig").agg(F.min(place).alias("_first"), F.max("_n").alias("_n"), F.max("_b0").alias("_b0"), F.max("_b1").alias("_b1")))
     if size is None:
         return lines.select("_id", "_h", "_line").where("false")
     n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // TEXT_PER_PARTITION))
-    met = written(_meet(_keys(slim, t, n_parts, int(low), max(1, int(high) - int(low))), t, n_parts))
+    met = written(_meet(_keys(slim, frequent_tokens(read), t, n_parts, int(low), max(1, int(high) - int(low))), t, n_parts))
 
     def ordered(pairs: DataFrame) -> DataFrame:
-        """Distinct pairs with the later line first."""
-        a = firsts.select(F.col("_sig").alias("sig"), F.col("_first").alias("_p"))
-        b = firsts.select(F.col("_sig").alias("other"), F.col("_first").alias("_q"))
-        placed = pairs.distinct().join(a, "sig").join(b, "other")
+        """Distinct pairs with the later line first, but for those whose bitmaps differ in too many places."""
+        a = firsts.select(F.col("_sig").alias("sig"), F.col("_first").alias("_p"), *[F.col(c).alias(f"{c}_p") for c in ("_n", "_b0", "_b1")])
+        b = firsts.select(F.col("_sig").alias("other"), F.col("_first").alias("_q"), *[F.col(c).alias(f"{c}_q") for c in ("_n", "_b0", "_b1")])
+        apart = sum(F.bit_count(F.col(f"{c}_p").bitwiseXOR(F.col(f"{c}_q"))) for c in ("_b0", "_b1"))
+        fair = apart.cast("long") * (t.denominator + t.numerator) <= (t.denominator - t.numerator) * (F.col("_n_p") + F.col("_n_q")).cast("long")
+        placed = pairs.distinct().join(a, "sig").join(b, "other").where(fair)
         swap = F.col("_p") < F.col("_q")
         return placed.select(F.when(swap, F.col("other")).otherwise(F.col("sig")).alias("later"), F.when(swap, F.col("sig")).otherwise(F.col("other")).alias("earlier"))
 
-    named = met.select("sig").unionByName(met.where("kind = 0").select(F.col("other").alias("sig"))).distinct()
+    release(spark)
+    first_pairs = written(ordered(met.where("kind = 0").select("sig", "other")))
+    named = first_pairs.select(F.col("later").alias("sig")).unionByName(first_pairs.select(F.col("earlier").alias("sig"))).unionByName(
+        met.where("kind = 1").select("sig")).distinct()
     homes = firsts.join(named.withColumnRenamed("sig", "_sig"), "_sig", "left_semi").select("_sig", "_first.*")
     wanted = homes.groupBy("_id", "_h").agg(F.collect_list("_line").alias("_wanted"))
-    texts = slim.join(wanted, ["_id", "_h"]).select("_id", "_h", F.explode(_tokens_of("text", "_wanted")).alias("_t"))
-    sets = written(homes.join(texts.select("_id", "_h", F.col("_t.line").alias("_line"), F.col("_t.tokens").alias("_tokens")), ["_id", "_h", "_line"]).select("_sig", "_tokens").dropDuplicates(["_sig"]))
+    # Dropped behind the join, where repeated rows are together already.
+    sets = written(slim.join(wanted, ["_id", "_h"]).dropDuplicates(["_id", "_h"]).select(F.explode(_tokens_of("text", "_wanted")).alias("_t")).select(
+        F.col("_t.sig").alias("_sig"), F.col("_t.tokens").alias("_tokens")))
 
-    first_pairs = written(ordered(met.where("kind = 0").select("sig", "other")))
+    release(spark)
     gone = written(_verified(first_pairs, sets, t).select(F.col("later").alias("_sig")).distinct())
 
     members = met.where("kind = 1").select("key", "sig", "n", "i", "other")
@@ -322,9 +353,10 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id",
     y = members.select("key", F.col("sig").alias("other"), F.col("n").alias("m"), F.col("i").alias("j"))
     tn, td = F.lit(t.numerator), F.lit(t.denominator)
     n, m, i, j = (F.col(c).cast("long") for c in ("n", "m", "i", "j"))
-    fits = (F.least(n, m) * td >= F.greatest(n, m) * tn) & ((F.least(n - i, m - j) + F.least(i, j)) * (tn + td) >= tn * (n + m))
+    lengths = F.least(n, m) * td >= F.greatest(n, m) * tn
+    fits = lengths & ((F.least(n - i, m - j) + F.least(i, j)) * (tn + td) >= tn * (n + m))
     rest = (
-        open_.drop("other").join(y, "key").where((F.col("sig") != F.col("other")) & (fits | (F.greatest("n", "m") >= 65535)))
+        open_.drop("other").join(y, "key").where((F.col("sig") != F.col("other")) & (fits | (F.greatest("n", "m") >= 65535) | (lengths & (F.greatest("i", "j") >= 255))))
         .select("sig", "other")
     )
     later = ordered(rest).join(gone, F.col("later") == gone["_sig"], "left_anti").select("later", "earlier")
