@@ -15,7 +15,7 @@ from noticewing.llm.graph import components
 from noticewing.llm.vectors import matrix, same_width, usable
 
 #: a pair at the threshold shares one table at least with this probability
-RECALL = 0.9999
+RECALL = 0.999999
 #: sign bits of a table
 BITS = 16
 #: vectors of a block: pairs of blocks are compared, not pairs of rows
