@@ -90,7 +90,8 @@ def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_substrings")
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.window_report(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select(F.col("_id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+    key = F.when(F.col("_id") != -(1 << 63), F.col("_id"))  # that stands for null
+    return out.select(key.alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
 @query("op9_toxicity")
