@@ -88,11 +88,16 @@ def _grades(row: np.ndarray, col: np.ndarray, count: np.ndarray, toxic: np.ndarr
     return grades
 
 
-def fit_ordinal(row: np.ndarray, col: np.ndarray, value: np.ndarray, grade: np.ndarray, n_words: int, *, prior: float = 1.0, steps: int = 250, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and increasing cuts of the largest posterior: cumulative-link likelihood, weights N(0, prior^2) (Adam)."""
+def fit_ordinal(row: np.ndarray, col: np.ndarray, value: np.ndarray, grade: np.ndarray, n_words: int, weight: np.ndarray | None = None, *, prior: float = 1.0, steps: int = 250, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and increasing cuts of the largest posterior: cumulative-link likelihood, weights N(0, prior^2) (Adam).
+
+    `weight` says how many documents each one stands for; only the proportions count.
+    """
     n, k = len(grade), GRADES - 1
+    weight = np.ones(n) if weight is None else weight * (n / weight.sum())
     l2 = 1 / (n * prior**2)
-    share = np.clip(np.array([(grade <= c).mean() for c in range(k)]), 1e-3, 1 - 1e-3)
+    # Grades of a few in a million are found too, so the bound is far out.
+    share = np.clip(np.array([weight[grade <= c].sum() / n for c in range(k)]), 1e-9, 1 - 1e-9)
     first = np.log(share / (1 - share))
     theta = np.concatenate((np.zeros(n_words), [first[0]], np.log(np.maximum(np.diff(first), 1e-2))))
     m, v = np.zeros_like(theta), np.zeros_like(theta)
@@ -106,7 +111,7 @@ def fit_ordinal(row: np.ndarray, col: np.ndarray, value: np.ndarray, grade: np.n
         tilt = np.concatenate((np.zeros((n, 1)), slope, np.zeros((n, 1))), axis=1)
         at = np.arange(n)
         p = np.maximum(edge[at, grade + 1] - edge[at, grade], 1e-9)
-        high, low = tilt[at, grade + 1] / p, tilt[at, grade] / p
+        high, low = weight * tilt[at, grade + 1] / p, weight * tilt[at, grade] / p
         d_score = (high - low) / n  # of the negative log likelihood
         d_cut = np.array([-(high[grade == c].sum() - low[grade == c + 1].sum()) / n for c in range(k)])
         tail = np.cumsum(d_cut[::-1])[::-1]
@@ -121,9 +126,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_label: int = SAMPLE_PER_LABEL
     """Model from a bounded sample: the `per_label` labelled documents of each label with the smallest key hashes.
 
     Labels other than 0 and 1, null keys and labels without a document are left out; a key labelled
-    twice is toxic if any row says so. Without a toxic and a clean document every severity is 0.
+    twice is toxic if any row says so. Sampled documents weigh as many labels as they stand for, so
+    the shares of the labels are those of all rows. Without a toxic and a clean document every severity is 0.
     """
     marks = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.max(label).alias("_y"))
+    stands_for = {int(r[0]): max(1.0, r[1] / per_label) for r in marks.groupBy("_y").count().collect()}
     picked = None
     for y in (0, 1):
         part = marks.where(F.col("_y") == y).orderBy(uniform("_k"), "_k").limit(per_label)
@@ -144,7 +151,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_label: int = SAMPLE_PER_LABEL
     kept = often[col]
     row, col, count, words = row[kept], place[col[kept]], count[kept], words[often]
     grade = _grades(row, col, count, toxic, len(words))
-    weights, cuts = fit_ordinal(row, col, np.log1p(count), grade, len(words))
+    weight = np.where(toxic > 0, stands_for[1], stands_for[0])
+    weights, cuts = fit_ordinal(row, col, np.log1p(count), grade, len(words), weight)
     return OrdinalModel(words, weights, cuts)
 
 

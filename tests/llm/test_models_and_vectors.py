@@ -57,6 +57,23 @@ def test_more_marked_words_are_graded_worse(spark, labelled):
     assert got[0] < got[1] < got[2]
 
 
+def test_a_smaller_sample_keeps_the_rejection_rate(spark):
+    rng = random.Random(9)
+    rows, labels = [], []
+    for i in range(3000):
+        text = [f"word{rng.randrange(40)}" for _ in range(30)]
+        vile, sure = i % 4 == 0, i % 20 == 1
+        text[:1] = ["vile"] if vile else ["rotten"] if sure else text[:1]
+        rows.append((i, " ".join(text)))
+        labels.append((i, int(sure or rng.random() < (0.3 if vile else 0.01))))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    rates = []
+    for per_label in (5000, 300):
+        rated = severity.severity(docs, severity.fit(docs, marks, per_label=per_label))
+        rates.append(rated.agg(F.avg((F.col("toxic_probability") >= 0.5).cast("int"))).first()[0])
+    assert 0.04 < rates[0] < 0.12 and abs(rates[0] - rates[1]) < 0.03
+
+
 def test_quality(labelled):
     docs, labels = labelled
     model = quality.fit(docs, labels, F.col("doc_id") % 3 != 0)
