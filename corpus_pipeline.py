@@ -30,7 +30,7 @@ def drop_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 2048 tokens; a document left without text gives one token."""
+    """Pieces of the documents, with their token ids, in sequences of 2048 tokens; a document left without text gives one token."""
     return packing.packed(docs.select("doc_id", "text"), tokenizer_path("word_bpe_49k.json"), capacity=2048, end_id=1)
 
 

@@ -17,15 +17,16 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from noticewing.llm.common import hash64, text_groups, without, written
+from noticewing.llm.common import free_name, hash64, lists, text_groups, without, written
 from noticewing.plans.order import grouped_position
 
 #: words a worker remembers in each of two generations; the older goes when the newer is full
 REMEMBERED = 200_000
 #: hash buckets a length's pieces are ranked in
 RANK_BUCKETS = 1 << 10
-_PIECE = ["start", "length", "ids_crc32", "doc_tokens"]
+_PIECE = ["start", "length", "doc_tokens", "ids"]
 
 
 #: beyond these signs normal forms and lower case are left to the library; its special tokens too
@@ -114,9 +115,9 @@ def word_ids(text: str) -> WordIds:
 def pieces(docs: DataFrame, tokenizer_file: str, *, capacity: int, end_id: int, text: str = "text") -> DataFrame:
     """Documents cut into pieces of at most `capacity` tokens, every text followed by `end_id`.
 
-    Each row becomes one row per piece with `start`, `length`, `ids_crc32` (of the ids as unsigned
-    little-endian 32-bit numbers) and `doc_tokens`; the text is dropped. Null texts count as empty and
-    give one piece, the end id. The tokenizer's words must not cross a space or line end.
+    Each row becomes one row per piece with `start`, `length`, `doc_tokens` and `ids`, the piece's token
+    ids; the text is dropped. Null texts count as empty and give one piece, the end id. The tokenizer's
+    words must not cross a space or line end.
     """
     model = docs.sparkSession.sparkContext.broadcast(Path(tokenizer_file).read_text(encoding="utf-8"))
     end = np.array([end_id], dtype="<u4").tobytes()
@@ -124,25 +125,36 @@ def pieces(docs: DataFrame, tokenizer_file: str, *, capacity: int, end_id: int,
     def cut(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encode = word_ids(model.value)
         for column in parts:
-            found: list[tuple[int, int, int, int]] = []
-            sizes = []
+            found: list[tuple[int, int, int]] = []
+            sizes, tokens = [], []
             for texts in text_groups(column):
                 for ids in encode(texts):
                     ids += end
                     n = len(ids) // 4
                     starts = range(0, n, capacity)
-                    found += [(s, min(capacity, n - s), zlib.crc32(ids[4 * s : 4 * (s + capacity)]), n) for s in starts]
+                    found += [(s, min(capacity, n - s), n) for s in starts]
                     sizes.append(len(starts))
-            values = np.array(found, dtype=np.int64).reshape(-1, 4)
-            flat = pa.StructArray.from_arrays([pa.array(values[:, k]) for k in range(4)], names=_PIECE)
+                    tokens.append(ids)
+            values = np.array(found, dtype=np.int64).reshape(-1, 3)
+            each = lists(np.frombuffer(b"".join(tokens), dtype="<i4"), values[:, 1], pa.int32())
+            flat = pa.StructArray.from_arrays([*[pa.array(values[:, k]) for k in range(3)], each], names=_PIECE)
             yield pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), flat)
 
-    add = F.arrow_udf(cut, f"array<struct<{','.join(f'{c}:long' for c in _PIECE)}>>")
+    add = F.arrow_udf(cut, "array<struct<start:long,length:long,doc_tokens:long,ids:array<int>>>")
     rest = without(docs, text, *_PIECE)
     names = [F.col(f"`{c}`") for c in rest.columns]
     return docs.select(*names, F.explode(add(F.col(f"`{text}`"))).alias("_p")).select(*names, "_p.*")
 
 
+@F.arrow_udf(T.LongType())
+def ids_crc32(ids: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """CRC-32 of a column of ids as unsigned little-endian 32-bit numbers."""
+    for column in ids:
+        raw = memoryview(column.flatten().to_numpy().astype("<i4", copy=False)).cast("B")
+        ends = 4 * np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy())))
+        yield pa.array([zlib.crc32(raw[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], type=pa.int64())
+
+
 def spfhp(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
     """Patterns as (how many sequences, [(length, how many of it)]), covering the histogram exactly.
 
@@ -182,13 +194,14 @@ def spfhp(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[tupl
     return [(count, content) for _, _, count, content in open_packs]
 
 
-def pack(parts: DataFrame, capacity: int, key: str = "doc_id") -> DataFrame:
+def pack(parts: DataFrame, capacity: int, key: str = "doc_id", tie: str = "ids") -> DataFrame:
     """`parts` (as `pieces` gives them) with `sequence_id` and `offset`, gapless from 0 in every sequence.
 
     The histogram of lengths (at most `capacity` rows) goes to the driver, which packs lengths, not
     pieces. Pieces get their rank among those of the same length from hash buckets and a count table,
     so no length is ordered in one task; rank and patterns then give the place. Repeated rows and tied
-    lengths have different ranks; an empty table gives no rows. Columns sequence_id and offset are replaced.
+    lengths have different ranks, by `tie` at last; an empty table gives no rows. Columns sequence_id and
+    offset are replaced.
     """
     parts = without(parts, "sequence_id", "offset")
     histogram = {int(r[0]): int(r[1]) for r in parts.groupBy("length").count().collect()}
@@ -219,12 +232,21 @@ def pack(parts: DataFrame, capacity: int, key: str = "doc_id") -> DataFrame:
         return pd.DataFrame({"sequence_id": seq, "offset": at})
 
     bucket = F.pmod(hash64(key, "start"), F.lit(RANK_BUCKETS))
-    order = [F.col(key), F.col("start"), F.col("ids_crc32"), F.col("doc_tokens")]
+    order = [F.col(key), F.col("start"), F.col("doc_tokens"), F.col(tie)]
     ranked = grouped_position(parts, ["length"], [bucket], order, out="_rank")
     names = [F.col(f"`{c}`") for c in parts.columns]
     return ranked.withColumn("_at", place("length", F.col("_rank") - 1)).select(*names, "_at.*")
 
 
 def packed(docs: DataFrame, tokenizer_file: str, *, capacity: int = 2048, end_id: int = 1, key: str = "doc_id") -> DataFrame:
-    """Every token of every document in one piece of one sequence: `pieces` written once, then `pack`."""
-    return pack(written(pieces(docs, tokenizer_file, capacity=capacity, end_id=end_id)), capacity, key)
+    """Every token of every document in one piece of one sequence: `pieces` written once, then `pack`.
+
+    A sequence is the `ids` of its pieces by `offset`. `ids_crc32` is taken from them. Pieces are ranked
+    without their ids, by a number fixed when they are written, and joined to them once.
+    """
+    cut = without(pieces(docs, tokenizer_file, capacity=capacity, end_id=end_id), "sequence_id", "offset")
+    row = free_name(cut, "_row")
+    rows = written(cut.withColumn(row, F.monotonically_increasing_id()))
+    slim = rows.select(F.col(f"`{key}`"), "start", "length", "doc_tokens", row)
+    places = pack(slim, capacity, key, row).select(row, "sequence_id", "offset")
+    return rows.join(places, row).drop(row).withColumn("ids_crc32", ids_crc32("ids"))

@@ -34,7 +34,8 @@ def tokenizer_path(name: str) -> str:
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     out = packing.packed(docs, tokenizer_path("word_bpe_49k.json"), capacity=2048, end_id=1)
-    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    length = F.size("ids").cast("long").alias("length")
+    return out.select("doc_id", "start", length, "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 @query("op2_nearest")

@@ -112,6 +112,21 @@ def test_packing(docs, rows, none):
     assert packing.packed(none, path, capacity=128).count() == 0
 
 
+def test_packed_sequences_hold_every_token(docs, rows):
+    path = tokenizer_path("word_bpe_49k.json")
+    library = tokenizers.Tokenizer.from_file(path)
+    sequences, parts = {}, {}
+    for r in packing.packed(docs, path, capacity=128, end_id=1).collect():
+        assert len(r["ids"]) == r["length"] and zlib.crc32(np.array(r["ids"], dtype="<u4").tobytes()) == r["ids_crc32"]
+        sequences.setdefault(r["sequence_id"], {})[r["offset"]] = r["ids"]
+        parts[(r["doc_id"], r["doc_tokens"], r["start"])] = r["ids"]
+    whole = [[t for _, ids in sorted(s.items()) for t in ids] for s in sequences.values()]
+    texts = [[*library.encode(r[1] or "", add_special_tokens=False).ids, 1] for r in rows]
+    assert all(len(s) <= 128 for s in whole) and Counter(t for s in whole for t in s) == Counter(t for x in texts for t in x)
+    for r, want in zip(rows, texts):
+        assert [t for s in range(0, len(want), 128) for t in parts[(r[0], len(want), s)]] == want
+
+
 def test_sharding(spark, docs, rows, none):
     sized = docs.selectExpr("*", "coalesce(octet_length(text), 0) + 16 AS size")
     got = sharding.range_shards(sized, "doc_id", "size", 7, rows_per_range=5).collect()
