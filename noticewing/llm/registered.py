@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticewing.llm import bpe, hyperplanes, lines, minhash, packing, postings, quality, severity, sharding, substrings
+from noticewing.llm import bpe, hyperplanes, lines, minhash, packing, postings, quality, severity, sharding, substrings, trie
 from noticewing.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,9 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.range_shards(docs, "doc_id", "size", 40)
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op11_trie")
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, convs = trie.rebuilt(trie.numbered(read_table(spark, sf_dir, "conversations")))
+    return trie.trie(turns, convs)
