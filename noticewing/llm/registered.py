@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticewing.llm import bpe, hyperplanes, lines, minhash, packing, postings, quality, severity, sharding, substrings, trie
+from noticewing.llm import align, bpe, hyperplanes, lines, minhash, packing, postings, quality, severity, sharding, substrings, trie
 from noticewing.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns, convs = trie.rebuilt(trie.numbered(read_table(spark, sf_dir, "conversations")))
     return trie.trie(turns, convs)
+
+
+@query("op12_alignment")
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = align.linked(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
