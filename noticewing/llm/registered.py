@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticewing.llm import align, bpe, hyperplanes, lines, minhash, packing, postings, quality, severity, sharding, substrings, trie
+from noticewing.llm import align, bpe, hyperplanes, lines, minhash, packing, postings, quality, repeats, severity, sharding, substrings, trie
 from noticewing.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,10 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     out = align.linked(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
     return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@query("op13_suffixes")
+def op13_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.repeat_report(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    key = F.when(F.col("_id") != -(1 << 63), F.col("_id"))  # that stands for null
+    return out.select(key.alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
