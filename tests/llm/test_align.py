@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from noticewing.llm import align, registered
@@ -87,6 +88,16 @@ def test_real_outputs_and_names(spark):
     assert align.linked(none, A, B).count() == 0
 
 
-def test_sweep_links_every_overlap():
-    links, groups = align.sweep((1, 2, 3), (4, 5), [2, 3, 1], [4, 2])
-    assert links == [(0, 0), (1, 0), (1, 1), (2, 1)] and groups == [(3, 2)]
+def test_overlaps():
+    a, b, group_a, group_b = align.overlaps(np.array([2, 3, 1, 4]), np.array([4, 2, 4]))
+    assert list(zip(a.tolist(), b.tolist())) == [(0, 0), (1, 0), (1, 1), (2, 1), (3, 2)]
+    assert group_a.tolist() == [0, 0, 0, 1] and group_b.tolist() == [0, 0, 1]
+
+
+def test_windows_are_remembered():
+    one = align.aligner(open(A, encoding="utf-8").read(), open(B, "rb").read())
+    one._forget()
+    first = one.texts(["some words and some words", "", "and some more"])
+    n = len(one.known)
+    again = one.texts(["some words and some words", "", "and some more"])
+    assert len(one.known) == n < 8 and first[3] == again[3] and (first[5] == again[5]).all()
