@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticewing.llm.common import mixed, ranges, text_bytes
+from noticewing.llm.common import batches_of, mixed, ranges, text_bytes
 from noticewing.llm.lines import doc_keys
 from noticewing.llm.suffixes import suffix_order
 
@@ -19,12 +19,10 @@ from noticewing.llm.suffixes import suffix_order
 WINDOW, ANCHOR = 50, 16
 #: bytes of text in one bucket of documents
 BUCKET_BYTES = 4 << 20
-#: most windows of one segment
-LONGEST = 64
-#: distinct segments with one anchor from which on its windows are looked up one by one
+#: places with one anchor from which on its windows are looked up one by one
 HOT = 20_000
-#: places whose hashes are computed at once
-CHUNK = 1 << 20
+#: places whose hashes are computed at once; low bits that hold such a place
+CHUNK, PLACE_BITS = 1 << 17, 18
 _M = 0x9E3779B97F4A7C15
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
 
@@ -41,22 +39,13 @@ def _power(n: int) -> np.uint64:
     return np.uint64(pow(_M, n, 1 << 64))
 
 
-def _rolling(data: np.ndarray, *lengths: int) -> list[np.ndarray]:
-    """For each length, the hash of the string of that many bytes at every place where one begins."""
+def _anchor_hashes(data: np.ndarray) -> np.ndarray:
+    """The hash of the ANCHOR bytes at every place where so many are left."""
     with np.errstate(over="ignore"):
-        powers = [_BYTES[data]]  # of 1, 2, 4, ... bytes
-        while 2 << (len(powers) - 1) <= max(lengths):
-            step = 1 << (len(powers) - 1)
-            powers.append(powers[-1][:-step] * _power(step) + powers[-1][step:])
-        out = []
-        for length in lengths:
-            n, got, whole = len(data) - length + 1, 0, None
-            for k in range(len(powers) - 1, -1, -1):
-                if length >> k & 1:
-                    part = powers[k][got : got + n]
-                    whole = part if whole is None else whole * _power(1 << k) + part
-                    got += 1 << k
-            out.append(mixed(whole))
+        out, step = _BYTES[data], 1
+        while step < ANCHOR:
+            out = out[:-step] * _power(step) + out[step:]
+            step *= 2
     return out
 
 
@@ -78,17 +67,17 @@ class Segments:
     row: np.ndarray
     first: np.ndarray  # byte
     size: np.ndarray  # bytes
+    place: np.ndarray  # first byte of the anchor
     anchor: np.ndarray  # hash
-    sig: np.ndarray  # hash of the bytes
 
 
 def _signatures(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """64-bit hash of the strings at `first`; a block of places at a time, so that sums beside it stay small."""
+    """64-bit hash of the strings at `first`, in ascending order; a block of places at a time, so that sums beside it stay small."""
     out = np.zeros(len(first), dtype=np.uint64)
     i = 0
     with np.errstate(over="ignore"):
-        up = np.cumprod(np.full(CHUNK + LONGEST + WINDOW, np.uint64(_M)))
-        down = np.cumprod(np.full(CHUNK + LONGEST + WINDOW, _power(-1)))
+        up = np.cumprod(np.full(CHUNK + 2 * WINDOW, np.uint64(_M)))
+        down = np.cumprod(np.full(CHUNK + 2 * WINDOW, _power(-1)))
         while i < len(first):
             j = int(np.searchsorted(first, first[i] + CHUNK))
             base = int(first[i])
@@ -104,35 +93,36 @@ def _signatures(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.nda
 def segments(text: pa.Array | pa.ChunkedArray) -> Segments:
     """Every window of every row lies in exactly one segment.
 
-    The anchor of a window is its ANCHOR bytes of least hash, so equal windows have equal anchors
-    wherever they occur, and their segments meet in the anchor's shard.
+    The anchor of a window is its leftmost ANCHOR bytes of least hash, so equal windows have equal
+    anchors at equal places in them wherever they occur, and their segments meet in the anchor's shard.
     """
     data, rows = text_bytes(text)
-    firsts, counts, anchors = [], [], []
-    ends = rows[1:]
-    for at in range(0, max(len(data) - WINDOW + 1, 0), CHUNK):
-        part = data[at : at + CHUNK + WINDOW - 1]
-        anchor = _least(_rolling(part, ANCHOR)[0], WINDOW - ANCHOR + 1)
-        n = len(anchor)
-        place = np.arange(at, at + n)
-        # Windows that cross from a row into the next are none.
-        of = np.searchsorted(ends, place, side="right")
-        whole = place + WINDOW <= ends[of]
-        new = np.ones(n, dtype=bool)
-        new[1:] = (anchor[1:] != anchor[:-1]) | (whole[1:] != whole[:-1]) | (of[1:] != of[:-1])
-        edge = np.flatnonzero(new)
-        size = np.diff(np.append(edge, n))
-        pick = whole[edge]
-        edge, size = edge[pick], size[pick]
-        pieces = -(-size // LONGEST)
-        skip = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        start = np.repeat(edge, pieces) + skip * LONGEST
-        firsts.append(start + at)
-        counts.append(np.minimum(np.repeat(size, pieces) - skip * LONGEST, LONGEST))
-        anchors.append(anchor[start])
-    cat = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-    first, size = cat(firsts, np.int64), cat(counts, np.int64) + WINDOW - 1 if firsts else np.zeros(0, np.int64)
-    return Segments(data, rows, np.searchsorted(ends, first, side="right"), first, size, cat(anchors, np.uint64), _signatures(data, first, size))
+    kept = [[np.zeros(0, np.int64)] for _ in range(4)] + [[np.zeros(0, np.uint64)]]
+    low = np.uint64((1 << PLACE_BITS) - 1)
+    # Short rows are hashed together, long ones alone in chunks from their own start, so that a row's segments do not depend on others.
+    for i, j in batches_of(rows, CHUNK):
+        for at in range(int(rows[i]), max(int(rows[j]) - WINDOW + 1, 0), CHUNK):
+            part = data[at : min(at + CHUNK + WINDOW - 1, int(rows[j]))]
+            if len(part) < WINDOW:
+                continue
+            hashes = _anchor_hashes(part)
+            place = (_least(hashes & ~low | np.arange(len(hashes), dtype=np.uint64), WINDOW - ANCHOR + 1) & low).astype(np.int64)
+            n = len(place)
+            # Windows that cross from a row into the next are none.
+            inside = np.clip(rows[i + 1 : j] - at, 0, n)
+            whole = np.ones(n + 1, dtype=bool)
+            whole[ranges(np.maximum(inside - WINDOW + 1, 0), inside - np.maximum(inside - WINDOW + 1, 0))] = False
+            new = np.ones(n, dtype=bool)
+            new[1:] = (place[1:] != place[:-1]) | (whole[1:-1] != whole[:-2])
+            new[inside[inside < n]] = True
+            edge = np.flatnonzero(new)
+            size = np.diff(np.append(edge, n))
+            pick = whole[edge]
+            edge, size = edge[pick], size[pick]
+            of = i + np.searchsorted(rows[i + 1 : j + 1], edge + at, side="right")
+            for k, values in enumerate((of, edge + at, size + WINDOW - 1, place[edge] + at, mixed(hashes[place[edge]]))):
+                kept[k].append(values)
+    return Segments(data, rows, *map(np.concatenate, kept))
 
 
 def _shard(key: np.ndarray, n_shards: int) -> np.ndarray:
@@ -175,6 +165,7 @@ class Lookups:
     shard: np.ndarray
     first: np.ndarray
     size: np.ndarray
+    anchor: np.ndarray  # place of the anchor in the string
     low: np.ndarray  # documents
     high: np.ndarray
     place_first: np.ndarray  # every occurrence
@@ -183,17 +174,14 @@ class Lookups:
 
 
 def _anchors(s: Segments, ids: np.ndarray, n_shards: int) -> tuple[np.ndarray, ...]:
-    """Distinct anchors of a bucket by shard: hash, lowest document, whether others have it, different segments, shard."""
-    by = np.lexsort((s.sig, s.anchor))
+    """Distinct anchors of a bucket by shard: hash, lowest document, whether others have it, number of places, shard."""
+    by = np.argsort(s.anchor, kind="stable")
     anchor, doc = s.anchor[by], ids[s.row[by]]
     edge = _runs(anchor)
-    new = np.zeros(len(by), dtype=np.int64)
-    new[_runs(s.sig[by])] = 1
-    new[edge] = 1
     if not len(edge):
         none = np.zeros(0, np.int64)
         return anchor, none, none, none, none
-    low, high, n = np.minimum.reduceat(doc, edge), np.maximum.reduceat(doc, edge), np.add.reduceat(new, edge)
+    low, high, n = np.minimum.reduceat(doc, edge), np.maximum.reduceat(doc, edge), np.diff(np.append(edge, len(by)))
     shard = _shard(anchor[edge], n_shards)
     by = np.argsort(shard, kind="stable")
     return anchor[edge][by], low[by], (high > low)[by].astype(np.int64), n[by], shard[by]
@@ -207,7 +195,7 @@ class Removal:
 
     ASKED = pa.schema([("bucket", pa.int32()), ("shard", pa.int32()), ("keys", pa.binary()), ("low", pa.binary()), ("several", pa.binary()), ("n", pa.binary())])
     ANSWER = pa.schema([("bucket", pa.int32()), ("shard", pa.int32()), ("found", pa.binary())])
-    SENT = pa.schema([("bucket", pa.int32()), ("shard", pa.int32()), ("bytes", pa.binary()), ("size", pa.binary()), ("low", pa.binary()), ("high", pa.binary())])
+    SENT = pa.schema([("bucket", pa.int32()), ("shard", pa.int32()), ("bytes", pa.binary()), ("size", pa.binary()), ("anchor", pa.binary()), ("low", pa.binary()), ("high", pa.binary())])
     FIRSTS = pa.schema([("bucket", pa.int32()), ("shard", pa.int32()), ("which", pa.binary()), ("firsts", pa.binary())])
 
     @staticmethod
@@ -222,7 +210,7 @@ class Removal:
             (bucket, p, short[a:b].tobytes(), _packed(low[a:b]), _packed(several[a:b]), _packed(n[a:b])) for p, a, b in _by_shard(shard)], self.ASKED)
 
     def answer(self, rows: list[dict]) -> pa.Table:
-        """For all buckets that asked a shard: 1 for anchors that several documents have, 2 for those in very many segments."""
+        """For all buckets that asked a shard: 1 for anchors that several documents have, 2 for those in very many places."""
         keys = np.concatenate([np.frombuffer(r["keys"], "<u4") for r in rows])
         low, several, n = (np.concatenate([_unpacked(r[c]) for r in rows]) for c in ("low", "several", "n"))
         by = np.argsort(keys, kind="stable")
@@ -247,22 +235,26 @@ class Removal:
         # Windows of hot anchors are strings of their own, in the shard of their own hash.
         n = s.size[hot] - WINDOW + 1
         single = ranges(s.first[hot], n)
-        alone = _signatures(s.data, single, np.full(len(single), WINDOW)) if len(single) else np.zeros(0, np.uint64)
+        alone = _signatures(s.data, single, np.full(len(single), WINDOW))
         first = np.concatenate((s.first[some], single))
         size = np.concatenate((s.size[some], np.full(len(single), WINDOW, np.int64)))
         row = np.concatenate((s.row[some], np.repeat(s.row[hot], n)))
-        sig = np.concatenate((s.sig[some], alone))
+        place = np.concatenate((s.place[some], np.repeat(s.place[hot], n))) - first
+        sig = np.concatenate((_signatures(s.data, s.first[some], s.size[some]), alone))
         where = np.concatenate((_shard(s.anchor[some], self.n_shards), _shard(alone, self.n_shards)))
-        doc = ids[row]
-        by = np.lexsort((doc, sig, where))
-        new = np.ones(len(by), dtype=bool)
-        new[1:] = (sig[by][1:] != sig[by][:-1]) | (where[by][1:] != where[by][:-1])
-        edge = np.flatnonzero(new)
-        last = np.append(edge[1:], len(by)) - 1 if len(by) else edge
+        by = np.argsort(sig, kind="stable")
+        edge = _runs(sig[by])
+        if not len(edge):
+            return Lookups(*[np.zeros(0, np.int64)] * 9)
+        doc, one = ids[row[by]], by[edge]
+        low, high = np.minimum.reduceat(doc, edge), np.maximum.reduceat(doc, edge)
+        order = np.argsort(where[one], kind="stable")
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
         of = np.empty(len(by), dtype=np.int64)
-        of[by] = np.cumsum(new) - 1
-        one = by[edge]
-        return Lookups(where[one], first[one], size[one], doc[one], doc[by[last]], first, row, of)
+        of[by] = np.repeat(rank, np.diff(np.append(edge, len(by))))
+        one = one[order]
+        return Lookups(where[one], first[one], size[one], place[one], low[order], high[order], first, row, of)
 
     def send(self, docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows or not answers.num_rows:
@@ -272,14 +264,14 @@ class Removal:
         bucket, out = docs.column("bucket")[0].as_py(), []
         for p, a, b in _by_shard(k.shard):
             body = s.data[ranges(k.first[a:b], k.size[a:b])].tobytes()
-            out.append((bucket, p, _squeezed(body), _packed(k.size[a:b]), _packed(k.low[a:b]), _packed(k.high[a:b] - k.low[a:b])))
+            out.append((bucket, p, _squeezed(body), _packed(k.size[a:b]), _packed(k.anchor[a:b]), _packed(k.low[a:b]), _packed(k.high[a:b] - k.low[a:b])))
         return self.table(out, self.SENT)
 
     def index(self, rows: list[dict]) -> pa.Table:
         """For every string sent to a shard the lowest document of each of its windows, where that is not its own."""
         size = [_unpacked(r["size"]) for r in rows]
         body = np.concatenate([np.frombuffer(_whole(r["bytes"], int(n.sum())), np.uint8) for r, n in zip(rows, size)])
-        low = np.concatenate([_unpacked(r["low"]) for r in rows])
+        low, anchor = (np.concatenate([_unpacked(r[c]) for r in rows]) for c in ("low", "anchor"))
         high = low + np.concatenate([_unpacked(r["high"]) for r in rows])
         at, size = np.cumsum([0, *map(len, size)]), np.concatenate(size)
         first = np.cumsum(size) - size
@@ -287,7 +279,7 @@ class Removal:
         _, one, of = np.unique(_signatures(body, first, size), return_index=True, return_inverse=True)
         least = np.full(len(one), np.iinfo(np.int64).max)
         np.minimum.at(least, of, low)
-        found, start = first_documents(body[ranges(first[one], size[one])], size[one], least)
+        found, start = first_documents(body[ranges(first[one], size[one])], size[one], anchor[one], least)
         windows = size[one] - WINDOW + 1
         lowest = np.minimum.reduceat(found, start)
         out = []
@@ -315,30 +307,36 @@ class Removal:
         n = k.size[one] - WINDOW + 1
         earlier = values[ranges(start[one], n)] < np.repeat(ids[k.place_row[mine]], n)
         place = ranges(k.place_first[mine], n)[earlier]
-        change = np.zeros(len(s.data) + 1, dtype=np.int32)
-        np.add.at(change, place, 1)
-        np.add.at(change, place + WINDOW, -1)
-        return s, np.cumsum(change[:-1]) > 0
+        starts = np.zeros(len(s.data), dtype=np.int32)
+        starts[place] = 1
+        gone = np.cumsum(starts)
+        gone[WINDOW:] -= gone[:-WINDOW].copy()  # windows that start within the last WINDOW bytes
+        return s, gone > 0
 
 
-def first_documents(data: np.ndarray, size: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def first_documents(data: np.ndarray, size: np.ndarray, anchor: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The lowest document of every window of the strings that lie end to end in `data`, and each string's first window.
 
-    All suffixes are sorted; those that begin with equal windows are neighbours then.
+    All suffixes are sorted; those that begin with equal windows are neighbours then. All windows of a
+    string hold its anchor, so that is one symbol of the text whose suffixes are sorted.
     """
-    n = int(size.sum()) + len(size) + 1
-    symbols = np.zeros(n, dtype=np.uint16)
-    first = np.cumsum(size + 1) - size
-    symbols[ranges(first, size)] = data.astype(np.uint16) + 1
+    begin = np.cumsum(size) - size
+    text = size - ANCHOR + 1
+    first = np.cumsum(text + 1) - text
+    _, name = np.unique(_signatures(data, begin + anchor, np.full(len(size), ANCHOR)), return_inverse=True)
+    n = int(text.sum()) + len(size) + 1
+    symbols, inside, of = np.zeros(n, dtype=np.int32), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int32)
+    at = ranges(first, text)
+    rest = ranges(np.zeros(len(size), np.int64), text)  # place in the string's symbols
+    of[at] = np.repeat(np.arange(len(size)), text)
+    inside[at] = rest
+    symbols[at] = data[np.repeat(begin, text) + rest + (ANCHOR - 1) * (rest > np.repeat(anchor, text))].astype(np.int32) + 1
+    symbols[first + anchor] = 257 + name
     order = suffix_order(symbols)[len(size) + 1 :]
-    owner = np.repeat(np.arange(len(size)), size)
-    inside = np.zeros(n, dtype=np.int64)
-    inside[ranges(first, size)] = np.arange(len(data))
-    at = inside[order]  # place in `data`
-    start = np.cumsum(size) - size
-    of = owner[at]
-    whole = at + WINDOW <= start[of] + size[of]
-    at, of = at[whole], of[whole]
+    rest, of = inside[order], of[order]
+    whole = rest + WINDOW <= size[of]
+    rest, of = rest[whole], of[whole]
+    at = begin[of] + rest
     words = np.zeros(len(data) + 8, dtype=np.uint64)
     padded = np.concatenate((data, np.zeros(15, np.uint8)))
     for k in range(8):
@@ -350,10 +348,10 @@ def first_documents(data: np.ndarray, size: np.ndarray, low: np.ndarray) -> tupl
     edge = np.flatnonzero(np.append(True, ~same))
     lowest = np.minimum.reduceat(low[of], edge)
     windows = size - WINDOW + 1
-    begin = np.cumsum(windows) - windows
+    start = np.cumsum(windows) - windows
     out = np.empty(int(windows.sum()), dtype=np.int64)
-    out[begin[of] + at - start[of]] = np.repeat(lowest, np.diff(np.append(edge, len(at))))
-    return out, begin
+    out[start[of] + rest] = np.repeat(lowest, np.diff(np.append(edge, len(at))))
+    return out, start
 
 
 def _each_shard(work):
@@ -391,7 +389,7 @@ def repeat_report(docs: DataFrame, key: str = "doc_id", text: str = "text", with
     Windows go to shards by their anchor, the ANCHOR bytes of least hash. Buckets of documents first ask
     which anchors several documents have; the segments around those are sent, each different one once
     per bucket, and every shard sorts all suffixes of its different segments (`suffixes`). An
-    anchor with more than `hot` segments has its windows sent to shards by their own hash instead, so
+    anchor in more than `hot` places has its windows sent to shards by their own hash instead, so
     one very common string cannot fill a shard. Segments are told apart by 64-bit hashes, windows by
     their bytes. A bucket and a shard hold some megabytes of text; Spark decides how many of them a task
     works off, one after the other.

@@ -11,7 +11,7 @@ import numpy as np
 from noticewing.llm.common import ranges
 
 #: groups from this size on are worked off by array operations
-MANY = 48
+MANY = 64
 
 
 class LyndonGroups:
@@ -134,7 +134,7 @@ class LyndonGroups:
 
 
 def suffix_order(symbols: np.ndarray) -> np.ndarray:
-    """Positions of `symbols` (uint16; 0: sentinel, first and after each text) in the order of their suffixes.
+    """Positions of `symbols` (0: sentinel, first and after each text) in the order of their suffixes.
 
     Sentinels come first and stop a comparison: an earlier one is smaller.
     """
