@@ -98,8 +98,9 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_toxicity")
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = severity.severity(docs, severity.fit(docs, read_table(spark, sf_dir, "labels")))
-    return out.select("doc_id", "severity", "toxic_probability", (F.col("toxic_probability") >= 0.5).alias("rejected"))
+    model = severity.fit(docs, read_table(spark, sf_dir, "labels"))
+    out = severity.severity(docs, model)
+    return out.select("doc_id", "severity", "toxic_probability", model.rejects(F.col("toxic_probability")).alias("rejected"))
 
 
 @query("op10_sharding")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,6 +69,10 @@ class OrdinalModel:
         """P(grade >= k) for k from 1."""
         return 1 / (1 + np.exp(np.clip(self.cuts[None, :] - score[:, None], -40, 40)))
 
+    def rejects(self, probability: Column) -> Column:
+        """Whether a toxic probability speaks against a text: a half or more, and more than a text without known words has."""
+        return (probability >= 0.5) & (probability > float(self.at_least(np.zeros(1))[0, 0]))
+
 
 def _grades(row: np.ndarray, col: np.ndarray, count: np.ndarray, toxic: np.ndarray, n_words: int) -> np.ndarray:
     """Severity grades for 0/1 labels: toxic documents in equal parts by the share of marked words.
@@ -126,8 +130,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_label: int = SAMPLE_PER_LABEL
     """Model from a bounded sample: the `per_label` labelled documents of each label with the smallest key hashes.
 
     Labels other than 0 and 1, null keys and labels without a document are left out; a key labelled
-    twice is toxic if any row says so. Sampled documents weigh as many labels as they stand for, so
-    the shares of the labels are those of all rows. Without a toxic and a clean document every severity is 0.
+    twice is toxic if any row says so, and of several texts with one key the one with the least hash counts. Sampled documents weigh as many labels as they stand for, so
+    the shares of the labels are those of all rows. Without a toxic and a clean document, or without a
+    word in MIN_DOCS documents, every severity is 0.
     """
     marks = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.max(label).alias("_y"))
     stands_for = {int(r[0]): max(1.0, r[1] / per_label) for r in marks.groupBy("_y").count().collect()}
@@ -137,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_label: int = SAMPLE_PER_LABEL
         picked = part if picked is None else picked.unionByName(part)
     # At most two samples of key and label: their size does not grow with the data.
     got = docs.select(F.col(f"`{key}`").alias("_k"), F.col(f"`{text}`").alias("_t")).join(F.broadcast(picked), "_k")
-    got = got.dropDuplicates(["_k"]).select("_y", _bag("_t").alias("_b")).select("_y", "_b.*").toArrow()
+    got = got.groupBy("_k", "_y").agg(F.min_by("_t", F.struct(F.xxhash64("_t"), "_t")).alias("_t")).select("_y", _bag("_t").alias("_b")).select("_y", "_b.*").toArrow()
     toxic = got["_y"].to_numpy().astype(float)
     bags, counted = got["words"].combine_chunks(), got["counts"].combine_chunks()
     if not len(toxic) or toxic.min() == toxic.max():
@@ -150,6 +155,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_label: int = SAMPLE_PER_LABEL
     place = np.cumsum(often) - 1
     kept = often[col]
     row, col, count, words = row[kept], place[col[kept]], count[kept], words[often]
+    if not len(words):
+        return OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), np.full(GRADES - 1, 40.0))
     grade = _grades(row, col, count, toxic, len(words))
     weight = np.where(toxic > 0, stands_for[1], stands_for[0])
     weights, cuts = fit_ordinal(row, col, np.log1p(count), grade, len(words), weight)
@@ -183,6 +190,10 @@ def severity(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFr
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of `docs` that are likelier clean than toxic, with their own columns."""
-    rated = severity(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").alias("text")), fit(docs, labels))
-    return rated.where(F.col("toxic_probability") < 0.5).select("_row.*")
+    """Rows of `docs` that the model does not reject (`OrdinalModel.rejects`), with their own columns.
+
+    A text without known words says nothing and stays, whatever share of the labels is toxic.
+    """
+    model = fit(docs, labels)
+    rated = severity(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").alias("text")), model)
+    return rated.where(~model.rejects(F.col("toxic_probability"))).select("_row.*")

@@ -155,6 +155,20 @@ def test_nearest(spark):
     assert postings.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_texts_without_evidence_are_kept(spark, labelled):
+    """Most labels toxic: empty, null and unknown texts stay, toxic ones go; a tie without features rejects nothing."""
+    docs, labels = labelled
+    more = labels.where("toxic = 1").unionByName(labels.where("toxic = 0").limit(int(labels.where("toxic = 1").count() / 1.5)))
+    assert more.agg(F.avg("toxic")).first()[0] > 0.55
+    extra = spark.createDataFrame([(5000, None), (5001, ""), (5002, " \n "), (5003, "zzzz qqqq never seen")], "doc_id long, text string")
+    kept = {r["doc_id"] for r in severity.clean(docs.select("doc_id", "text").unionByName(extra), more).collect()}
+    assert {5000, 5001, 5002, 5003} <= kept
+    assert sum(i in kept for i in range(0, 600, 10)) < 12 and sum(i in kept for i in range(2, 600, 10)) > 54
+    two = spark.createDataFrame([(1, "some words"), (2, "other text"), (3, None), (3, "x")], "doc_id long, text string")
+    tie = spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "doc_id long, toxic int")
+    assert severity.clean(two, tie).count() == 4
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + k) for k in range(1, 40)] + [(200, 200), (60, 59), (300, 301), (301, 302), (302, 300)]
     got = {r["id"]: r["component"] for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
