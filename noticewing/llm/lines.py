@@ -17,8 +17,8 @@ from noticewing.llm.common import (
 
 #: share of all lines from which on a token's frequency is counted; rarer tokens rank as equally rare
 FREQUENT = 5e-5
-#: bytes of text whose lines are counted and collapsed together
-CHUNK = 24 << 20
+#: bytes of text whose lines are read together
+CHUNK = 3 << 20
 #: bytes of text whose keys meet in one partition
 TEXT_PER_PARTITION = 16 << 20
 #: groups up to this size list their pairs at once; larger ones first compare with their earliest line
@@ -88,32 +88,54 @@ def _chunks(batches: Iterator[pa.RecordBatch], most: int = CHUNK) -> Iterator[tu
             yield data[rows[i] : rows[j]], rows[i : j + 1] - rows[i], batch.slice(i, j - i)
 
 
+class FrequentCounts:
+    """Counts of tokens, of which those that are surely in less than `share` of all lines are let go (lossy counting)."""
+
+    def __init__(self, share: float):
+        self.share, self.lines = share, 0
+        self.token, self.n, self.missed = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.float64)
+
+    def add(self, tokens: np.ndarray, lines: int) -> None:
+        new, n = np.unique(tokens, return_counts=True)
+        self.token, at = np.unique(np.concatenate((self.token, new)), return_inverse=True)
+        held, now = at[: len(self.n)], at[len(self.n) :]
+        total, missed = np.zeros(len(self.token), np.int64), np.full(len(self.token), self.share * self.lines)
+        total[held], missed[held] = self.n, self.missed
+        total[now] += n
+        self.lines += lines
+        stay = total + missed >= self.share * self.lines
+        self.token, self.n, self.missed = self.token[stay], total[stay], missed[stay]
+
+
 def _read(docs: DataFrame) -> DataFrame:
     """Lines with tokens (kind 0: document, number in it, signature, distinct tokens, bitmap) and token counts.
 
-    Every chunk of text reports tokens in at least half of FREQUENT of its lines (kind 1: token as
-    `_sig`, lines as `_n`) and how many lines it has (kind 2).
+    Every task reports tokens in at least half of FREQUENT of its lines (kind 1: token as `_sig`, lines
+    as `_n`, at most that half too few) and how many lines it has (kind 2).
     """
+    names = ["_kind", "_id", "_h", "_line", "_sig", "_n", "_b0", "_b1"]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+
+    def batch(*columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=t) for c, t in zip(columns, kinds)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = FrequentCounts(FREQUENT / 2)
         for data, rows, part in _chunks(batches):
             line_row, line_no, line, tokens = _token_sets(data, rows)
+            counts.add(tokens, len(line_row))
             sig, size = _signatures(len(line_row), line, tokens)
             some = size > 0
-            words, n = np.unique(tokens, return_counts=True)
-            often = n >= max(1.0, FREQUENT / 2 * len(line_row))
-            more = int(often.sum()) + 1
-            none, at = np.zeros(more, dtype=np.int64), pa.array(line_row[some])
             bitmap = _bitmaps(len(line_row), line, tokens)[some].view(np.int64)
-            add = lambda column, tail: np.concatenate((np.asarray(column), tail))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(add(np.zeros(len(at), np.int32), np.append(np.ones(more - 1), 2).astype(np.int32))),
-                 pa.array(add(part.column("_id").take(at), none)), pa.array(add(part.column("_h").take(at), none)),
-                 pa.array(add(line_no[some].astype(np.int32), none.astype(np.int32))),
-                 pa.array(add(sig[some].view(np.int64), np.append(words[often].view(np.int64), 0))),
-                 pa.array(add(size[some].astype(np.int32), np.append(n[often], len(line_row)).astype(np.int32))),
-                 *(pa.array(add(bitmap[:, k], none)) for k in range(2))],
-                names=["_kind", "_id", "_h", "_line", "_sig", "_n", "_b0", "_b1"])
+            at = pa.array(line_row[some])
+            yield batch(
+                np.zeros(len(at), np.int32), part.column("_id").take(at), part.column("_h").take(at), line_no[some], sig[some].view(np.int64), size[some],
+                bitmap[:, 0], bitmap[:, 1])
+        often = counts.n >= max(1.0, FREQUENT / 2 * counts.lines)
+        none = np.zeros(int(often.sum()) + 1, dtype=np.int64)
+        yield batch(
+            np.append(np.ones(len(none) - 1), 2), none, none, none, np.append(counts.token[often].view(np.int64), 0), np.append(counts.n[often], counts.lines),
+            none, none)
 
     return docs.select("_id", "_h", "text").mapInArrow(run, "_kind int, _id long, _h long, _line int, _sig long, _n int, _b0 long, _b1 long")
 
@@ -121,7 +143,7 @@ def _read(docs: DataFrame) -> DataFrame:
 def frequent_tokens(read: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of tokens that many lines have, and how rare each is (0 rarest; others are rarer).
 
-    Sums over all chunks are within FREQUENT / 2 of all lines of the truth. At most 2 / FREQUENT times
+    Sums over all tasks are within FREQUENT of all lines of the truth. At most 2 / FREQUENT times
     the tokens of a mean line reach the driver, however many documents there are.
     """
     total = read.where("_kind = 2").agg(F.sum("_n")).first()[0] or 0
