@@ -109,11 +109,12 @@ def segments(text: pa.Array | pa.ChunkedArray) -> Segments:
             place = (_least(hashes & ~low | np.arange(len(hashes), dtype=np.uint64), WINDOW - ANCHOR + 1) & low).astype(np.int64)
             n = len(place)
             # Windows that cross from a row into the next are none.
-            inside = np.clip(rows[i + 1 : j] - at, 0, n)
-            whole = np.ones(n + 1, dtype=bool)
-            whole[ranges(np.maximum(inside - WINDOW + 1, 0), inside - np.maximum(inside - WINDOW + 1, 0))] = False
+            inside = rows[i + 1 : j] - at
+            cross, until = np.minimum(np.maximum(inside - WINDOW + 1, 0), n), np.minimum(inside, n)
+            whole = np.ones(n, dtype=bool)
+            whole[ranges(cross, until - cross)] = False
             new = np.ones(n, dtype=bool)
-            new[1:] = (place[1:] != place[:-1]) | (whole[1:-1] != whole[:-2])
+            new[1:] = (place[1:] != place[:-1]) | (whole[1:] != whole[:-1])
             new[inside[inside < n]] = True
             edge = np.flatnonzero(new)
             size = np.diff(np.append(edge, n))

@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -117,3 +118,25 @@ def test_registered_query(spark, tmp_path):
     assert out.columns == COLUMNS and Counter(map(tuple, out.collect())) == brute(rows)
     spark.createDataFrame([], cases.SCHEMA).write.parquet(f"{tmp_path}/none/documents.parquet")
     assert registered.QUERIES["op13_suffixes"](spark, f"{tmp_path}/none").count() == 0
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.randoms(use_true_random=False), st.sampled_from([120, 300, 1 << 17]))
+def test_segments_of_a_row_do_not_depend_on_other_rows(rng, chunk):
+    texts = ["".join(rng.choice("abcd é") for _ in range(rng.choice([0, 3, 48, 50, 51, 90, 200, 700]))) for _ in range(12)]
+    old, repeats.CHUNK = repeats.CHUNK, chunk
+
+    def by_text(order):
+        s = repeats.segments(pa.array([texts[k] for k in order]))
+        found = defaultdict(set)
+        for row, first, size, place, anchor in zip(s.row, s.first, s.size, s.place, s.anchor):
+            found[order[row]].add((first - s.rows[row], size, place - s.rows[row], anchor))
+        return dict(found)
+
+    try:
+        want = by_text(list(range(12)))
+        for k, t in enumerate(texts):  # every window in exactly one segment
+            assert sorted(p for f, n, *_ in want.get(k, ()) for p in range(f, f + n - 49)) == list(range(max(len(t.encode()) - 49, 0)))
+        assert by_text(rng.sample(range(12), 12)) == want
+    finally:
+        repeats.CHUNK = old
