@@ -14,12 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticewing.llm.bpe import _FAR, ByteBpe
-from noticewing.llm.common import free_name, lists, mixed, ranges, text_groups, without, written
+from noticewing.llm.common import batches_of, free_name, lists, mixed, ranges, text_groups, without, written
 
 #: tokens of the windows a worker remembers at most
-REMEMBERED = 2_000_000
+REMEMBERED = 500_000
 #: id pairs that are broadcast at once (13 bytes each); more are gone through in several passes
 PAIRS = 2_000_000
+#: links scored or counted at once
+LINKS = 1 << 20
 #: distinct pairs a task counts before it reports them
 COUNTED = 500_000
 
@@ -46,22 +48,27 @@ class ByteLevel(Tokens):
 
     def __init__(self, text: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
         bpe = ByteBpe(text)
         super().__init__([bpe.token.get(i, b"") for i in range(max(bpe.token) + 1)])
-        self.library = Tokenizer.from_str(text)
-        self.library.encode_special_tokens = True
-        self.fast = None
+        self.text, self.library, self.fast = text, None, None
         if (np.diff(bpe.made) > 0).all():
             special = set(bpe.added.values())
             plain = {t: i for i, t in bpe.token.items() if i not in special}
             pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
             self.fast = tiktoken.Encoding("byte_level", pat_str=pattern, mergeable_ranks=plain, special_tokens={})
 
+    def _slow(self, text: str) -> list[int]:
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_str(self.text)
+            self.library.encode_special_tokens = True
+        return self.library.encode(" " + text, add_special_tokens=False).ids
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [
-            np.array(self.library.encode(" " + t, add_special_tokens=False).ids, dtype=np.int32) if self.fast is None or _FAR.search(t)
+            np.array(self._slow(t), dtype=np.int32) if self.fast is None or _FAR.search(t)
             else self.fast.encode_to_numpy(" " + t, disallowed_special=()).astype(np.int32)
             for t in texts
         ]
@@ -292,8 +299,8 @@ def pair_counts(links: DataFrame, size_b: int) -> DataFrame:
         keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
             values = batch.column(0).flatten().to_numpy()
-            for at in range(0, len(values), 1 << 22):
-                one, n = np.unique(values[at : at + (1 << 22)], return_counts=True)
+            for at in range(0, len(values), LINKS):
+                one, n = np.unique(values[at : at + LINKS], return_counts=True)
                 keys, where = np.unique(np.concatenate((keys, one)), return_inverse=True)
                 sums = np.bincount(where, weights=np.concatenate((sums, n)), minlength=len(keys)).astype(np.int64)
                 if len(keys) > COUNTED:
@@ -335,16 +342,15 @@ def linked(docs: DataFrame, byte_level_file: str, pieces_file: str, text: str =
         def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
             pair, n, best = shared.value
             for column in parts:
-                value, size = column.flatten().to_numpy(), np.diff(column.offsets.to_numpy())
-                of = np.repeat(np.arange(len(column)), size)
-                at = np.minimum(np.searchsorted(pair, value), max(len(pair) - 1, 0))
-                hit = pair[at] == value if len(pair) else np.zeros(len(value), bool)
-                rows, at = of[hit], at[hit]
-                upto = np.concatenate(([0], np.cumsum(n[at])))
-                edge = np.searchsorted(rows, np.arange(len(column) + 1))
-                yield pa.StructArray.from_arrays([
-                    pa.array(np.bincount(rows, weights=best[at], minlength=len(column)).astype(np.int64)), pa.array(upto[edge[1:]] - upto[edge[:-1]])],
-                    names=["n_best", "count_sum"])
+                edges = column.offsets.to_numpy().astype(np.int64)
+                for i, j in batches_of(edges, LINKS):
+                    value, edge = column.slice(i, j - i).flatten().to_numpy(), edges[i : j + 1] - edges[i]
+                    at = np.minimum(np.searchsorted(pair, value), max(len(pair) - 1, 0))
+                    hit = pair[at] == value if len(pair) else np.zeros(len(value), bool)
+                    yield pa.StructArray.from_arrays([
+                        pa.array(np.diff(np.concatenate(([0], np.cumsum(v)))[edge]))
+                        for v in (np.where(hit, best[at], False) if len(pair) else hit, np.where(hit, n[at], 0) if len(pair) else hit)
+                    ], names=["n_best", "count_sum"])
 
         return F.arrow_udf(run, "struct<n_best:bigint,count_sum:bigint>")("links")
 
