@@ -107,6 +107,39 @@ def _(v: Views):
     return done.select("id", "y_true", F.col("criticality").alias("y_pred"), "confidence")
 
 
+#: a full forest of depth 3 by rules: nodes 1 to 7 cut, nodes 8 to 15 hold shares in sixteenths
+GIVEN_TREES = 8
+RF_GIVEN_SQL = """
+WITH e AS (SELECT vec_id AS id, embedding FROM embeddings WHERE embedding IS NOT NULL), t AS (SELECT unnest(range(8)) AS tree),
+ a AS (SELECT id, embedding, tree, CASE WHEN embedding[(tree * 5 + 1 * 3) % 32 + 1]::DOUBLE <= ((tree * 13 + 1 * 7) % 21 - 10) / 64.0::DOUBLE THEN 2 ELSE 3 END AS node FROM e, t),
+ b AS (SELECT id, embedding, tree, CASE WHEN embedding[(tree * 5 + node * 3) % 32 + 1]::DOUBLE <= ((tree * 13 + node * 7) % 21 - 10) / 64.0::DOUBLE THEN node * 2 ELSE node * 2 + 1 END AS node FROM a),
+ c AS (SELECT id, tree, CASE WHEN embedding[(tree * 5 + node * 3) % 32 + 1]::DOUBLE <= ((tree * 13 + node * 7) % 21 - 10) / 64.0::DOUBLE THEN node * 2 ELSE node * 2 + 1 END AS node FROM b),
+ s AS (SELECT id, k, sum(CASE (tree * 3 + node + k) % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 10 END) / 128.0::DOUBLE AS p FROM c, (SELECT unnest(range(4)) AS k) z GROUP BY 1, 2),
+ r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p DESC, k) AS place FROM s)
+SELECT id, CASE k WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' WHEN 2 THEN 'LOW' ELSE 'INFO' END AS criticality, p AS confidence FROM r WHERE place = 1"""
+
+
+def given_forest(v: Views) -> classify.ForestModel:
+    """The same forest as node rows."""
+    tree, node = F.col("tree"), F.col("node")
+    inner = node < 8
+    share = lambda k: F.get(F.array(F.lit(1), F.lit(2), F.lit(3), F.lit(10)), (tree * 3 + node + k) % 4) / 16.0
+    grid = v.spark.range(GIVEN_TREES * 15).select((F.col("id") / 15).cast("int").alias("tree"), (F.col("id") % 15 + 1).cast("int").alias("node"))
+    return classify.ForestModel.given(grid.select(
+        "tree", (node - 1).alias("node"), F.when(inner, (tree * 5 + node * 3) % 32).otherwise(-1).alias("feature"),
+        (((tree * 13 + node * 7) % 21 - 10) / 64.0).alias("threshold"), F.when(inner, node * 2 - 1).otherwise(-1).alias("left"),
+        F.when(inner, node * 2).otherwise(-1).alias("right"), F.array(*[share(k) for k in range(4)]).alias("p")))
+
+
+@query("rf_score_given", RF_GIVEN_SQL)
+def _(v: Views):
+    # a known forest, saved and loaded, so that the scorer is checked and not the fit
+    folder = storage.scratch(v.spark)
+    given_forest(v).save(v.spark, folder)
+    vectors = v.table("embeddings").select(F.col("vec_id").alias("id"), "embedding").where("embedding IS NOT NULL")
+    return classify.ForestModel.load(v.spark, folder).transform(vectors).drop("embedding")
+
+
 @query("iforest_fit")
 def _(v: Views):
     model = iforest.IsolationForestModel.fit(_vectors(v))

@@ -6,14 +6,14 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticewing import domain
 from noticewing.functions import text as tx
-from noticewing.models import split, tfidf
+from noticewing.models import forest, split, tfidf
+from noticewing.models.forest import ForestModel
 from noticewing.operators import metrics
 from noticewing.plans import order as od
 
@@ -114,41 +114,17 @@ def top_terms(model: LinearModel, spark: SparkSession, k: int = 15) -> DataFrame
     return od.top_k(long, k, [F.desc("weight"), F.asc("term")], ["criticality"])
 
 
-@dataclass
-class ForestModel:
-    """A random forest on an embedding column."""
-
-    model: RandomForestClassificationModel
-
-    def transform(self, df: DataFrame, embedding: str = "embedding") -> DataFrame:
-        """Add criticality and confidence; row by row, no shuffle."""
-        scored = self.model.transform(df.withColumn("features", array_to_vector(F.col(embedding).cast("array<double>"))))
-        level = F.element_at(F.array(*[F.lit(lv) for lv in LEVELS]), (F.col("prediction") + 1).cast("int"))
-        return scored.select(*df.columns, level.alias("criticality"), F.array_max(vector_to_array("probability")).alias("confidence"))
-
-    def save(self, spark: SparkSession, path: str) -> None:
-        self.model.save(path)
-
-    @classmethod
-    def load(cls, spark: SparkSession, path: str) -> ForestModel:
-        return cls(RandomForestClassificationModel.load(path))
-
-
 def fit_rf(
     df: DataFrame, embedding: str = "embedding", label: str = "criticality", trees: int = 200, min_leaf: int = 2,
-    max_depth: int = 30, seed: int = 42,
+    max_samples: int = forest.MAX_SAMPLES, seed: int = 42, key: str = "id",
 ) -> ForestModel:
-    """Balanced random forest; 30 is the deepest a tree may grow here."""
-    rows, n = balanced(df.select(label, embedding), label)
-    data = _even(rows.withColumn("features", array_to_vector(F.col(embedding).cast("array<double>"))), n).persist()
-    try:
-        model = RandomForestClassifier(
-            labelCol="y", weightCol="weight", numTrees=trees, maxDepth=max_depth, minInstancesPerNode=min_leaf,
-            featureSubsetStrategy="sqrt", seed=seed,
-        ).fit(data)
-    finally:
-        data.unpersist()
-    return ForestModel(model)
+    """Balanced random forest without a depth limit.
+
+    Every tree is grown on a bootstrap sample of its own, drawn from all rows, of `max_samples` rows in
+    the mean at most. Rows without an embedding or with an unknown level are left out.
+    """
+    rows, n = balanced(df.where(F.col(embedding).isNotNull()).select(key, label, embedding), label)
+    return ForestModel(forest.grow_forest(rows, n, embedding, key, trees, min_leaf, max_samples, seed))
 
 
 Predict = Callable[[DataFrame], DataFrame]
@@ -181,8 +157,8 @@ def predict_with(model: LinearModel | ForestModel, key: str = "id") -> Predict:
     if isinstance(model, LinearModel):
         return lambda df: df.join(model.transform(df, key).select(key, F.col("criticality").alias("y_pred")), key)
 
-    def forest(df: DataFrame) -> DataFrame:
+    def by_forest(df: DataFrame) -> DataFrame:
         scored = model.transform(df.withColumnRenamed("criticality", "_true"))
         return scored.drop("confidence").withColumnsRenamed({"criticality": "y_pred", "_true": "criticality"})
 
-    return forest
+    return by_forest

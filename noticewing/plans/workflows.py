@@ -69,7 +69,7 @@ def train_all(labeled: DataFrame, encoder: embed.Encoder, key: str = "id", **for
         linear = classify.fit_lr(train, tfidf.TfidfModel.fit(train), key)
         vectors = encoder(parts).persist()
         try:
-            rf = classify.fit_rf(vectors.where(~F.col("is_test")), **forest)
+            rf = classify.fit_rf(vectors.where(~F.col("is_test")), key=key, **forest)
             isolation = iforest.IsolationForestModel.fit(vectors, key=key)
             scores = metrics.model_metrics(classify.predict_with(linear, key)(test), "TF-IDF + Logistic Regression", y_true="criticality").unionByName(
                 metrics.model_metrics(
