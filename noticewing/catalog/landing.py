@@ -11,7 +11,7 @@ from noticewing.catalog.views import Views
 from noticewing.functions import text as tx
 from noticewing.operators import spatial
 from noticewing.plans import storage
-from noticewing.sources import airports, blocks, briefs, labels, pages
+from noticewing.sources import airports, blocks, briefs, labels, pages, store
 
 PAGE = 4
 STAMP = "yyyy-MM-dd'T'HH:mm:ss'.000Z'"
@@ -353,6 +353,17 @@ def _(v: Views):
     return labels.load_store(v.spark, root)
 
 
+@query("label_store_buckets", """
+SELECT notice_id, CASE WHEN CAST(substr(notice_id, 9) AS BIGINT) % 50 = 0 AND reason NOT LIKE 'LABELING_FAILED%' THEN 'INFO' ELSE criticality END AS criticality, score, reason
+FROM v_labels WHERE reason NOT LIKE 'LABELING_FAILED%'""")
+def _(v: Views):
+    kept = v.labels().where(~F.col("reason").startswith(domain.FAILED_PREFIX))
+    labels_by_bucket = store.label_store(v.spark, storage.scratch(v.spark), buckets=64)
+    labels_by_bucket.upsert(kept)
+    labels_by_bucket.upsert(kept.where(F.substring("notice_id", 9, 20).cast("long") % 50 == 0).withColumn("criticality", F.lit("INFO")))
+    return labels_by_bucket.read()
+
+
 # ---------------------------------------------------------------- briefs
 
 PCT1 = "printf('%4.1f', round_even({n} * 100.0::DOUBLE / total, 1))"
