@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticewing import domain
 from noticewing.catalog.registry import query
 from noticewing.catalog.views import Views
-from noticewing.models import classify, embed, iforest, split, tfidf
+from noticewing.models import classify, embed, iforest, linear, split, tfidf
 from noticewing.operators import filters
 from noticewing.plans import storage, workflows
 
@@ -86,7 +87,60 @@ def _(v: Views):
 @query("cv_scores")
 def _(v: Views):
     train, _ = _parts(v)
-    return classify.cv_scores(train, lambda part: classify.predict_with(classify.fit_lr(part)), "TF-IDF + Logistic Regression")
+    return classify.cv_scores_lr(train)
+
+
+LR_GIVEN_SQL = f"""
+{TERMS_SQL.replace("v_notices", "train")},
+ num AS (SELECT term, idf, row_number() OVER (ORDER BY term) - 1 AS idx FROM voc),
+ w AS (SELECT id, idx, (ln(tf) + 1) * idf AS w FROM tf JOIN num USING (term)), s AS (SELECT id, sqrt(sum(w * w)) AS len FROM w GROUP BY id),
+ x AS (SELECT w.id, idx, w / len AS v FROM w JOIN s ON s.id = w.id), lv AS (SELECT unnest(range(4)) AS k),
+ m AS (SELECT t.id, t.y, k, coalesce(sum(v * (((idx * 7 + k * 3) % 11) - 5) / 8.0::DOUBLE), 0) + k / 16.0::DOUBLE AS m
+  FROM train t CROSS JOIN lv LEFT JOIN x ON x.id = t.id GROUP BY 1, 2, 3)"""
+TRAIN_SQL = """train AS (SELECT id, text, CASE criticality WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 WHEN 'LOW' THEN 2 ELSE 3 END AS y
+  FROM v_labeled WHERE reason NOT LIKE 'LABELING_FAILED%')"""
+
+
+def given_linear(v: Views, docs: DataFrame) -> classify.LinearModel:
+    """The vocabulary of `docs` with coefficients by rule."""
+    vocab = tfidf.TfidfModel.fit(docs)
+    return classify.LinearModel(vocab, [[((r[1] * 7 + k * 3) % 11 - 5) / 8.0 for r in vocab.rows] for k in range(4)], [k / 16.0 for k in range(4)])
+
+
+@query("lr_score_given", f"""
+WITH {TRAIN_SQL}, {LR_GIVEN_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY m DESC, k) AS place, max(m) OVER (PARTITION BY id) AS top FROM m),
+ z AS (SELECT id, 1.0::DOUBLE / sum(exp(m - top)) AS confidence FROM r GROUP BY id)
+SELECT r.id, CASE k WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' WHEN 2 THEN 'LOW' ELSE 'INFO' END AS criticality, round(z.confidence, 6) AS confidence
+FROM r JOIN z ON z.id = r.id WHERE place = 1""")
+def _(v: Views):
+    docs = _training(v)
+    folder = storage.scratch(v.spark)
+    given_linear(v, docs).save(v.spark, folder)
+    return classify.LinearModel.load(v.spark, folder).transform(docs).withColumn("confidence", F.round("confidence", 6))
+
+
+@query("lr_gradient_given", f"""
+WITH {TRAIN_SQL}, {LR_GIVEN_SQL}, top AS (SELECT id, max(m) AS top FROM m GROUP BY id), z AS (SELECT m.id, sum(exp(m - top)) AS z FROM m JOIN top ON top.id = m.id GROUP BY 1),
+ cw AS (SELECT y, (SELECT count(*) FROM train) / ((SELECT count(DISTINCT y) FROM train) * count(*)::DOUBLE) AS cw FROM train GROUP BY y),
+ e AS (SELECT m.id, k, cw * (exp(m - top) / z - CASE WHEN k = m.y THEN 1 ELSE 0 END) / (SELECT count(*) FROM train) AS e,
+   CASE WHEN k = m.y THEN -cw * (m - top - ln(z)) / (SELECT count(*) FROM train) ELSE 0 END AS loss
+  FROM m JOIN top ON top.id = m.id JOIN z ON z.id = m.id JOIN cw ON cw.y = m.y),
+ g AS (SELECT k, idx, sum(e * v) AS g FROM e JOIN x ON x.id = e.id GROUP BY 1, 2), n AS (SELECT k, sqrt(sum(g * g)) AS norm FROM g GROUP BY k)
+SELECT CAST(n.k AS INT) AS level, round(norm, 8) AS gradient_norm, (SELECT round(sum(e), 8) FROM e WHERE e.k = n.k) AS intercept_gradient, (SELECT round(sum(loss), 8) FROM e) AS loss
+FROM n""")
+def _(v: Views):
+    # loss and gradient of the fitting pass at known coefficients, recomputed in SQL
+    docs = _training(v)
+    model = given_linear(v, docs)
+    rows = linear.encoded(linear.numbered(docs, "criticality").select("y", F.lit(0).alias("fold"), "text"), [r[0] for r in model.vocab.rows])
+    table = storage.written(rows)
+    weight, n = linear.class_weights({r["y"]: r["count"] for r in table.groupBy("y").count().collect()})
+    problem = linear.Problem(np.arange(len(model.vocab.rows)), np.array([r[4] for r in model.vocab.rows]), weight, n, -1)
+    point = np.concatenate((np.array(model.coefficients).ravel(), np.array(model.intercepts)))
+    loss, slope = linear.gradients(table, [problem], len(model.vocab.rows), {0: point})[0]
+    norms = np.sqrt((slope[:-4].reshape(4, -1) ** 2).sum(axis=1))
+    found = [(k, round(float(norms[k]), 8), round(float(slope[-4 + k]), 8), round(loss, 8)) for k in range(4)]
+    return v.spark.createDataFrame(found, "level int, gradient_norm double, intercept_gradient double, loss double")
 
 
 @query("embed_missing", f"SELECT id, {DIM} AS dims, pos % 2 = 0 AS cached FROM v_notices")

@@ -2,24 +2,23 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticewing import domain
 from noticewing.functions import text as tx
-from noticewing.models import forest, split, tfidf
+from noticewing.models import forest, linear, split, tfidf
 from noticewing.models.forest import ForestModel
 from noticewing.operators import metrics
 from noticewing.plans import order as od
+from noticewing.plans import storage
 
 LEVELS = domain.LEVELS
-#: training rows one task holds
-ROWS_PER_TASK = 10_000
 
 
 def balanced(df: DataFrame, label: str = "criticality") -> tuple[DataFrame, int]:
@@ -33,11 +32,6 @@ def balanced(df: DataFrame, label: str = "criticality") -> tuple[DataFrame, int]
     return rows.where(F.col("y").isNotNull()), n
 
 
-def _even(df: DataFrame, n: int) -> DataFrame:
-    """Partitions of equal size for an iterative fit: each round waits for the largest."""
-    return df.repartition(max(1, math.ceil(n / ROWS_PER_TASK)))
-
-
 @dataclass
 class LinearModel:
     """Multinomial coefficients next to the vocabulary; scoring needs no vectors."""
@@ -53,22 +47,27 @@ class LinearModel:
         return spark.createDataFrame(rows, f"term string, idf double, {names}")
 
     def transform(self, df: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-        """(key, criticality, confidence): sums of weight times coefficient per document, then softmax.
-
-        Map tasks add up their documents first; five numbers per document are shuffled.
-        """
-        terms = tfidf.matched(df, self.frame(df.sparkSession), key, text)
-        sums = terms.groupBy(key).agg(
-            F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"),
-            *[F.sum(F.col("w") * F.col(f"b{i}")).alias(f"m{i}") for i in range(len(LEVELS))],
-        )
-        margins = [F.coalesce(F.col(f"m{i}") / F.col("len"), F.lit(0.0)) + F.lit(float(b)) for i, b in enumerate(self.intercepts)]
-        scored = sums.select(key, F.array(*margins).alias("m")).withColumn("top", F.array_max("m"))
-        best = F.array_position("m", F.col("top")).cast("int")
-        odds = F.aggregate("m", F.lit(0.0), lambda acc, m: acc + F.exp(m - F.col("top")))
-        return scored.select(
-            key, F.element_at(F.array(*[F.lit(lv) for lv in LEVELS]), best).alias("criticality"), (F.lit(1.0) / odds).alias("confidence")
-        )
+        """(key, criticality, confidence): margins of each row's own terms, then softmax. No shuffle."""
+        terms, idf = [r[0] for r in self.vocab.rows], np.array([float(r[4]) for r in self.vocab.rows])
+        # The vocabulary has MAX_TERMS terms at most.
+        place = np.array([r[1] for r in self.vocab.rows], dtype=np.int64)
+        coefficients = np.array(self.coefficients, dtype=float).reshape(len(LEVELS), -1)[:, place]
+        shared = df.sparkSession.sparkContext.broadcast((idf, coefficients, np.array(self.intercepts)))
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            idf, coefficients, intercepts = shared.value
+            for batch in batches:
+                block = linear.Block(batch)
+                margins = block.margins(block.weights(idf), coefficients, intercepts)
+                top = margins.argmax(axis=1)
+                with np.errstate(under="ignore"):
+                    odds = np.exp(margins - margins.max(axis=1, keepdims=True)).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(top.astype(np.int32)), pa.array(1.0 / odds)], names=[key, "_level", "confidence"])
+
+        rows = linear.encoded(df.select(key, text), terms, text)
+        kind = rows.schema[key].dataType.simpleString()
+        scored = rows.mapInArrow(score, f"`{key}` {kind}, _level int, confidence double")
+        return scored.select(key, F.get(F.array(*[F.lit(lv) for lv in LEVELS]), "_level").alias("criticality"), "confidence")
 
     def save(self, spark: SparkSession, path: str) -> None:
         self.vocab.save(spark, f"{path}/vocabulary")
@@ -85,26 +84,17 @@ def fit_lr(
     df: DataFrame, vocab: tfidf.TfidfModel | None = None, key: str = "id", text: str = "text", label: str = "criticality",
     c: float = 1.0, max_iter: int = 1000, tol: float = 1e-4,
 ) -> LinearModel:
-    """Balanced multinomial logistic regression with L2 penalty 1/(C n) on TF-IDF vectors."""
-    source = df.select(key, label, text).persist()
-    try:
-        vocab = vocab or tfidf.TfidfModel.fit(source, text)
-        rows, n = balanced(source, label)
-        data = _even(rows.select(key, "y", "weight").join(vocab.transform(rows, key, text), key), n).persist()
-        try:
-            model = LogisticRegression(
-                labelCol="y", weightCol="weight", family="multinomial", regParam=1.0 / (c * n), elasticNetParam=0.0,
-                standardization=False, maxIter=max_iter, tol=tol,
-            ).fit(data)
-        finally:
-            data.unpersist()
-    finally:
-        source.unpersist()
-    matrix, bias = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+    """Balanced multinomial logistic regression with L2 penalty 1/(C n) on TF-IDF vectors (`linear.solve`)."""
+    vocab = vocab or tfidf.TfidfModel.fit(df, text)
+    rows = linear.numbered(df.select(label, text), label).select("y", F.lit(0).alias("fold"), text)
+    table = storage.written(linear.encoded(rows, [r[0] for r in vocab.rows], text))
+    counts = {r["y"]: r["count"] for r in table.groupBy("y").count().collect()}
+    weight, n = linear.class_weights(counts)
+    problem = linear.Problem(np.arange(len(vocab.rows)), np.array([float(r[4]) for r in vocab.rows]), weight, n)
+    coefficients, bias = linear.solve(table, [problem], len(vocab.rows), c, max_iter, tol)[0]
     # a level absent from the training rows can never be predicted
-    k = len(LEVELS)
-    coefficients = [matrix[i].tolist() if i < len(matrix) else [0.0] * len(vocab.rows) for i in range(k)]
-    return LinearModel(vocab, coefficients, [float(bias[i]) if i < len(bias) else float("-inf") for i in range(k)])
+    order = np.argsort([r[1] for r in vocab.rows])
+    return LinearModel(vocab, coefficients[:, order].tolist(), [float(b) if w else float("-inf") for b, w in zip(bias, weight)])
 
 
 def top_terms(model: LinearModel, spark: SparkSession, k: int = 15) -> DataFrame:
@@ -152,6 +142,17 @@ def cv_scores(
     return rows.agg(F.lit(name).alias("model"), F.avg("f").alias("macro_f1_mean"), F.stddev_pop("f").alias("macro_f1_std"))
 
 
+def cv_scores_lr(
+    df: DataFrame, name: str = "TF-IDF + Logistic Regression", folds: int = 5, seed: int = 42, label: str = "criticality", key: str = "id", text: str = "text", **fit
+) -> DataFrame:
+    """`cv_scores` of the linear model, all folds fitted side by side (`linear.cross_predict`)."""
+    parts = storage.written(split.stratified_folds(df.select(key, label, text), label, key, folds, seed))
+    done = storage.written(linear.cross_predict(parts, folds, key, text, label, **fit))
+    scores = [metrics.model_metrics(done.where(F.col("fold") == f), f"{f}", y_true=label, dp=10).first()["macro_f1"] for f in range(folds)]
+    rows = df.sparkSession.createDataFrame([(s,) for s in scores], "f double")
+    return rows.agg(F.lit(name).alias("model"), F.avg("f").alias("macro_f1_mean"), F.stddev_pop("f").alias("macro_f1_std"))
+
+
 def predict_with(model: LinearModel | ForestModel, key: str = "id") -> Predict:
     """Function that adds y_pred to labelled rows, for cv_scores and evaluation."""
     if isinstance(model, LinearModel):
