@@ -11,7 +11,7 @@ from noticewing.catalog.views import Views
 from noticewing.functions import text as tx
 from noticewing.operators import spatial
 from noticewing.plans import storage
-from noticewing.sources import airports, blocks, briefs, labels, pages, store
+from noticewing.sources import airports, blocks, briefs, labels, landing, pages, store
 
 PAGE = 4
 STAMP = "yyyy-MM-dd'T'HH:mm:ss'.000Z'"
@@ -92,6 +92,15 @@ def _(v: Views):
     return pages.page_items(pages.read_pages(v.spark, path)).select("request_id", "page_num", "item_pos", _id(), "total_pages", "page_ok")
 
 
+@query("landed_pages", f"""
+SELECT request_id, page_num, item_pos, id FROM {PAGED_SQL} p WHERE request_id IN ('r0', 'r2') AND page_num >= 2""")
+def _(v: Views):
+    path = storage.scratch(v.spark)
+    landing.write_landing(_pages(v).withColumn("page_num", F.get_json_object("body", "$.pageNum").cast("int")), path)
+    few = landing.read_landing(v.spark, path).where("request_id IN ('r0', 'r2') AND page_num >= 2")
+    return pages.page_items(few.drop("page_num")).select("request_id", "page_num", "item_pos", _id())
+
+
 TRIAGE = "CASE pos % 9 WHEN 0 THEN 'unauthenticated' WHEN 1 THEN 'error' WHEN 2 THEN 'message' WHEN 3 THEN 'invalid' WHEN 4 THEN 'not_json' WHEN 5 THEN 'rate_limited' WHEN 6 THEN 'invalid' WHEN 7 THEN 'success'"
 
 
@@ -378,7 +387,7 @@ HEADS = " UNION ALL ".join(
 )
 
 
-@query("brief_lines", f"""
+BRIEF_SQL = f"""
 WITH c AS (SELECT route, departure, destination, count(*) AS total, count(*) FILTER (WHERE is_anomaly) AS anomalies,
   {", ".join(f"count(*) FILTER (WHERE final_criticality = '{lv}') AS {lv.lower()}" for lv in domain.LEVELS)} FROM v_scored GROUP BY 1, 2, 3)
 SELECT route, CAST(section AS INT) AS section, pos, CAST(line_no AS INT) AS line_no, line FROM (
@@ -391,6 +400,19 @@ SELECT route, CAST(section AS INT) AS section, pos, CAST(line_no AS INT) AS line
  UNION ALL SELECT route, CASE final_criticality WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 3 ELSE 4 END, pos, u.k,
    CASE u.k WHEN 1 THEN '  ' || final_criticality || CASE WHEN is_anomaly THEN ', unusual' ELSE '' END || '  ' || notice_id || '  (confidence ' || CAST(CAST(round_even(rf_confidence * 100, 0) AS INT) AS VARCHAR) || ' %)'
     WHEN 3 THEN trim(text, ' ' || chr(10) || chr(9) || chr(13)) WHEN 4 THEN '' ELSE repeat('-', 72) END
- FROM v_scored CROSS JOIN (SELECT unnest(range(5)) AS k) u) z""")
+ FROM v_scored CROSS JOIN (SELECT unnest(range(5)) AS k) u) z"""
+
+
+@query("brief_lines", BRIEF_SQL)
 def _(v: Views):
     return briefs.brief_lines(v.scored(), generated_at="2025-01-01 00:00Z")
+
+
+@query("brief_files", f"""
+SELECT route, row_number() OVER (PARTITION BY route ORDER BY section, pos, line_no, k) - 1 AS line_no, line FROM (
+ SELECT route, section, pos, line_no, unnest(string_split(coalesce(line, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(line, ''), chr(10))))) AS k
+ FROM ({BRIEF_SQL}) b) f""")
+def _(v: Views):
+    path = storage.scratch(v.spark)
+    briefs.save_briefs(briefs.brief_lines(v.scored(), generated_at="2025-01-01 00:00Z"), path)
+    return briefs.read_briefs(v.spark, path)
