@@ -1,4 +1,9 @@
-"""Nearest neighbours: balanced posting lists with replicas, their centroids searched by a graph."""
+"""Nearest neighbours: balanced posting lists with replicas, their centroids searched by a graph.
+
+Lists that come out fuller than twice the mean are split and the vectors assigned again. How many
+lists a query visits is not fixed: the distance ratio that prunes lists is the one at which some given
+queries, compared with every vector, find nearly all of their true neighbours.
+"""
 
 from __future__ import annotations
 
@@ -18,10 +23,14 @@ from noticewing.llm.vectors import matrix, same_width, usable
 LIST, DRAWS_PER_LIST, MOST_LISTS = 256, 24, 1 << 13
 #: a vector goes to every list nearer than this times its nearest, up to so many (a boundary vector)
 REPLICA_RATIO, REPLICAS = 1.15, 6
-#: a query visits lists nearer than this times its nearest, between the two numbers
-VISIT_RATIO, LEAST_LISTS, VISITS = 1.25, 12, 48
-#: neighbours of a centroid in the graph, and places of the beam
-DEGREE, BEAM = 24, 96
+#: how often overfull lists are split; a list is overfull beyond this times the mean
+SPLITS, OVERFULL = 4, 2.0
+#: a query visits at least so many lists, and all nearer than a measured ratio times its nearest
+LEAST_LISTS = 12
+#: queries the ratio is measured on, share of their true neighbours it has to reach, and margin of the visits
+MEASURED, SHARE, MARGIN = 128, 0.98, 1.25
+#: neighbours of a centroid in the graph, places of the beam, and places beyond the lists that are wanted
+DEGREE, BEAM, SPARE = 24, 96, 32
 #: vectors and queries of a block: the unit of work
 BLOCK = 4096
 
@@ -125,8 +134,22 @@ def _lifted(x: np.ndarray, longest: float) -> np.ndarray:
     return np.concatenate((x, rest[:, None]), axis=1)
 
 
-def _with_lists(shared, longest: float, as_query: bool, sizes=None, least: int = 0):
-    """Column function: the lists a vector is kept in, or those a query visits."""
+def _as_asked(x: np.ndarray, longest: float) -> np.ndarray:
+    """Queries among lifted vectors: only directions matter, so they are brought to the common length."""
+    x = x * (longest / np.sqrt((x * x).sum(axis=1)))[:, None]
+    return np.concatenate((x, np.zeros((len(x), 1))), axis=1)
+
+
+@dataclass
+class Visits:
+    """Which lists queries visit: up to `ratio` times the nearest distance, at most `most`."""
+
+    ratio: float
+    most: int
+
+
+def _with_lists(shared, longest: float, visits: Visits | None = None, sizes=None, least: int = 0):
+    """Column function: the lists a vector is kept in, or with `visits` those a query visits."""
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def lists(column: pa.Array) -> pa.Array:
@@ -135,18 +158,16 @@ def _with_lists(shared, longest: float, as_query: bool, sizes=None, least: int =
         x = matrix(column)
         for i in range(0, len(x), 512):
             y = x[i : i + 512]
-            if as_query:  # directions matter only: brought to the common length
-                y = y * (longest / np.sqrt((y * y).sum(axis=1)))[:, None]
-                y = np.concatenate((y, np.zeros((len(y), 1))), axis=1)
+            if visits:
+                found, dist = graph.search(_as_asked(y, longest), max(BEAM, visits.most + SPARE))
             else:
-                y = _lifted(y, longest)
-            found, dist = graph.search(y)
-            ratio, most = (VISIT_RATIO, VISITS) if as_query else (REPLICA_RATIO, REPLICAS)
+                found, dist = graph.search(_lifted(y, longest))
+            ratio, most = (visits.ratio, visits.most) if visits else (REPLICA_RATIO, REPLICAS)
             for lists_, d in zip(found, dist):
                 fine = d < np.inf
                 lists_, d = lists_[fine][:most], d[fine][:most]
                 keep = d <= ratio * d[0] + 1e-9
-                if as_query:
+                if visits:
                     keep |= (np.arange(len(d)) < LEAST_LISTS) | (np.cumsum(held[lists_]) - held[lists_] < least)
                 else:  # a replica is of use if no list that has it lies nearer to its centroid
                     chosen = [0]
@@ -195,6 +216,83 @@ def _scored(k: int):
     return run
 
 
+def _true_nearest(own: DataFrame, nodes: np.ndarray, x: np.ndarray, k: int) -> DataFrame:
+    """The k best of all other rows for a few given queries: (place, node, score). One pass; k rows a query leave a task."""
+    given = own.sparkSession.sparkContext.broadcast((nodes, x))
+
+    def best(batches):
+        mine, q = given.value
+        score, node = np.zeros((len(q), 0)), np.zeros((len(q), 0), dtype=np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = batch.column(0).to_numpy()
+            s = q @ matrix(batch.column(1)).T
+            s[mine[:, None] == new[None, :]] = -np.inf
+            score = np.concatenate((score, s), axis=1)
+            node = np.concatenate((node, np.broadcast_to(new, s.shape)), axis=1)
+            if score.shape[1] > k:
+                top = np.argpartition(-score, k - 1, axis=1)[:, :k]
+                score, node = np.take_along_axis(score, top, axis=1), np.take_along_axis(node, top, axis=1)
+        place = np.repeat(np.arange(len(q)), score.shape[1])
+        fine = score.ravel() > -np.inf
+        yield pa.RecordBatch.from_arrays([pa.array(v[fine]) for v in (place, node.ravel(), score.ravel())], schema=_FOUND_AT)
+
+    found = own.select("_node", "_v").mapInArrow(best, "place long, node long, score double")
+    by = W.partitionBy("place").orderBy(F.desc("score"), "node")
+    return found.withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= k).drop("_n")
+
+
+_FOUND_AT = pa.schema([("place", pa.int64()), ("node", pa.int64()), ("score", pa.float64())])
+
+
+def _measured(own: DataFrame, posted: DataFrame, asking: DataFrame, graph: CentroidGraph, longest: float, k: int) -> Visits:
+    """The visits by which MEASURED queries meet SHARE of their true neighbours' lists."""
+    n = len(graph.centroids)
+    drawn = own.join(asking.select("_node").distinct(), "_node", "left_semi").orderBy(uniform("_node"), "_node").limit(MEASURED)
+    drawn = drawn.select("_node", "_v").toArrow()
+    if n <= LEAST_LISTS or not drawn.num_rows:
+        return Visits(np.inf, n)
+    nodes, x = drawn.column("_node").to_numpy(), matrix(drawn.column("_v"))
+    true = written(_true_nearest(own, nodes, x, k))  # MEASURED * k rows
+    kept = posted.join(F.broadcast(true.select(F.col("node").alias("_node")).distinct()), "_node").select("_node", "_list").toArrow()
+    lists: dict[int, list[int]] = {}
+    for node, number in zip(kept.column("_node").to_pylist(), kept.column("_list").to_pylist()):
+        lists.setdefault(node, []).append(number)
+    dist = np.sqrt(_squared(_as_asked(x, longest), graph.centroids))
+    ratio = dist / np.maximum(dist.min(axis=1), 1e-12)[:, None]
+    needed = [min(ratio[place, lists[node]]) for place, node in true.select("place", "node").toArrow().to_pandas().itertuples(index=False)]
+    chosen = float(np.quantile(needed, SHARE)) if needed else np.inf
+    most = int((ratio <= chosen + 1e-9).sum(axis=1).max())
+    return Visits(chosen, min(n, max(LEAST_LISTS, int(most * MARGIN) + 1)))
+
+
+def _sizes(posted: DataFrame, n: int) -> np.ndarray:
+    """Vectors in every list, collected: a number per list."""
+    held = np.zeros(n, dtype=np.int64)
+    for r in posted.groupBy("_list").agg(F.count(F.lit(1)).alias("_n")).collect():
+        held[r[0]] = r[1]
+    return held
+
+
+def _split(posted: DataFrame, held: np.ndarray, centroids: np.ndarray, longest: float) -> np.ndarray | None:
+    """Centroids with those of overfull lists replaced by several, fitted on a sample of each such list; None if there is none."""
+    mean = held.sum() / max(1, (held > 0).sum())
+    over = np.nonzero(held > OVERFULL * mean)[0]
+    if not len(over):
+        return None
+    parts = np.ceil(held[over] / mean).astype(int)
+    spark = posted.sparkSession
+    share = spark.createDataFrame([(int(i), float(min(1.0, DRAWS_PER_LIST * p / held[i]))) for i, p in zip(over, parts)], "_list int, _share double")
+    drawn = posted.join(F.broadcast(share), "_list").where(uniform("_node") < F.col("_share")).select("_list", "_v").toArrow()
+    number, x = drawn.column("_list").to_numpy(), _lifted(matrix(drawn.column("_v")), longest)
+    new = [np.delete(centroids, over, axis=0)]
+    for i, p in zip(over, parts):
+        mine = x[number == i]
+        new.append(balanced_centroids(mine, int(p)) if len(mine) else centroids[i : i + 1])
+    return np.concatenate(new)
+
+
 def nearest(df: DataFrame, is_query, k: int = 20, *, key: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """Each query row's k nearest other rows found, by largest inner product: query_id, rank, vec_id, score.
 
@@ -205,8 +303,10 @@ def nearest(df: DataFrame, is_query, k: int = 20, *, key: str = "vec_id", vec: s
     are taken to be distinct and not null.
 
     The centroids are fitted on a sample of DRAWS_PER_LIST vectors per list (the smallest key hashes;
-    MOST_LISTS lists at most, larger lists beyond), every vector is indexed. A vector near a boundary is
-    kept in several lists. Lists and their queries are cut into blocks, so neither a full list nor a
+    MOST_LISTS lists at most, larger lists beyond), every vector is indexed. Lists fuller than OVERFULL
+    times the mean are split, SPLITS times at most. A vector near a boundary is kept in several lists.
+    MEASURED queries are compared with every vector; the lists all queries visit are those by which these
+    meet SHARE of their true neighbours, so hard data costs more visits and not recall. Lists and their queries are cut into blocks, so neither a full list nor a
     popular one makes a large task. Equal vectors are one posting with its k + 1 smallest keys.
     """
     spark = df.sparkSession
@@ -228,15 +328,20 @@ def nearest(df: DataFrame, is_query, k: int = 20, *, key: str = "vec_id", vec: s
         longest = float(own.agg(F.max(norm)).first()[0])
         drawn = own.select("_node", "_v").orderBy(uniform("_node"), "_node").limit(DRAWS_PER_LIST * n_lists).toArrow()
         sample = _lifted(matrix(drawn.column("_v")), longest)
-        graph = spark.sparkContext.broadcast(CentroidGraph.build(balanced_centroids(sample, n_lists)))
-        posted = written(own.select("_node", "_v", F.explode(_with_lists(graph, longest, False)("_v")).alias("_list")))
-        counts = posted.groupBy("_list").agg(F.count(F.lit(1)).alias("_n"))  # a row per list, MOST_LISTS at most
-        held = np.zeros(n_lists, dtype=np.int64)
-        for r in counts.collect():
-            held[r[0]] = r[1]
+        centroids = balanced_centroids(sample, n_lists)
+        for last in range(SPLITS + 1):
+            graph = spark.sparkContext.broadcast(CentroidGraph.build(centroids))
+            posted = written(own.select("_node", "_v", F.explode(_with_lists(graph, longest)("_v")).alias("_list")))
+            held = _sizes(posted, len(centroids))
+            split = _split(posted, held, centroids, longest) if last < SPLITS else None
+            if split is None:
+                break
+            centroids = split
+        counts = posted.groupBy("_list").agg(F.count(F.lit(1)).alias("_n"))  # a row per list
+        visits = _measured(own, posted, asking, graph.value, longest, k)
         sizes = spark.sparkContext.broadcast(held)
         queries = own.join(asking.select("_node").distinct(), "_node", "left_semi")
-        asked = queries.select(F.col("_node").alias("_query"), F.col("_v").alias("_q"), F.explode(_with_lists(graph, longest, True, sizes, 4 * k)("_v")).alias("_list"))
+        asked = queries.select(F.col("_node").alias("_query"), F.col("_v").alias("_q"), F.explode(_with_lists(graph, longest, visits, sizes, 4 * k)("_v")).alias("_list"))
         asked = written(asked)
         popular = asked.groupBy("_list").agg(F.count(F.lit(1)).alias("_m"))
         blocks = F.broadcast(counts.join(popular, "_list").select(

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,6 +156,41 @@ def test_nearest(spark):
     assert postings.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def _shape(name, n, width=32):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(n, width))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    if name == "lengths":
+        x *= rng.lognormal(0, 0.5, size=n)[:, None]
+    if name == "noisy":
+        centres = rng.normal(size=(n // 100, width))
+        x = centres[rng.integers(0, len(centres), n)] + rng.normal(size=(n, width))
+    return x
+
+
+@pytest.mark.parametrize("name, n", [("unit", 20_000), ("lengths", 20_000), ("noisy", 60_000)])
+def test_recall_at_any_shape(spark, monkeypatch, name, n):
+    x, sizes = _shape(name, n), {}
+    measured = postings._measured
+
+    def watched(own, posted, asking, graph, *rest):
+        sizes["held"] = postings._sizes(posted, len(graph.centroids))
+        return measured(own, posted, asking, graph, *rest)
+
+    monkeypatch.setattr(postings, "_measured", watched)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": range(n), "embedding": list(x)}))
+    got = postings.nearest(df, F.col("vec_id") % 100 == 0, 20).toPandas()
+    asked = np.arange(0, n, 100)
+    score = x[asked] @ x.T
+    score[np.arange(len(asked)), asked] = -np.inf
+    true = np.argpartition(-score, 20, axis=1)[:, :20]
+    found = set(zip(got["query_id"], got["vec_id"]))
+    assert sum((int(q), int(v)) in found for q, row in zip(asked, true) for v in row) >= 0.95 * true.size
+    assert (got.groupby("query_id").size() == 20).all()
+    held = sizes["held"][sizes["held"] > 0]
+    assert held.max() <= 2 * held.mean()
+
+
 def test_texts_without_evidence_are_kept(spark, labelled):
     """Most labels toxic: empty, null and unknown texts stay, toxic ones go; a tie without features rejects nothing."""
     docs, labels = labelled
