@@ -29,8 +29,9 @@ SPLITS, OVERFULL = 4, 2.0
 LEAST_LISTS = 12
 #: queries the ratio is measured on, share of their true neighbours it has to reach, and margin of the visits
 MEASURED, SHARE, MARGIN = 128, 0.98, 1.25
-#: neighbours of a centroid in the graph, places of the beam, and places beyond the lists that are wanted
-DEGREE, BEAM, SPARE = 24, 96, 32
+#: neighbours of a centroid in the graph, places of the beam for queries and for vectors that are indexed, and
+#: places beyond the lists that are wanted
+DEGREE, BEAM, PLACING, SPARE = 24, 96, 32, 32
 #: vectors and queries of a block: the unit of work
 BLOCK = 4096
 
@@ -161,7 +162,7 @@ def _with_lists(shared, longest: float, visits: Visits | None = None, sizes=None
             if visits:
                 found, dist = graph.search(_as_asked(y, longest), max(BEAM, visits.most + SPARE))
             else:
-                found, dist = graph.search(_lifted(y, longest))
+                found, dist = graph.search(_lifted(y, longest), PLACING)
             ratio, most = (visits.ratio, visits.most) if visits else (REPLICA_RATIO, REPLICAS)
             for lists_, d in zip(found, dist):
                 fine = d < np.inf
@@ -187,7 +188,7 @@ _FOUND = pa.schema([("query", pa.int64()), ("node", pa.int64()), ("score", pa.fl
 
 
 def _scored(k: int):
-    """Within a block of a list and one of its queries: each query's k best, ties to the smaller node."""
+    """Within a block of a list and one of its queries: each query's k best that reach its bound, ties to the smaller node."""
 
     def run(posted: pa.Table, asked: pa.Table) -> pa.Table:
         if not posted.num_rows or not asked.num_rows:
@@ -195,7 +196,8 @@ def _scored(k: int):
         node = posted.column("_node").to_numpy()
         by = np.argsort(node, kind="stable")
         x, node = matrix(posted.column("_v"))[by], node[by]
-        query, q = asked.column("_query").to_numpy(), matrix(asked.column("_q"))
+        query, q, bound = asked.column("_query").to_numpy(), matrix(asked.column("_q")), asked.column("_bound").to_numpy()
+        bound = bound - 1e-9 * (1 + np.abs(np.where(np.isfinite(bound), bound, 0)))
         out = []
         for i in range(0, len(q), 256):
             s = q[i : i + 256] @ x.T
@@ -209,7 +211,7 @@ def _scored(k: int):
             order = np.lexsort((node[b], -score, a))
             a, b, score = a[order], b[order], score[order]
             place = np.arange(len(a)) - np.searchsorted(a, a)
-            best = place < k
+            best = (place < k) & (score >= bound[i + a])
             out.append((query[i + a[best]], node[b[best]], score[best]))
         return pa.Table.from_arrays([pa.array(np.concatenate([o[c] for o in out])) for c in range(3)], schema=_FOUND)
 
@@ -293,6 +295,18 @@ def _split(posted: DataFrame, held: np.ndarray, centroids: np.ndarray, longest:
     return np.concatenate(new)
 
 
+def _compared(posted: DataFrame, counts: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """Every query's k best of each list it visits: query, node, score. Lists and their queries are cut into blocks."""
+    popular = asked.groupBy("_list").agg(F.count(F.lit(1)).alias("_m"))
+    blocks = F.broadcast(counts.join(popular, "_list").select(
+        "_list", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_p"), F.ceil(F.col("_m") / BLOCK).cast("int").alias("_r")))
+    left = posted.join(blocks, "_list").select(
+        "_list", F.pmod(F.xxhash64("_node"), F.col("_p")).cast("int").alias("_i"), F.explode(F.sequence(F.lit(0), F.col("_r") - 1)).alias("_j"), "_node", "_v")
+    right = asked.join(blocks, "_list").select(
+        "_list", F.explode(F.sequence(F.lit(0), F.col("_p") - 1)).alias("_i"), F.pmod(F.xxhash64("_query"), F.col("_r")).cast("int").alias("_j"), "_query", "_q", "_bound")
+    return left.groupBy("_list", "_i", "_j").cogroup(right.groupBy("_list", "_i", "_j")).applyInArrow(_scored(k), "query long, node long, score double")
+
+
 def nearest(df: DataFrame, is_query, k: int = 20, *, key: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """Each query row's k nearest other rows found, by largest inner product: query_id, rank, vec_id, score.
 
@@ -341,17 +355,15 @@ def nearest(df: DataFrame, is_query, k: int = 20, *, key: str = "vec_id", vec: s
         visits = _measured(own, posted, asking, graph.value, longest, k)
         sizes = spark.sparkContext.broadcast(held)
         queries = own.join(asking.select("_node").distinct(), "_node", "left_semi")
-        asked = queries.select(F.col("_node").alias("_query"), F.col("_v").alias("_q"), F.explode(_with_lists(graph, longest, visits, sizes, 4 * k)("_v")).alias("_list"))
-        asked = written(asked)
-        popular = asked.groupBy("_list").agg(F.count(F.lit(1)).alias("_m"))
-        blocks = F.broadcast(counts.join(popular, "_list").select(
-            "_list", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_p"), F.ceil(F.col("_m") / BLOCK).cast("int").alias("_r")))
-        left = posted.join(blocks, "_list").select(
-            "_list", F.pmod(F.xxhash64("_node"), F.col("_p")).cast("int").alias("_i"), F.explode(F.sequence(F.lit(0), F.col("_r") - 1)).alias("_j"), "_node", "_v")
-        right = asked.join(blocks, "_list").select(
-            "_list", F.explode(F.sequence(F.lit(0), F.col("_p") - 1)).alias("_i"), F.pmod(F.xxhash64("_query"), F.col("_r")).cast("int").alias("_j"), "_query", "_q")
-        found = left.groupBy("_list", "_i", "_j").cogroup(right.groupBy("_list", "_i", "_j")).applyInArrow(
-            _scored(k + 1), "query long, node long, score double")
+        lists = F.posexplode(_with_lists(graph, longest, visits, sizes, 4 * k)("_v")).alias("_at", "_list")
+        asked = written(queries.select(F.col("_node").alias("_query"), F.col("_v").alias("_q"), lists))
+        # The nearest lists first: what is worse than a query's best k + 1 there need not leave the others.
+        first = written(_compared(posted, counts, asked.where(F.col("_at") < LEAST_LISTS).withColumn("_bound", F.lit(float("-inf"))), k + 1))
+        place = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "node"))
+        reached = first.groupBy("query", "node").agg(F.max("score").alias("score")).withColumn("_n", place)
+        reached = reached.where(F.col("_n") == k + 1).select(F.col("query").alias("_query"), F.col("score").alias("_bound"))
+        others = asked.where(F.col("_at") >= LEAST_LISTS).join(reached, "_query", "left").withColumn("_bound", F.coalesce("_bound", F.lit(float("-inf"))))
+        found = first.unionByName(_compared(posted, counts, others, k + 1))
         out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
