@@ -15,44 +15,33 @@ from pathlib import Path
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from noticewing.llm.common import free_name, hash64, lists, text_groups, without, written
+from noticewing.llm.common import batches_of, free_name, hash64, lists, ranges, text_bytes, without, written
 from noticewing.plans.order import grouped_position
 
 #: words a worker remembers in each of two generations; the older goes when the newer is full
 REMEMBERED = 200_000
+#: bytes of text encoded together
+GROUP = 8 << 20
+#: words whose ids are gathered at once
+GATHERED = 1 << 18
 #: hash buckets a length's pieces are ranked in
 RANK_BUCKETS = 1 << 10
 _PIECE = ["start", "length", "doc_tokens", "ids"]
 
 
-#: beyond these signs normal forms and lower case are left to the library; its special tokens too
-_FAR = re.compile("[^\x00-\u012f\u0131-\u024f]|<\\|")
-#: how the tokenizer divides a lower-case text of other signs: letters, single digits, contractions, the rest
-_LETTERS, _DIGITS, _WHITE = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r\x20\x85\xa0"
+#: texts with other signs are left to the library, for normal forms and lower case; with its special tokens too
+_FAR = "[^\\x00-\\x{12f}\\x{131}-\\x{24f}]|<\\|"
+#: how the tokenizer divides a lower-case text of other signs: letters, single digits, contractions, the rest;
+#: the lower case of some letters lies beyond them
+_LETTERS, _DIGITS, _WHITE = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u02af\u2c65\u2c66", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r\x20\x85\xa0"
 _PARTS = re.compile(f"[{_LETTERS}]+|[{_DIGITS}]|'(?:s|t|re|ve|m|ll|d)|[^{_LETTERS}{_DIGITS}{_WHITE}]+")
 
 
-class Memory(dict):
-    """Ids of words, in two generations: when the newer is full the older goes. Lives as long as its worker."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.older: dict[str, bytes] = {}
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self[word] = self.older[word]
-        return ids
-
-    def turn(self) -> None:
-        if len(self) > REMEMBERED:
-            self.older = dict(self)
-            self.clear()
-
-
 class WordIds:
     """Token ids of whole texts by the tokenizers library, as little-endian 32-bit numbers.
 
@@ -74,7 +63,8 @@ class WordIds:
             raise ValueError("a lower-casing vocabulary with word ends is needed")
         self.last = np.zeros(1 + max(spec["model"]["vocab"].values()), dtype=bool)
         self.last[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
-        self.parts = Memory()
+        self.known: dict[str, bytes] = {}  # ids of words and parts, in two generations
+        self.older: dict[str, bytes] = {}
 
     def _each(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
@@ -94,16 +84,53 @@ class WordIds:
                     out += self._each(some)
         return out
 
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        parts = self.parts
-        parts.turn()
-        far = [("<|" in t) if t.isascii() else bool(_FAR.search(t)) for t in texts]
-        divided = [None if f else _PARTS.findall(t.lower()) for t, f in zip(texts, far)]
-        seen = set(chain.from_iterable(ps for ps in divided if ps))
-        new = [p for p in seen if p not in parts and p not in parts.older]
-        parts.update(zip(new, self._simple(new)))
-        for text, ps in zip(texts, divided):
-            yield self._each([text])[0] if ps is None else b"".join(map(parts.__getitem__, ps))
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words: new ones are divided (letters alone are one part); of their parts the library encodes the new ones."""
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        out = list(map(known.get, words))
+        new = []
+        for k in [k for k, ids in enumerate(out) if ids is None]:
+            ids = older.get(words[k])
+            if ids is None:
+                new.append(k)
+            else:
+                out[k] = known[words[k]] = ids
+        plain = [words[k] for k in new if words[k].isalpha()]
+        mixed = [(k, _PARTS.findall(words[k])) for k in new if not words[k].isalpha()]
+        parts = [p for p in set(chain(plain, *[ps for _, ps in mixed])) if p not in known and p not in older]
+        known.update(zip(parts, self._simple(parts)))
+        for k, ps in mixed:
+            known[words[k]] = b"".join([known[p] if p in known else older[p] for p in ps])
+        for k in new:
+            out[k] = known[words[k]]
+        return out
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end and each text's first one (one more at the end); null is empty.
+
+        Every different word is looked up once; what stands between ASCII white space is a word.
+        """
+        texts = texts.fill_null("")
+        far = pc.match_substring_regex(texts, _FAR).to_numpy(zero_copy_only=False)
+        words = pc.ascii_split_whitespace(pc.utf8_lower(pc.if_else(pa.array(~far), texts, "")))
+        each = words.flatten().dictionary_encode()
+        known = self._words(each.dictionary.to_pylist())
+        length = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 4
+        first, at = np.cumsum(length) - length, each.indices.to_numpy()
+        length, first, table = length[at], first[at], np.frombuffer(b"".join(known), dtype="<i4")
+        some = [slice(k, k + GATHERED) for k in range(0, len(at), GATHERED)]
+        ids = np.concatenate([np.zeros(0, "<i4"), *[table[ranges(first[s], length[s])] for s in some]])
+        offsets = words.offsets.to_numpy()
+        rows = np.concatenate(([0], np.cumsum(length)))[offsets - offsets[0]]
+        if far.any():
+            parts = np.split(ids, rows[1:-1])
+            where = np.flatnonzero(far)
+            for k, raw in zip(where.tolist(), self._each(texts.take(pa.array(where)).to_pylist())):
+                parts[k] = np.frombuffer(raw, dtype="<i4")
+            ids, rows = np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+        return ids, rows
 
 
 @lru_cache(maxsize=2)
@@ -120,30 +147,28 @@ def pieces(docs: DataFrame, tokenizer_file: str, *, capacity: int, end_id: int,
     words must not cross a space or line end.
     """
     model = docs.sparkSession.sparkContext.broadcast(Path(tokenizer_file).read_text(encoding="utf-8"))
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     def cut(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encode = word_ids(model.value)
         for column in parts:
-            found: list[tuple[int, int, int]] = []
-            sizes, tokens = [], []
-            for texts in text_groups(column):
-                for ids in encode(texts):
-                    ids += end
-                    n = len(ids) // 4
-                    starts = range(0, n, capacity)
-                    found += [(s, min(capacity, n - s), n) for s in starts]
-                    sizes.append(len(starts))
-                    tokens.append(ids)
-            values = np.array(found, dtype=np.int64).reshape(-1, 3)
-            each = lists(np.frombuffer(b"".join(tokens), dtype="<i4"), values[:, 1], pa.int32())
-            flat = pa.StructArray.from_arrays([*[pa.array(values[:, k]) for k in range(3)], each], names=_PIECE)
+            tokens, totals = [np.zeros(0, "<i4")], [np.zeros(0, np.int64)]
+            for i, j in batches_of(text_bytes(column)[1], GROUP):
+                ids, rows = encode(column.slice(i, j - i))
+                tokens.append(np.insert(ids, rows[1:], end_id))
+                totals.append(np.diff(rows) + 1)
+            total = np.concatenate(totals)
+            sizes = -(-total // capacity)
+            start = ranges(np.zeros(len(sizes), np.int64), sizes) * capacity
+            whole = np.repeat(total, sizes)
+            length = np.minimum(capacity, whole - start)
+            each = lists(np.concatenate(tokens), length, pa.int32())
+            flat = pa.StructArray.from_arrays([pa.array(start), pa.array(length), pa.array(whole), each], names=_PIECE)
             yield pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), flat)
 
     add = F.arrow_udf(cut, "array<struct<start:long,length:long,doc_tokens:long,ids:array<int>>>")
     rest = without(docs, text, *_PIECE)
-    names = [F.col(f"`{c}`") for c in rest.columns]
-    return docs.select(*names, F.explode(add(F.col(f"`{text}`"))).alias("_p")).select(*names, "_p.*")
+    names, part = [F.col(f"`{c}`") for c in rest.columns], free_name(docs, "_p")
+    return docs.select(*names, F.explode(add(F.col(f"`{text}`"))).alias(part)).select(*names, f"{part}.*")
 
 
 @F.arrow_udf(T.LongType())

@@ -6,6 +6,7 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -72,8 +73,24 @@ def test_bpe_round_trip(texts):
 def test_packing_ids_equal_the_library(texts):
     path = tokenizer_path("word_bpe_49k.json")
     library = tokenizers.Tokenizer.from_file(path)
-    for t, ids in zip(texts, packing.word_ids(open(path, encoding="utf-8").read())(texts)):
-        assert np.frombuffer(ids, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+    ids, rows = packing.word_ids(open(path, encoding="utf-8").read())(pa.array([*texts, None], pa.string()))
+    for t, a, b in zip([*texts, ""], rows[:-1], rows[1:]):
+        assert ids[a:b].tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+def test_packing_ids_of_every_near_sign_and_forgotten_words(monkeypatch):
+    """Every sign up to U+0260 alone, in a word and in upper case, words beyond the memory, special tokens."""
+    path = tokenizer_path("word_bpe_49k.json")
+    library = tokenizers.Tokenizer.from_file(path)
+    monkeypatch.setattr(packing, "REMEMBERED", 50)
+    monkeypatch.setattr(packing, "GATHERED", 7)
+    encode = packing.WordIds(open(path, encoding="utf-8").read())
+    signs = [chr(c) for c in range(1, 0x260)]
+    texts = [f"{c} a{c}b'{c}S {c}{c}7" for c in signs] + ["", "<|endoftext|> it's", "\u0391\u03a3 \x1c\xa0x\x85"]
+    for _ in range(2):
+        ids, rows = encode(pa.array(texts))
+        for t, a, b in zip(texts, rows[:-1], rows[1:]):
+            assert ids[a:b].tolist() == library.encode(t, add_special_tokens=False).ids, t
 
 
 @settings(max_examples=80, deadline=None)
