@@ -26,7 +26,7 @@ from noticewing.plans.order import grouped_position
 #: words a worker remembers in each of two generations; the older goes when the newer is full
 REMEMBERED = 200_000
 #: bytes of text encoded together
-GROUP = 8 << 20
+GROUP = 4 << 20
 #: words whose ids are gathered at once
 GATHERED = 1 << 18
 #: hash buckets a length's pieces are ranked in
