@@ -344,7 +344,7 @@ def _(v: Views):
     return dedupe.union_routes(parts)
 
 
-@query("first_success", """
+FIRST_SQL = """
 SELECT notice_id, coalesce(max(criticality), 'INFO') AS criticality, coalesce(max(score), 0) AS score,
  coalesce(max(reason), 'LABELING_FAILED: ' || CASE WHEN bool_or(status = 400) THEN 'HTTP 400' WHEN bool_or(status = 200) THEN 'invalid reply' ELSE 'None' END) AS reason,
  max(won) AS attempt
@@ -353,7 +353,10 @@ FROM (SELECT *, good AND attempt = min(CASE WHEN good THEN attempt END) OVER (PA
  LATERAL (SELECT CASE WHEN first THEN CASE WHEN pos % 100 < 8 THEN 'HIGH' WHEN pos % 17 = 0 THEN 'INFO' ELSE 'LOW' END END AS criticality,
   CASE WHEN first THEN CASE WHEN pos % 19 = 0 THEN 100 ELSE pos % 100 END END AS score,
   CASE WHEN first THEN 'r' || CAST(attempt AS VARCHAR) END AS reason, CASE WHEN first THEN attempt END AS won) z
-GROUP BY notice_id""")
+GROUP BY notice_id"""
+
+
+@query("first_success", FIRST_SQL)
 def _(v: Views):
     return dedupe.first_success(v.replies())
 

@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticewing import domain
+from noticewing.catalog.core import FIRST_SQL
 from noticewing.catalog.registry import query
 from noticewing.catalog.views import Views
 from noticewing.functions import text as tx
 from noticewing.operators import spatial
-from noticewing.plans import storage
+from noticewing.plans import storage, workflows
 from noticewing.sources import airports, blocks, briefs, labels, landing, pages, store
 
 PAGE = 4
@@ -216,6 +217,34 @@ def _(v: Views):
     return inferred.select(*[F.col("schema").contains(text).alias(name) for name, text in seen.items()])
 
 
+#: a nested document per notice: lists in lists, objects down to depth 12, nulls, keys that not all have
+NESTED_SQL = """'{"id":' || CAST(pos AS STRING) || ',"geometry":{"type":"GC","geometries":[{"coordinates":[[' || CAST(lon AS STRING) || ',' || CAST(lat AS STRING) ||
+ '],[]]}]},"deep":' || repeat('{"a":', CAST(pos % 12 AS INT)) || '1' || repeat('}', CAST(pos % 12 AS INT)) || ',"list":' || repeat('[', CAST(pos % 11 AS INT)) ||
+ 'null' || repeat(']', CAST(pos % 11 AS INT)) || CASE WHEN pos % 5 = 0 THEN ',"flag":true,"id2":"x"' WHEN pos % 5 = 1 THEN ',"flag":"yes"' ELSE '' END || '}'"""
+
+
+@query("schema_paths", f"""
+WITH tree AS (SELECT regexp_replace(regexp_replace(t.fullkey, '\\[[0-9]+\\]', '[]', 'g'), '^\\$\\.?', '') AS path, t.type AS kind
+ FROM (SELECT {NESTED_SQL} AS doc FROM v_notices) d, json_tree(d.doc) t)
+SELECT path, CASE kind WHEN 'VARCHAR' THEN 'STRING' WHEN 'UBIGINT' THEN 'BIGINT' WHEN 'DOUBLE' THEN 'DECIMAL' WHEN 'NULL' THEN 'VOID' ELSE kind END AS kind, count(*) AS n
+FROM tree GROUP BY 1, 2""")
+def _(v: Views):
+    return pages.schema_paths(v.notices().select(F.parse_json(F.expr(NESTED_SQL)).alias("item")))
+
+
+NOTICE_AT = f"properties.{domain.CORE_KEY}.{domain.NOTICE_KEY}"
+
+
+@query("path_drift", f"""
+SELECT * FROM (
+ SELECT '{NOTICE_AT}.bogus' AS path, 'extra' AS issue, 'STRING' AS detail, count(*) FILTER (WHERE pos % 17 = 3) AS n FROM v_notices
+ UNION ALL SELECT 'properties.{domain.CORE_KEY}.{domain.EVENT_KEY}.scenario', 'type', 'STRING', count(*) FROM v_notices
+ UNION ALL SELECT 'properties.{domain.CORE_KEY}.{domain.TRANSLATION_KEY}[].simpleText', 'missing', NULL, 0
+ UNION ALL SELECT '{NOTICE_AT}.' || k, 'missing', NULL, 0 FROM (SELECT unnest(['affectedFIR', 'traffic', 'minimumFL', 'maximumFL', 'schedule', 'coordinates', 'radius', 'lowerLimit', 'upperLimit']) AS k) u) d""")
+def _(v: Views):
+    return pages.path_drift(pages.schema_paths(pages.page_items(_pages(v))))
+
+
 # ---------------------------------------------------------------- airport files
 
 LINE_SQL = """CAST(pos AS VARCHAR) || ',"' || name || CASE WHEN pos % 13 = 0 THEN ', Intl' ELSE '' END || '","City","' || country || '",' ||
@@ -373,6 +402,27 @@ def _(v: Views):
     return labels_by_bucket.read()
 
 
+@query("labelled_set", f"""
+WITH merged AS (SELECT * FROM v_route_notices QUALIFY row_number() OVER (PARTITION BY id ORDER BY route_no, pos) = 1),
+ held AS (SELECT notice_id, criticality, score, reason FROM v_labels WHERE reason NOT LIKE 'LABELING_FAILED%' AND CAST(substr(notice_id, 9) AS BIGINT) % 3 <> 0),
+ fresh AS ({FIRST_SQL}),
+ known AS (SELECT * FROM held UNION ALL SELECT notice_id, criticality, score, reason FROM fresh WHERE notice_id NOT IN (SELECT notice_id FROM held))
+SELECT m.id, m.route, m.departure, m.destination, m.icao_location, m.classification, m.selection_code, m.text, k.criticality, CAST(k.score AS INT) AS score, k.reason
+FROM merged m JOIN known k ON k.notice_id = m.id""")
+def _(v: Views):
+    # the whole job: three routes, a store that holds two thirds of the labels, a service that answers for the rest
+    rows = v.route_notices()
+    routes = [rows.where(F.col("route") == name).drop("route_no") for _, name, _, _ in domain.ROUTES]
+    held = v.labels().where(~F.col("reason").startswith(domain.FAILED_PREFIX) & (F.substring("notice_id", 9, 20).cast("long") % 3 != 0))
+    replies = v.replies()
+
+    def ask(todo: DataFrame) -> DataFrame:
+        return replies.join(todo.select(F.col("id").alias("notice_id")), "notice_id", "left_semi")
+
+    labeled, _store = workflows.build_labeled(routes, held, ask, ["pos"])
+    return labeled.withColumn("score", F.col("score").cast("int"))
+
+
 # ---------------------------------------------------------------- briefs
 
 PCT1 = "printf('%4.1f', round_even({n} * 100.0::DOUBLE / total, 1))"

@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from noticewing.plans.selection import quantiles
+
 #: width of a bucket of integer positions: at most this many rows share one (group, bucket)
 POSITION_WIDTH = 1 << 20
-#: buckets a hash or a value range is cut into
-BUCKETS = 1 << 16
 
 
 def position_bucket(pos: Column) -> Column:
@@ -48,66 +48,8 @@ def grouped_position(
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float]) -> DataFrame:
-    """One row per probability with the linearly interpolated quantile of a numeric column.
-
-    Equal values are counted first, so repeats cost nothing. A coarse sketch only chooses where to
-    cut the value range; counts of the cuts say which of them hold the wanted ranks, and only those
-    are sorted. The result is exact whatever the sketch says. Nulls are left out.
-    """
-    margin = 0.005
-    wanted = sorted({min(max(p + d, 0.0), 1.0) for p in probs for d in (-margin, margin)})
-    base = df.select(F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
-    shape = base.agg(
-        F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"),
-        F.percentile_approx("v", wanted, 2000).alias("cuts"),
-    )
-    at = {p: i for i, p in enumerate(wanted)}
-    frames = []
-    for p in probs:
-        low, high = at[min(max(p - margin, 0.0), 1.0)], at[min(max(p + margin, 0.0), 1.0)]
-        rank = (F.col("n") - 1) * F.lit(float(p))
-        frames.append(
-            F.struct(
-                F.lit(float(p)).alias("prob"),
-                F.col("cuts")[low].alias("from"),
-                F.col("cuts")[high].alias("to"),
-                (F.floor(rank) + 1).alias("r_low"),
-                (F.ceil(rank) + 1).alias("r_high"),
-                (rank - F.floor(rank)).alias("frac"),
-            )
-        )
-    targets = shape.where("n > 0").select(F.array(*frames)).scalar()
-
-    counted = base.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-    placed = counted.withColumn("t", F.explode(targets)).select("v", "c", "t.*")
-    bucket = (
-        F.when(F.col("v") < F.col("from"), -1)
-        .when(F.col("v") >= F.col("to"), BUCKETS)
-        .otherwise(F.floor((F.col("v") - F.col("from")) / (F.col("to") - F.col("from")) * BUCKETS))
-        .cast("int")
-    )
-    placed = placed.withColumn("b", bucket)
-    running = W.partitionBy("prob").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
-    cells = (
-        placed.groupBy("prob", "b", "r_low", "r_high").agg(F.sum("c").alias("c"))
-        .withColumn("before", F.coalesce(F.sum("c").over(running), F.lit(0)))
-        .where((F.col("before") < F.col("r_high")) & (F.col("before") + F.col("c") >= F.col("r_low")))
-        .select("prob", "b", "before")
-    )
-    inside = W.partitionBy("prob", "b").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
-    ranked = (
-        placed.join(F.broadcast(cells), ["prob", "b"])
-        .withColumn("upto", F.col("before") + F.sum("c").over(inside))
-        .withColumn("after", F.col("upto") - F.col("c"))
-    )
-
-    def pick(rank: str) -> Column:
-        return F.max(F.when((F.col("after") < F.col(rank)) & (F.col("upto") >= F.col(rank)), F.col("v")))
-
-    return (
-        ranked.groupBy("prob", "frac").agg(pick("r_low").alias("low"), pick("r_high").alias("high"))
-        .select("prob", (F.col("low") + F.col("frac") * (F.col("high") - F.col("low"))).alias("quantile"))
-    )
+    """One row per probability with the linearly interpolated quantile of a numeric column; nulls are left out."""
+    return quantiles(df, value, probs)
 
 
 def keep_first(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
@@ -135,31 +77,5 @@ def value_counts(df: DataFrame, *cols: str, name: str = "n") -> DataFrame:
 
 
 def exact_quantiles_by(df: DataFrame, value: str, probs: Sequence[float], by: str) -> DataFrame:
-    """(`by`, prob, quantile) for every value of `by`, null included, in one plan.
-
-    Equal values of a group are counted first; counts of slices of the value range say which slice
-    holds a wanted rank, and only rows of such slices are ordered, each slice of a group by itself.
-    """
-    base = df.select(F.col(by).alias("_by"), F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
-    counted = base.groupBy("_by", "v").agg(F.count(F.lit(1)).alias("c"))
-    # Slices hold about equally many of all values, so that a far value does not fill one slice.
-    cuts = base.agg(F.percentile_approx("v", [i / 512 for i in range(1, 512)], 5000)).scalar()
-    sliced = counted.withColumn("_cuts", cuts).withColumn("b", F.size(F.filter("_cuts", lambda x: x <= F.col("v")))).drop("_cuts")
-    running = W.partitionBy("_by").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
-    cells = sliced.groupBy("_by", "b").agg(F.sum("c").alias("k")).select(
-        F.col("_by").alias("_g"), F.col("b").alias("_b"), "k",
-        F.coalesce(F.sum("k").over(running), F.lit(0)).alias("before"), F.sum("k").over(W.partitionBy("_by")).alias("n"))
-    asked = cells.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs]))).withColumn("rank", (F.col("n") - 1) * F.col("prob"))
-    asked = asked.withColumns({"r_low": F.floor("rank") + 1, "r_high": F.ceil("rank") + 1, "frac": F.col("rank") - F.floor("rank")})
-    asked = asked.where((F.col("before") < F.col("r_high")) & (F.col("before") + F.col("k") >= F.col("r_low")))
-    inside = W.partitionBy("_by", "b", "prob").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
-    ranked = (
-        sliced.join(asked, F.col("_by").eqNullSafe(F.col("_g")) & (F.col("b") == F.col("_b")))
-        .withColumn("upto", F.col("before") + F.sum("c").over(inside)).withColumn("after", F.col("upto") - F.col("c"))
-    )
-
-    def pick(rank: str) -> Column:
-        return F.max(F.when((F.col("after") < F.col(rank)) & (F.col("upto") >= F.col(rank)), F.col("v")))
-
-    return ranked.groupBy("_by", "prob", "frac").agg(pick("r_low").alias("low"), pick("r_high").alias("high")).select(
-        F.col("_by").alias(by), "prob", (F.col("low") + F.col("frac") * (F.col("high") - F.col("low"))).alias("quantile"))
+    """(`by`, prob, quantile) for every value of `by`, null included."""
+    return quantiles(df, value, probs, by)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from noticewing import domain
 from noticewing.functions import text as tx
+from noticewing.plans import storage
 
 CORE = f"$.properties.{domain.CORE_KEY}"
 NOTICE = f"{CORE}.{domain.NOTICE_KEY}"
@@ -256,6 +257,101 @@ def infer_schema(items: DataFrame) -> DataFrame:
     return items.agg(F.schema_of_variant_agg("item").alias("schema"))
 
 
+#: levels of nesting a pass over the items goes down; deeper values are taken as items of the next pass
+LEVELS = 8
+_NODE = "array<struct<path:string,value:variant>>"
+
+
+def _children(node: Column) -> Column:
+    """Members of an object or elements of an array with their paths; none for a plain value."""
+    path, value = node["path"], node["value"]
+    members = F.map_entries(F.try_variant_get(value, "$", "map<string,variant>"))
+    elements = F.try_variant_get(value, "$", "array<variant>")
+    dot = F.when(path == "", "").otherwise(F.concat(path, F.lit(".")))
+    return F.coalesce(
+        F.transform(members, lambda m: F.struct(F.concat(dot, m["key"]).alias("path"), m["value"].alias("value"))),
+        F.transform(elements, lambda e: F.struct(F.concat(path, F.lit("[]")).alias("path"), e.alias("value"))),
+        F.array().cast(_NODE),
+    )
+
+
+def _kind(value: Column) -> Column:
+    # Only plain values are described by schema_of_variant, which would write out all that lies below a container.
+    return (
+        F.when(F.try_variant_get(value, "$", "map<string,variant>").isNotNull(), "OBJECT")
+        .when(F.try_variant_get(value, "$", "array<variant>").isNotNull(), "ARRAY")
+        .otherwise(F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0))
+    )
+
+
+def schema_paths(items: DataFrame, item: str = "item") -> DataFrame:
+    """The schema that the items have, to any depth: (path, kind, n), one row per path and kind of value.
+
+    `item` is a variant. Members are `a.b`, elements of an array `a[]`; the item itself has the empty path.
+    kind is OBJECT, ARRAY, VOID (a JSON null) or Spark's name of the plain type without its digits; n counts
+    values. One pass goes LEVELS down inside the rows and only counts leave the tasks; a further pass is made
+    for what lies deeper, if there is any. Null items count as nothing; keys with a dot are not told apart
+    from nesting.
+    """
+    nodes = items.select(F.struct(F.lit("").alias("path"), F.col(f"`{item}`").alias("value")).alias("node")).where("node.value IS NOT NULL")
+    found: DataFrame | None = None
+    while True:
+        levels = nodes.select(F.array("node").cast(_NODE).alias("l0"))
+        for k in range(LEVELS):
+            levels = levels.withColumn(f"l{k + 1}", F.flatten(F.transform(f"l{k}", _children)))
+        # The deepest level is counted as the items of the next pass.
+        every = F.concat(*[F.transform(f"l{k}", lambda x, k=k: F.struct(x["path"].alias("path"), _kind(x["value"]).alias("kind"))) for k in range(LEVELS)])
+        below = F.size(f"l{LEVELS}").cast("long")
+        counts = storage.written(
+            levels.select(F.explode(every).alias("e"), F.when(F.size("l0") > 0, below).alias("below"))
+            .groupBy("e.path", "e.kind").agg(F.count(F.lit(1)).alias("n"), F.max("below").alias("below"))
+        )
+        part = counts.select("path", "kind", "n")
+        found = part if found is None else found.unionByName(part)
+        if not counts.agg(F.max("below") > 0).first()[0]:
+            return found.groupBy("path", "kind").agg(F.sum("n").alias("n"))
+        nodes = levels.select(F.explode(f"l{LEVELS}").alias("node"))
+
+
+#: declared kinds by path; a path that ends in `.*` allows anything below it
+DECLARED = {
+    "": "OBJECT", "type": "STRING", "geometry": "OBJECT", "geometry.*": "", "properties": "OBJECT",
+    f"properties.{domain.CORE_KEY}": "OBJECT",
+    f"properties.{domain.CORE_KEY}.{domain.EVENT_KEY}": "OBJECT",
+    f"properties.{domain.CORE_KEY}.{domain.EVENT_KEY}.scenario": "BIGINT",
+    f"properties.{domain.CORE_KEY}.{domain.NOTICE_KEY}": "OBJECT",
+    **{f"properties.{domain.CORE_KEY}.{domain.NOTICE_KEY}.{k}": "STRING" for k in domain.NOTICE_FIELDS},
+    f"properties.{domain.CORE_KEY}.{domain.TRANSLATION_KEY}": "ARRAY",
+    f"properties.{domain.CORE_KEY}.{domain.TRANSLATION_KEY}[]": "OBJECT",
+    **{f"properties.{domain.CORE_KEY}.{domain.TRANSLATION_KEY}[].{k}": "STRING" for k in ("type", *domain.TRANSLATIONS.values())},
+}
+
+
+def path_drift(paths: DataFrame, declared: dict[str, str] = DECLARED) -> DataFrame:
+    """`schema_paths` held against declared kinds: (path, issue, detail, n).
+
+    issue is extra (an undeclared path, detail its kind; paths below it are not listed again), type (another
+    kind than declared; JSON nulls are of any kind) or missing (a declared path with no value, n = 0).
+    """
+    spark = paths.sparkSession
+    exact = {p: k for p, k in declared.items() if not p.endswith(".*")}
+    open_ = [p.removesuffix(".*") for p in declared if p.endswith(".*")]
+    known = spark.createDataFrame(list(exact.items()), "path string, want string")
+    free = F.lit(False)
+    for p in open_:
+        free |= F.startswith("path", F.lit(f"{p}.")) | F.startswith("path", F.lit(f"{p}[]"))
+    held = paths.join(known, "path", "left").where(~(F.col("want").isNull() & free))
+    # What holds a path: it without its last member or element.
+    parent = F.when(F.endswith("path", F.lit("[]")), F.regexp_replace("path", r"\[\]$", "")).otherwise(F.regexp_replace("path", r"(^|\.)[^.]*$", ""))
+    above = known.select(F.col("path").alias("parent"))
+    extra = held.where("want IS NULL").withColumn("parent", parent).join(above, "parent", "left_semi").select(
+        "path", F.lit("extra").alias("issue"), F.col("kind").alias("detail"), "n")
+    kinds = held.where((F.col("kind") != F.col("want")) & (F.col("kind") != "VOID")).select("path", F.lit("type").alias("issue"), F.col("kind").alias("detail"), "n")
+    missing = known.join(paths, "path", "left_anti").select(
+        "path", F.lit("missing").alias("issue"), F.lit(None).cast("string").alias("detail"), F.lit(0).cast("long").alias("n"))
+    return extra.unionByName(kinds).unionByName(missing)
+
+
 def schema_drift(items: DataFrame) -> DataFrame:
     """Differences between the items seen and the declared schema: (path, issue, detail, n).
 
