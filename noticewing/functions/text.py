@@ -98,7 +98,8 @@ def fold_accents(c: Column) -> Column:
         base = "".join(ch for ch in base if not unicodedata.combining(ch))
         if len(base) == 1 and base != chr(code):
             plain[chr(code)] = base
-    return F.translate(c, "".join(plain), "".join(plain.values()))
+    # plain ASCII has as many bytes as letters and nothing to replace
+    return F.when(F.octet_length(c) == F.char_length(c), c).otherwise(F.translate(c, "".join(plain), "".join(plain.values())))
 
 
 def unigrams(c: Column) -> Column:
@@ -106,12 +107,6 @@ def unigrams(c: Column) -> Column:
     return F.regexp_extract_all(fold_accents(F.lower(c)), F.lit(_TERM), F.lit(0))
 
 
-def bigrams(uni: Column) -> Column:
-    """Neighbouring tokens joined by one space."""
-    n = F.greatest(F.size(uni) - 1, F.lit(0))
-    return F.zip_with(F.slice(uni, F.lit(1), n), F.slice(uni, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
-
-
 def fill(template: str, **values: Column | str) -> Column:
     """The template with its {names} replaced by columns or constants."""
     parts: list[Column] = []

@@ -85,9 +85,12 @@ def fit_lr(
     c: float = 1.0, max_iter: int = 1000, tol: float = 1e-4,
 ) -> LinearModel:
     """Balanced multinomial logistic regression with L2 penalty 1/(C n) on TF-IDF vectors (`linear.solve`)."""
-    vocab = vocab or tfidf.TfidfModel.fit(df, text)
-    rows = linear.numbered(df.select(label, text), label).select("y", F.lit(0).alias("fold"), text)
-    table = storage.written(linear.encoded(rows, [r[0] for r in vocab.rows], text))
+    words = df.select(label, tfidf.words_of(F.col(text)).alias(tfidf.WORDS))
+    if vocab is None:
+        words = storage.written(words)
+        vocab = tfidf.TfidfModel.of(tfidf.vocabulary_of(words))
+    rows = linear.numbered(words, label).select("y", F.lit(0).alias("fold"), tfidf.WORDS)
+    table = storage.written(linear.encoded(rows, [r[0] for r in vocab.rows], tfidf.WORDS))
     counts = {r["y"]: r["count"] for r in table.groupBy("y").count().collect()}
     weight, n = linear.class_weights(counts)
     problem = linear.Problem(np.arange(len(vocab.rows)), np.array([float(r[4]) for r in vocab.rows]), weight, n)

@@ -21,6 +21,9 @@ LEVELS = domain.LEVELS
 FAN_IN = 16
 #: corrections L-BFGS remembers
 MEMORY = 10
+#: known terms of rows in a block
+BLOCK = 1 << 14
+_PACKED = ("y", "fold", "size", "terms", "edge", "term", "tf", "row_by_term", "tf_by_term", "length")
 
 
 @dataclass
@@ -40,25 +43,11 @@ class Problem:
 
 
 def encoded(df: DataFrame, terms: list[str], text: str = "text") -> DataFrame:
-    """`df` with `terms` (places of its known terms in the list) and `tf` instead of the text; no shuffle."""
-    shared = df.sparkSession.sparkContext.broadcast(terms)
-
-    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known = pa.array(shared.value, type=pa.string())
-        for column in parts:
-            column = column.fill_null([]) if column.null_count else column
-            size = np.diff(column.offsets.to_numpy())
-            flat = column.flatten()
-            place = pc.index_in(flat.field("term"), value_set=known)
-            hit = place.is_valid().to_numpy(zero_copy_only=False)
-            kept = np.bincount(np.repeat(np.arange(len(column)), size)[hit], minlength=len(column))
-            offsets = pa.array(np.concatenate(([0], np.cumsum(kept))).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, v) for v in (place.drop_null().cast(pa.int32()), flat.field("tf").filter(pa.array(hit)).cast(pa.int32()))]
-            yield pa.StructArray.from_arrays(lists, names=["terms", "tf"])
-
+    """`df` with `terms` (places of its known terms in the list) and `tf` instead of the text (or its WORDS); no shuffle."""
     rest = [F.col(f"`{c}`") for c in df.columns if c != text]
-    counted = tfidf.term_counts(df.select(*rest, text), text, "_terms")
-    return counted.withColumn("_e", F.arrow_udf(run, "struct<terms:array<int>,tf:array<int>>")("_terms")).select(*rest, "_e.terms", "_e.tf")
+    words = F.col(text) if text == tfidf.WORDS else tfidf.words_of(F.col(text))
+    known = df.select(*rest, words.alias(tfidf.WORDS)).withColumn("_e", tfidf.placed(tfidf.WORDS, terms, df.sparkSession))
+    return known.select(*rest, "_e.terms", "_e.tf")
 
 
 class Block:
@@ -86,38 +75,108 @@ def _softmax(margins: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def _least(top: int) -> type:
+    """The narrowest unsigned type that holds numbers up to `top`."""
+    return np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32
+
+
+def _numbers(held: pa.BinaryScalar, n: int) -> np.ndarray:
+    """n packed numbers of the type their bytes tell."""
+    return np.frombuffer(held.as_buffer(), dtype=f"u{len(held.as_buffer()) // n}") if n else np.zeros(0, np.uint8)
+
+
+def packed(rows: DataFrame, problems: list[Problem], n_terms: int) -> DataFrame:
+    """Encoded rows in blocks of some BLOCK entries, one row a block and one binary column an array.
+
+    Besides the rows' own arrays a block holds its entries once more by term, and the length of
+    every row's TF-IDF vector in each problem, so that a pass neither sorts nor weighs.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(problems)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf = [p.shared_idf(n_terms) for p in shared.value]
+        for batch in batches:
+            ends = batch.column("terms").offsets.to_numpy()
+            i = 0
+            while i < batch.num_rows:
+                j = max(int(np.searchsorted(ends, ends[i] + BLOCK, "right")) - 1, i + 1)
+                piece = batch.slice(i, j - i)
+                i = j
+                size = np.diff(piece.column("terms").offsets.to_numpy())
+                term, tf = (piece.column(c).flatten().to_numpy() for c in ("terms", "tf"))
+                row, log_tf = np.repeat(np.arange(len(size)), size), 1.0 + np.log(tf)
+                by = np.argsort(term, kind="stable")
+                length = np.stack([np.sqrt(np.bincount(row, weights=(log_tf * x[term]) ** 2, minlength=len(size))) for x in idf], axis=1)
+                edge = np.flatnonzero(np.diff(term[by], prepend=-1))
+                wide = (piece.column("y").to_numpy(), piece.column("fold").to_numpy(), size, term[by][edge], edge)
+                narrow = [x.astype(_least(top)) for x, top in ((term, n_terms), (tf, tf.max(initial=0)), (row[by], len(size)), (tf[by], tf.max(initial=0)))]
+                arrays = (*(np.ascontiguousarray(x, dtype=np.int32) for x in wide), *narrow, length)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in arrays], names=_PACKED)
+
+    return rows.select("y", "fold", "terms", "tf").mapInArrow(run, ", ".join(f"{c} binary" for c in _PACKED))
+
+
 def gradients(rows: DataFrame, problems: list[Problem], n_terms: int, points: dict[int, np.ndarray]) -> dict[int, tuple[float, np.ndarray]]:
     """Weighted mean loss and its gradient of every problem in `points` at its point, in one pass over encoded rows.
 
-    A point holds the coefficients (levels x terms of the problem) and then the intercepts. Tasks send
-    one row for each problem; with many tasks, groups of them are added up first.
+    A point holds the coefficients (levels x terms of the problem) and then the intercepts.
+    """
+    return _pass(packed(rows, problems, n_terms), rows.rdd.getNumPartitions(), problems, n_terms, points)
+
+
+def _pass(blocks: DataFrame, n_tasks: int, problems: list[Problem], n_terms: int, points: dict[int, np.ndarray]) -> dict[int, tuple[float, np.ndarray]]:
+    """`gradients` over packed blocks, all problems side by side.
+
+    Tasks send one row for each problem; with many tasks, groups of them are added up first.
     """
     k = len(LEVELS)
-    shared = rows.sparkSession.sparkContext.broadcast((problems, points))
+    shared = blocks.sparkSession.sparkContext.broadcast((problems, points))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         problems, points = shared.value
-        wide = {}
-        for j, x in points.items():
-            b = np.zeros((k, n_terms))
-            b[:, problems[j].place] = x[:-k].reshape(k, -1)
-            wide[j] = b
-        idf = {j: problems[j].shared_idf(n_terms) for j in points}
-        loss, slope, bias = {j: 0.0 for j in points}, {j: np.zeros((k, n_terms)) for j in points}, {j: np.zeros(k) for j in points}
+        asked = list(points)
+        # idf is a part of the coefficients here: one column for each problem and level
+        wide, idf = np.zeros((n_terms, len(asked), k)), np.zeros((n_terms, len(asked)))
+        for c, j in enumerate(asked):
+            idf[:, c] = problems[j].shared_idf(n_terms)
+            wide[problems[j].place, c] = points[j][:-k].reshape(k, -1).T
+        wide = (wide * idf[:, :, None]).reshape(n_terms, -1)
+        intercept = np.stack([points[j][-k:] for j in asked])
+        level_weight = np.stack([problems[j].weight for j in asked])
+        left_out = np.array([problems[j].left_out for j in asked])
+        table, buffer = 1.0 + np.log(np.arange(1, 1 << 16)), np.empty((BLOCK, wide.shape[1]))
+        log_of = lambda tf: table[tf - np.uint8(1)] if tf.itemsize < 4 else 1.0 + np.log(tf)
+        loss, bias, slope = np.zeros(len(asked)), np.zeros((len(asked), k)), np.zeros_like(wide)
         for batch in batches:
-            block = Block(batch)
-            y, fold = batch.column("y").to_numpy(), batch.column("fold").to_numpy()
-            for j, x in points.items():
-                own = np.where(fold == problems[j].left_out, 0.0, problems[j].weight[y])
-                w = block.weights(idf[j])
-                p = _softmax(block.margins(w, wide[j], x[-k:]))
-                loss[j] -= float((own * np.log(np.maximum(p[np.arange(block.n), y], 1e-300))).sum())
-                p[np.arange(block.n), y] -= 1.0
-                p *= own[:, None]
-                bias[j] += p.sum(axis=0)
-                for level in range(k):
-                    slope[j][level] += np.bincount(block.term, weights=w * p[block.row, level], minlength=n_terms)
-        out = [(j, loss[j], np.concatenate((slope[j][:, problems[j].place].ravel(), bias[j])).tobytes()) for j in points]
+            for held in zip(*(batch.column(c) for c in _PACKED)):
+                y, fold, size, terms, edge = (np.frombuffer(x.as_buffer(), dtype=np.int32) for x in held[:5])
+                n, entries = len(y), int(size.sum())
+                term, tf, row_by, tf_by = (_numbers(x, entries) for x in held[5:9])
+                length = np.frombuffer(held[9].as_buffer()).reshape(n, -1)[:, asked]
+                length = np.where(length > 0, length, 1.0)[:, :, None]
+                part = buffer[:entries] if entries <= len(buffer) else np.empty((entries, buffer.shape[1]))
+                margins = np.zeros((n, len(asked) * k))
+                some = np.flatnonzero(size)
+                if len(some):
+                    wide.take(term, axis=0, out=part, mode="clip")
+                    part *= log_of(tf)[:, None]
+                    margins[some] = np.add.reduceat(part, (np.cumsum(size) - size)[some], axis=0)
+                p = margins.reshape(n, -1, k) / length + intercept
+                p -= p.max(axis=2, keepdims=True)
+                np.exp(p, out=p)
+                p /= p.sum(axis=2, keepdims=True)
+                own = np.where(fold[:, None] == left_out, 0.0, level_weight[:, y].T)
+                at = np.arange(n)
+                loss -= (own * np.log(np.maximum(p[at, :, y], 1e-300))).sum(axis=0)
+                p[at, :, y] -= 1.0
+                p *= own[:, :, None]
+                bias += p.sum(axis=0)
+                if len(some):
+                    (p / length).reshape(n, -1).take(row_by, axis=0, out=part, mode="clip")
+                    part *= log_of(tf_by)[:, None]
+                    slope[terms] += np.add.reduceat(part, edge, axis=0)
+        slope = slope.reshape(n_terms, -1, k) * idf[:, :, None]
+        out = [(j, loss[c], np.concatenate((slope[problems[j].place, c].T.ravel(), bias[c])).tobytes()) for c, j in enumerate(asked)]
         yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], type=t) for i, t in enumerate((pa.int32(), pa.float64(), pa.binary()))], names=["j", "loss", "slope"])
 
     def add(part: pa.Table) -> pa.Table:
@@ -125,8 +184,8 @@ def gradients(rows: DataFrame, problems: list[Problem], n_terms: int, points: di
         return pa.table({"j": pa.array([part.column("j")[0].as_py()], pa.int32()), "loss": [pc.sum(part.column("loss")).as_py()], "slope": pa.array([total.tobytes()], pa.binary())})
 
     kind = "j int, loss double, slope binary"
-    found = rows.mapInArrow(run, kind)
-    if rows.rdd.getNumPartitions() > FAN_IN:
+    found = blocks.mapInArrow(run, kind)
+    if n_tasks > FAN_IN:
         found = found.groupBy("j", (F.spark_partition_id() / FAN_IN).cast("int").alias("_g")).applyInArrow(add, kind)
     sums: dict[int, list] = {}
     for r in found.toArrow().to_pylist():
@@ -184,11 +243,13 @@ def solve(rows: DataFrame, problems: list[Problem], n_terms: int, c: float = 1.0
     The mean weighted loss plus |coefficients|^2 / (2 c rows) falls until its gradient is within `tol`.
     """
     k = len(LEVELS)
+    blocks = storage.written(packed(rows, problems, n_terms))
+    n_tasks = blocks.rdd.getNumPartitions()
     runs = [lbfgs(np.zeros(k * (len(p.place) + 1)), max_iter, tol) for p in problems]
     points = {j: next(r) for j, r in enumerate(runs)}
     done: dict[int, np.ndarray] = {}
     while points:
-        found = gradients(rows, problems, n_terms, points)
+        found = _pass(blocks, n_tasks, problems, n_terms, points)
         for j, x in list(points.items()):
             value, slope = found[j]
             penalty = 1.0 / (c * problems[j].rows)
@@ -224,21 +285,19 @@ def numbered(df: DataFrame, label: str) -> DataFrame:
 def fold_vocabularies(df: DataFrame, folds: int, text: str = "text", max_terms: int = tfidf.MAX_TERMS, min_df: int = tfidf.MIN_DF) -> list[list[tuple]]:
     """For each fold the vocabulary (term, idf) of the rows outside it, from one count per (term, fold).
 
-    `df` has a column `fold`. Counts of a term stand side by side in one row; what a vocabulary lacks
-    is taken off the sums, so texts are read once for all of them.
+    `df` has a column `fold`. Counts of a term stand side by side in one row, so texts (or WORDS) are read
+    once for all of them.
     """
-    spread = tfidf.term_counts(df.select("fold", text), text).select("fold", F.explode_outer("terms").alias("t")).where("t IS NOT NULL")
-    inside = lambda f: F.col("fold") == f
-    counts = storage.written(spread.groupBy(F.col("t.term").alias("term")).agg(
-        *[F.count_if(~inside(f)).alias(f"df{f}") for f in range(folds)],
-        *[F.sum(F.when(inside(f), 0).otherwise(F.col("t.tf"))).alias(f"total{f}") for f in range(folds)]))
-    sizes = {r["fold"]: r["count"] for r in df.groupBy("fold").count().collect()}
+    rows = df.select("fold", text) if text == tfidf.WORDS else storage.written(df.select("fold", tfidf.words_of(F.col(text)).alias(tfidf.WORDS)))
+    outside = {f"{f}": F.col("part") != f for f in range(folds)}
+    counts = storage.written(tfidf.counted_terms(rows, max_terms, min_df, outside, "fold"))
+    sizes = {r["fold"]: r["count"] for r in rows.groupBy("fold").count().collect()}
     out = []
     for f in range(folds):
         n = sum(c for g, c in sizes.items() if g != f)
         top = counts.where(F.col(f"df{f}") >= min_df).orderBy(F.desc(f"total{f}"), "term").limit(max_terms)
-        rows = top.select("term", (F.ln((n + 1) / (F.col(f"df{f}") + 1)) + 1).alias("idf")).orderBy("term").collect()
-        out.append([(r["term"], r["idf"]) for r in rows])
+        found = top.select("term", (F.ln((n + 1) / (F.col(f"df{f}") + 1)) + 1).alias("idf")).orderBy("term").collect()
+        out.append([(r["term"], r["idf"]) for r in found])
     return out
 
 
@@ -248,11 +307,12 @@ def cross_predict(df: DataFrame, folds: int, key: str = "id", text: str = "text"
     Vocabularies, class weights and coefficients of a fold's model come from the other folds alone. All
     models share one reading of the texts and one gradient pass per step.
     """
-    rows = numbered(df.select(key, "fold", label, text), label)
-    vocabularies = fold_vocabularies(rows, folds, text)
+    words = df.select(key, "fold", label, tfidf.words_of(F.col(text)).alias(tfidf.WORDS))
+    rows = storage.written(numbered(words, label))
+    vocabularies = fold_vocabularies(rows, folds, tfidf.WORDS)
     terms = sorted({t for v in vocabularies for t, _ in v})
     place = {t: i for i, t in enumerate(terms)}
-    table = storage.written(encoded(rows, terms, text))
+    table = storage.written(encoded(rows, terms, tfidf.WORDS))
     counted = {(r["fold"], r["y"]): r["count"] for r in table.groupBy("fold", "y").count().collect()}
     problems = []
     for f, vocabulary in enumerate(vocabularies):
