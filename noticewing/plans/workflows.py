@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticewing import domain
-from noticewing.models import classify, embed, iforest, split, tfidf
+from noticewing.models import classify, embed, iforest, split
 from noticewing.operators import dedupe, filters, lookup, metrics, profile, ranking, spatial
 from noticewing.plans import storage
 from noticewing.sources import briefs, labels
@@ -62,11 +62,12 @@ def build_labeled(
 
 def train_all(labeled: DataFrame, encoder: embed.Encoder, key: str = "id", **forest) -> tuple[Models, DataFrame]:
     """(models, metrics of both classifiers on the same held-out rows)."""
-    usable = filters.trainable(labeled)
-    parts = split.stratified_split(usable.select(key, "text", "criticality"), key=key).persist()
+    # written first: the split goes through its rows several times, and `labeled` is a plan of joins
+    usable = storage.written(filters.trainable(labeled).select(key, "text", "criticality"))
+    parts = split.stratified_split(usable, key=key).persist()
     try:
         train, test = parts.where(~F.col("is_test")), parts.where(F.col("is_test"))
-        linear = classify.fit_lr(train, tfidf.TfidfModel.fit(train), key)
+        linear = classify.fit_lr(train, key=key)
         vectors = encoder(parts).persist()
         try:
             rf = classify.fit_rf(vectors.where(~F.col("is_test")), key=key, **forest)

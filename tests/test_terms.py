@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from noticewing.models import classify, linear, tfidf
+from noticewing.models import classify, embed, linear, tfidf
+from noticewing.plans import workflows
 
 
 def plain_vocabulary(texts, max_terms, min_df):
@@ -79,3 +80,17 @@ def test_blocks_of_any_size_give_the_same_gradient(spark, monkeypatch):
             slope += w * np.outer(q, x)
             bias += w * q
         assert found[j][0] == pytest.approx(loss / 50) and np.allclose(found[j][1], np.concatenate((slope.ravel(), bias)) / 50)
+
+
+def test_training_works_out_its_rows_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        read.add(1)
+        return text
+
+    levels = ["HIGH", "MEDIUM", "LOW", "INFO"]
+    rows = spark.createDataFrame([(f"n{i}", levels[i % 4], f"word{i % 4} and word{i % 3}", "auto") for i in range(40)], "id string, criticality string, text string, reason string")
+    workflows.train_all(rows.withColumn("text", counted.asNondeterministic()("text")), embed.hashing_encoder(8), trees=3)
+    assert read.value == 40
