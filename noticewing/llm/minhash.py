@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -14,17 +15,22 @@ from pyspark.sql import types as T
 from noticewing.llm.common import batches_of, lists, mixed, text_bytes, word_hashes, word_spans, written
 from noticewing.llm.graph import components
 from noticewing.llm.lines import doc_keys
+from noticewing.llm.repeats import _by_shard, _each_shard, _packed, _sql, _unpacked
+from noticewing.llm.substrings import _table
 
 #: words of a shingle
 SHINGLE = 5
 #: bands and samples in each: a pair of similarity 0.8 shares a band with probability 0.998
 BANDS, SAMPLES = 12, 4
-#: share of all documents from which on a shingle's frequency lowers its weight
+#: share of all documents that a shingle of weight 1 is in
 COMMON = 0.01
-#: how far: a shingle in all documents weighs 1 / (1 + DAMPING) of a rare one
+#: how far frequency matters: a shingle in all documents weighs 1 / (1 + DAMPING) of that
 DAMPING = 0.25
-#: bytes of text whose shingles are counted together
-CHUNK = 4 << 20
+#: bytes of text in one bucket of documents, and of those whose shingles are made together
+BUCKET_BYTES, _BLOCK = 4 << 20, 1 << 20
+#: bits of a shingle that a bucket sends to its shard
+KEY_BITS = 40
+_KEY = np.uint64((1 << KEY_BITS) - 1)
 _TABLE = 1 << 12
 
 
@@ -58,66 +64,76 @@ def _shingles(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return owner[edge], found[edge], np.diff(np.append(edge, len(by)))
 
 
-def common_shingles(docs: DataFrame, share: float = COMMON) -> tuple[int, np.ndarray, np.ndarray]:
-    """Number of documents; sorted shingles of at least `share` of them with their exact document counts.
+@dataclass
+class Lookup:
+    """Distinct shingles of a bucket by shard, with how many of its rows have each."""
 
-    Two passes over all documents. In the first every chunk reports shingles in at least share / 2 of
-    its documents, which finds all that are wanted and at most 2 / share times the shingles of a mean
-    document; the second counts these everywhere. Only they reach the driver.
+    found: np.ndarray
+    n: np.ndarray
+    shard: np.ndarray
+
+    def blobs(self) -> list[tuple[int, int, int]]:
+        return _by_shard(self.shard)
+
+
+class Frequencies:
+    """In how many documents every shingle is: the steps for one number of shards, as functions of Arrow tables.
+
+    A bucket of documents asks the shards of its shingles, a shard adds up what all buckets have and
+    answers each. No shingle is left out, however rare. A shingle is told apart by its shard and KEY_BITS bits.
     """
 
-    def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, rows = text_bytes(batch.column("text"))
-            for i, j in batches_of(rows, CHUNK):
-                _, found, _ = _shingles(data[rows[i] : rows[j]], rows[i : j + 1] - rows[i])
-                found, n = np.unique(found, return_counts=True)
-                often = n >= max(1.0, share / 2 * (j - i))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.append(found[often].view(np.int64), 0)), pa.array(np.append(n[often], j - i)), pa.array(np.append(np.zeros(often.sum(), bool), True))],
-                    names=["shingle", "n", "total"])
-
-    reported = written(docs.select("text").mapInArrow(report, "shingle long, n long, total boolean").groupBy("total", "shingle").agg(F.sum("n").alias("n")))
-    n_docs = int(reported.where("total").agg(F.sum("n")).first()[0] or 0)
-    rows = reported.where(~F.col("total") & (F.col("n") >= F.lit(share / 2 * n_docs))).select("shingle").toArrow()
-    asked = docs.sparkSession.sparkContext.broadcast(np.sort(rows["shingle"].to_numpy().view(np.uint64)))
-    if not len(asked.value):
-        return n_docs, np.zeros(0, np.uint64), np.zeros(0, np.int64)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, total = asked.value, None
-        for batch in batches:
-            data, rows = text_bytes(batch.column("text"))
-            total = np.zeros(len(wanted), dtype=np.int64) if total is None else total
-            for i, j in batches_of(rows):
-                _, found, _ = _shingles(data[rows[i] : rows[j]], rows[i : j + 1] - rows[i])
-                at = np.minimum(np.searchsorted(wanted, found), len(wanted) - 1)
-                total += np.bincount(at[wanted[at] == found], minlength=len(wanted))
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(wanted.view(np.int64)), pa.array(total)], names=["shingle", "n"])
-
-    counted = docs.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    rows = counted.where(F.col("n") >= F.lit(share * n_docs)).toArrow()
-    shingle, n = rows["shingle"].to_numpy().view(np.uint64), rows["n"].to_numpy()
-    by = np.argsort(shingle)
-    return n_docs, shingle[by], n[by]
-
-
-class Weights:
-    """TF-IDF weight of a shingle: count * (1 + DAMPING * idf) / (1 + DAMPING), idf from 0 (everywhere) to 1."""
-
-    def __init__(self, n_docs: int, shingle: np.ndarray, n: np.ndarray, share: float = COMMON):
-        self.shingle = shingle
-        idf = np.log(max(n_docs, 1) / np.maximum(n, 1)) / np.log(1 / share)
-        self.factor = (1 + DAMPING * np.clip(idf, 0, 1)) / (1 + DAMPING)
-
-    def __call__(self, found: np.ndarray, count: np.ndarray) -> np.ndarray:
-        weight = count.astype(np.float64)
-        if len(self.shingle):
-            at = np.minimum(np.searchsorted(self.shingle, found), len(self.shingle) - 1)
-            hit = self.shingle[at] == found
-            weight[hit] *= self.factor[at[hit]]
-        return weight
+    ASKED = pa.schema([("bucket", pa.int32()), ("shard", pa.int32()), ("keys", pa.binary()), ("n", pa.binary())])
+    ANSWER = pa.schema([("bucket", pa.int32()), ("shard", pa.int32()), ("total", pa.binary())])
+
+    def __init__(self, n_shards: int):
+        self.n_shards = n_shards
+
+    @staticmethod
+    def blocks(docs: pa.Table) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Rows from i to j with their shingles, some rows at a time."""
+        data, rows = text_bytes(docs.column("text"))
+        for i, j in batches_of(rows, _BLOCK):
+            yield i, j, *_shingles(data[rows[i] : rows[j]], rows[i : j + 1] - rows[i])
+
+    def lookup(self, found: np.ndarray) -> Lookup:
+        found, n = np.unique(found, return_counts=True)
+        shard = ((found >> np.uint64(KEY_BITS)) % np.uint64(self.n_shards)).astype(np.int64)
+        by = np.lexsort((found & _KEY, shard))
+        return Lookup(found[by], n[by], shard[by])
+
+    def ask(self, docs: pa.Table) -> pa.Table:
+        k = self.lookup(np.concatenate([np.zeros(0, np.uint64), *[found for _, _, _, found, _ in self.blocks(docs)]]))
+        bucket, key = docs.column("bucket")[0].as_py(), (k.found & _KEY).view(np.int64)
+        return _table([(bucket, p, _packed(np.diff(key[a:b], prepend=0)), _packed(k.n[a:b])) for p, a, b in k.blobs()], self.ASKED)
+
+    def answer(self, rows: list[dict]) -> pa.Table:
+        """Documents of every shingle a bucket asked for; buckets whose shingles no other document has get no row."""
+        keys = [np.cumsum(_unpacked(r["keys"])) for r in rows]
+        at = np.cumsum([0, *map(len, keys)])
+        _, of = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(of, np.concatenate([_unpacked(r["n"]) for r in rows])).astype(np.int64)[of]
+        return _table([(r["bucket"], r["shard"], _packed(total[a:b])) for r, a, b in zip(rows, at, at[1:]) if total[a:b].max() > 1], self.ANSWER)
+
+    def totals(self, found: np.ndarray, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted shingles of a bucket and the documents of each."""
+        k = self.lookup(found)
+        n, edges = np.ones(len(k.found), dtype=np.int64), {p: (a, b) for p, a, b in k.blobs()}
+        for p, total in zip(answers.column("shard").to_pylist(), answers.column("total").to_pylist()):
+            a, b = edges[p]
+            n[a:b] = _unpacked(total)
+        by = np.argsort(k.found)
+        return k.found[by], n[by]
+
+
+def weights(count: np.ndarray, n: np.ndarray, n_docs: int) -> np.ndarray:
+    """TF-IDF weight of shingles in n documents each: count * (1 + DAMPING * idf) / (1 + DAMPING).
+
+    idf = ln(n_docs / n) / ln(1 / COMMON): 0 in all documents, 1 in a share of COMMON, and more the
+    rarer a shingle is, down to a single document.
+    """
+    idf = np.log(max(n_docs, 1) / np.maximum(n, 1)) / np.log(1 / COMMON)
+    return count * (1 + DAMPING * np.maximum(idf, 0)) / (1 + DAMPING)
 
 
 def _draws() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,48 +173,61 @@ def sketch(row: np.ndarray, found: np.ndarray, weight: np.ndarray, n_rows: int,
     return out
 
 
-_SKETCH = "_id long, _h long, _any boolean, _bands array<long>"
-_BLOCK = 1 << 20
-
-
-def _sketched(docs: DataFrame, weights: Weights) -> DataFrame:
-    """One row per document: its bands, hashed."""
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, rows = text_bytes(batch.column("text"))
-            for i, j in batches_of(rows, _BLOCK):
-                row, found, count = _shingles(data[rows[i] : rows[j]], rows[i : j + 1] - rows[i])
-                s = sketch(row, found, shared.value(found, count), j - i)
-                with np.errstate(over="ignore"):
-                    band = np.zeros((j - i, BANDS), dtype=np.uint64)
-                    for k in range(SAMPLES):
-                        band = mixed(band * np.uint64(0x9E3779B97F4A7C15) + s[:, k::SAMPLES])
-                    band = mixed(band + np.arange(BANDS, dtype=np.uint64))
-                some = np.bincount(row, minlength=j - i) > 0
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("_id").slice(i, j - i), batch.column("_h").slice(i, j - i), pa.array(some),
-                     lists(band.ravel().view(np.int64), np.full(j - i, BANDS), pa.int64())], names=["_id", "_h", "_any", "_bands"])
-
-    return docs.select("_id", "_h", "text").mapInArrow(run, _SKETCH)
-
-
-def _shingle_sets(docs: DataFrame, weights: Weights) -> DataFrame:
+_SKETCH = pa.schema([("_id", pa.int64()), ("_h", pa.int64()), ("_any", pa.bool_()), ("_bands", pa.list_(pa.int64())), ("_df", pa.binary())])
+
+
+def _sketched(docs: DataFrame, n_docs: int, size: int) -> DataFrame:
+    """One row per document: its bands, hashed, and the document frequencies of its shingles in their order, packed."""
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    steps = Frequencies(n)
+    bucketed = docs.withColumn("bucket", F.pmod(F.hash("_id", "_h"), F.lit(n)).cast("int"))
+    asked = bucketed.groupBy("bucket").applyInArrow(lambda part: steps.ask(part), _sql(steps.ASKED))
+    answers = asked.repartition("shard").sortWithinPartitions("shard").mapInArrow(_each_shard(steps.answer), _sql(steps.ANSWER))
+
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            return _SKETCH.empty_table()
+        ids, texts = docs.column("_id").to_numpy(), docs.column("_h").to_numpy()
+        by = np.lexsort((texts, ids))
+        new = np.append(True, (ids[by][1:] != ids[by][:-1]) | (texts[by][1:] != texts[by][:-1]))
+        found = np.concatenate([np.zeros(0, np.uint64), *[found for _, _, _, found, _ in steps.blocks(docs)]])
+        every, total = steps.totals(found, answers)
+        docs, out = docs.take(pa.array(by[new])), []  # rows repeated whole are in one bucket
+        for i, j, row, found, count in steps.blocks(docs):
+            df = total[np.searchsorted(every, found)]
+            s = sketch(row, found, weights(count, df, n_docs), j - i)
+            with np.errstate(over="ignore"):
+                band = np.zeros((j - i, BANDS), dtype=np.uint64)
+                for k in range(SAMPLES):
+                    band = mixed(band * np.uint64(0x9E3779B97F4A7C15) + s[:, k::SAMPLES])
+                band = mixed(band + np.arange(BANDS, dtype=np.uint64))
+            size = np.bincount(row, minlength=j - i)
+            edge = np.concatenate(([0], np.cumsum(size))).tolist()
+            part = docs.slice(i, j - i).combine_chunks()
+            out.append(pa.Table.from_arrays(
+                [part.column("_id"), part.column("_h"), pa.array(size > 0), lists(band.ravel().view(np.int64), np.full(j - i, BANDS), pa.int64()),
+                 pa.array([_packed(df[a:b]) for a, b in zip(edge, edge[1:])], type=pa.binary())], schema=_SKETCH))
+        return pa.concat_tables(out)
+
+    kind = "_id long, _h long, _any boolean, _bands array<long>, _df binary"
+    return bucketed.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(run, kind)
+
+
+def _shingle_sets(docs: DataFrame, n_docs: int) -> DataFrame:
     """`node` with its shingles, sorted, and their weights."""
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, rows = text_bytes(batch.column("text"))
             for i, j in batches_of(rows, _BLOCK):
                 row, found, count = _shingles(data[rows[i] : rows[j]], rows[i : j + 1] - rows[i])
+                df = np.concatenate([_unpacked(x) for x in batch.column("_df").slice(i, j - i).to_pylist()])
                 size = np.bincount(row, minlength=j - i)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("node").slice(i, j - i), lists(found.view(np.int64), size, pa.int64()),
-                     lists(shared.value(found, count).astype(np.float32), size, pa.float32())], names=["node", "s", "w"])
+                     lists(weights(count, df, n_docs).astype(np.float32), size, pa.float32())], names=["node", "s", "w"])
 
-    return docs.select("node", "text").mapInArrow(run, "node long, s array<long>, w array<float>")
+    return docs.select("node", "text", "_df").mapInArrow(run, "node long, s array<long>, w array<float>")
 
 
 _COMPARED = (
@@ -249,8 +278,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id"
     of a group of copies, are never listed.
     """
     slim = docs.select(*[c.alias(n) for n, c in doc_keys(docs, key, text).items()], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    weights = Weights(*common_shingles(slim))
-    sketched = written(_sketched(slim, weights).distinct())
+    n_docs, size = slim.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    sketched = written(_sketched(slim, n_docs, int(size or 0)))
     # Equal texts: one node, the hash of the text (64 bits), standing for all ids that have it.
     nodes = sketched.where("_any").groupBy(F.col("_h").alias("node")).agg(F.first("_bands").alias("_bands"))
     banded = nodes.select("node", F.posexplode("_bands").alias("b", "key")).select("node", "key")
@@ -262,7 +291,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id"
     centred = written(buckets.join(centre, "key").select("key", "node", "centre"))
 
     one_text = slim.select(F.col("_h").alias("node"), "text").join(degree.select("node"), "node", "left_semi").dropDuplicates(["node"])
-    sets = written(_shingle_sets(one_text, weights))
+    df = sketched.select(F.col("_h").alias("node"), "_df").join(degree.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    sets = written(_shingle_sets(one_text.join(df, "node"), n_docs))
 
     def compared(pairs: DataFrame) -> DataFrame:
         a = sets.select(F.col("node").alias("a"), F.col("s").alias("_sa"), F.col("w").alias("_wa"))
