@@ -315,9 +315,40 @@ class Removal:
         return s, gone > 0
 
 
+def _resembling(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Strings with a window whose hash another window has. Equal windows have equal hashes, so the windows of all others are in one string only."""
+    with np.errstate(over="ignore"):
+        hashes, step = _BYTES[data], 1
+        while 2 * step <= WINDOW:
+            hashes = hashes[:-step] * _power(step) + hashes[step:]
+            step *= 2
+        hashes = hashes[: len(data) - WINDOW + 1] * _power(WINDOW) + hashes[WINDOW - step :]  # two parts that overlap
+    windows = size - WINDOW + 1
+    hashes = hashes[ranges(begin, windows)]
+    by = np.argsort(hashes)
+    edge = _runs(hashes[by])
+    several = np.empty(len(by), dtype=bool)
+    several[by] = np.repeat(np.diff(np.append(edge, len(by))) > 1, np.diff(np.append(edge, len(by))))
+    return np.logical_or.reduceat(several, np.cumsum(windows) - windows)
+
+
 def first_documents(data: np.ndarray, size: np.ndarray, anchor: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The lowest document of every window of the strings that lie end to end in `data`, and each string's first window.
 
+    A string that has no window in common with any other is its windows' only one. Those that may have
+    one are sorted, and that decides.
+    """
+    begin, windows = np.cumsum(size) - size, size - WINDOW + 1
+    start = np.cumsum(windows) - windows
+    out, some = np.repeat(low, windows), np.flatnonzero(_resembling(data, begin, size))
+    if len(some):
+        out[ranges(start[some], windows[some])] = _sorted_firsts(data[ranges(begin[some], size[some])], size[some], anchor[some], low[some])
+    return out, start
+
+
+def _sorted_firsts(data: np.ndarray, size: np.ndarray, anchor: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """The lowest document of every window of strings that lie end to end.
+
     All suffixes are sorted; those that begin with equal windows are neighbours then. All windows of a
     string hold its anchor, so that is one symbol of the text whose suffixes are sorted.
     """
@@ -352,7 +383,7 @@ def first_documents(data: np.ndarray, size: np.ndarray, anchor: np.ndarray, low:
     start = np.cumsum(windows) - windows
     out = np.empty(int(windows.sum()), dtype=np.int64)
     out[start[of] + rest] = np.repeat(lowest, np.diff(np.append(edge, len(at))))
-    return out, start
+    return out
 
 
 def _each_shard(work):
