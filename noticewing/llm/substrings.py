@@ -72,9 +72,7 @@ def segments(text: pa.Array | pa.ChunkedArray) -> Segments:
         edge = np.flatnonzero(new)
         first = whole[edge]
         size = np.diff(np.append(edge, len(whole))) + WINDOW - 1
-        up, down = np.cumprod(np.full(n, _MULTIPLIER)), np.cumprod(np.full(n, _INVERSE))
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * up)))
-        sig = mixed((total[first + size] - total[first]) * down[first] + size.astype(np.uint64))
+        sig = _signatures(h, first, size)
     return Segments(data, starts, ends, first_word, row[first], first, size, best[first], sig)
 
 
@@ -144,21 +142,61 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     return pa.Table.from_arrays([pa.array([r[k] for r in rows], type=f.type) for k, f in enumerate(schema)], schema=schema)
 
 
+def _signatures(h: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hash of runs of words with hashes `h`."""
+    with np.errstate(over="ignore"):
+        up, down = np.cumprod(np.full(len(h), _MULTIPLIER)), np.cumprod(np.full(len(h), _INVERSE))
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * up)))
+        return mixed((total[first + size] - total[first]) * down[first] + size.astype(np.uint64))
+
+
+def _resembling(h: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Segments with a window whose hash another window has. Equal windows have equal hashes, so the windows of all others are in one segment only."""
+    windows = size - WINDOW + 1
+    at = ranges(first, windows)
+    hashes = _signatures(h, at, np.full(len(at), WINDOW))
+    by = np.argsort(hashes)
+    edge = np.flatnonzero(np.append(True, hashes[by][1:] != hashes[by][:-1]))
+    n = np.diff(np.append(edge, len(by)))
+    several = np.empty(len(by), dtype=bool)
+    several[by] = np.repeat(n > 1, n)
+    return np.logical_or.reduceat(several, np.cumsum(windows) - windows)
+
+
 def _first_documents(text: bytes, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Number of windows of every segment (a line of `text`), and the lowest document each window occurs in.
 
-    The segments of a shard are indexed; then all are searched backwards, and wherever WINDOW words or
-    more match, the interval's suffixes agree in the window that begins there.
+    Equal segments of several buckets are one, with their lowest document. One that has no window in
+    common with any other is its windows' only one; those that may have one are indexed and searched.
     """
     data = np.frombuffer(text, dtype=np.uint8)
-    feeds = np.flatnonzero(data == 0x0A)
-    rows = np.concatenate(([0], feeds + 1))
+    rows = np.concatenate(([0], np.flatnonzero(data == 0x0A) + 1))
     starts, ends, edge = word_spans(data, rows)
-    _, symbol = np.unique(word_hashes(data, starts, ends), return_inverse=True)
-    size = np.diff(edge)
+    h, size = word_hashes(data, starts, ends), np.diff(edge)
+    _, one, of = np.unique(_signatures(h, edge[:-1], size), return_index=True, return_inverse=True)
+    least = np.full(len(one), np.iinfo(np.int64).max)
+    np.minimum.at(least, of, low)
+    first, own = edge[one], size[one] - WINDOW + 1
+    found, start = np.repeat(least, own), np.cumsum(own) - own
+    some = np.flatnonzero(_resembling(h, first, size[one]))
+    if len(some):
+        n = size[one[some]]
+        found[ranges(start[some], own[some])] = _searched(h[ranges(first[some], n)], n, least[some])
+    windows = size - WINDOW + 1
+    return windows, found[ranges(start[of], windows)]
+
+
+def _searched(words: np.ndarray, size: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """The lowest document of every window of segments whose words lie end to end.
+
+    The segments are indexed; then all are searched backwards, and wherever WINDOW words or more match,
+    the interval's suffixes agree in the window that begins there.
+    """
+    _, symbol = np.unique(words, return_inverse=True)
+    edge = np.cumsum(size) - size
     n_symbols = int(symbol.max()) + 1
     body = np.zeros(len(symbol) + len(size), dtype=np.int64)
-    first = edge[:-1] + np.arange(len(size))  # a 0 follows each segment
+    first = edge + np.arange(len(size))  # a 0 follows each segment
     body[ranges(first, size)] = symbol + 1
     index = FmIndex(body, n_symbols, LONGEST + 1)
     owner = np.repeat(np.arange(len(size)), size + 1)
@@ -167,12 +205,12 @@ def _first_documents(text: bytes, low: np.ndarray) -> tuple[np.ndarray, np.ndarr
     group = index.groups(WINDOW)
     lowest = np.minimum.reduceat(least, np.flatnonzero(np.append(True, group[1:] != group[:-1])))
     windows = size - WINDOW + 1
-    start = np.concatenate(([0], np.cumsum(windows)[:-1]))
+    start = np.cumsum(windows) - windows
     out = np.full(int(windows.sum()), np.iinfo(np.int64).max, dtype=np.int64)
     for live, place, depth, at, _ in matched(index, body, first, size):
         if depth >= WINDOW:
             out[start[live] + place] = lowest[group[at]]
-    return windows, out
+    return out
 
 
 class Removal:
