@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +27,9 @@ COMMON = 0.01
 DAMPING = 0.25
 #: bytes of text in one bucket of documents, and of those whose shingles are made together
 BUCKET_BYTES, _BLOCK = 4 << 20, 1 << 20
-#: bits of a shingle that a bucket sends to its shard
-KEY_BITS = 40
-_KEY = np.uint64((1 << KEY_BITS) - 1)
+#: bits by which document frequencies tell shingles apart
+KEY_BITS = 48
+_CUT = np.uint64(64 - KEY_BITS)
 _TABLE = 1 << 12
 
 
@@ -64,23 +63,12 @@ def _shingles(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return owner[edge], found[edge], np.diff(np.append(edge, len(by)))
 
 
-@dataclass
-class Lookup:
-    """Distinct shingles of a bucket by shard, with how many of its rows have each."""
-
-    found: np.ndarray
-    n: np.ndarray
-    shard: np.ndarray
-
-    def blobs(self) -> list[tuple[int, int, int]]:
-        return _by_shard(self.shard)
-
-
 class Frequencies:
     """In how many documents every shingle is: the steps for one number of shards, as functions of Arrow tables.
 
     A bucket of documents asks the shards of its shingles, a shard adds up what all buckets have and
-    answers each. No shingle is left out, however rare. A shingle is told apart by its shard and KEY_BITS bits.
+    answers each. No shingle is left out, however rare. Shingles are told apart by their highest
+    KEY_BITS bits, and shards are ranges of them.
     """
 
     ASKED = pa.schema([("bucket", pa.int32()), ("shard", pa.int32()), ("keys", pa.binary()), ("n", pa.binary())])
@@ -90,22 +78,22 @@ class Frequencies:
         self.n_shards = n_shards
 
     @staticmethod
-    def blocks(docs: pa.Table) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    def blocks(docs: pa.Table) -> list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
         """Rows from i to j with their shingles, some rows at a time."""
         data, rows = text_bytes(docs.column("text"))
-        for i, j in batches_of(rows, _BLOCK):
-            yield i, j, *_shingles(data[rows[i] : rows[j]], rows[i : j + 1] - rows[i])
+        return [(i, j, *_shingles(data[rows[i] : rows[j]], rows[i : j + 1] - rows[i])) for i, j in batches_of(rows, _BLOCK)]
 
-    def lookup(self, found: np.ndarray) -> Lookup:
-        found, n = np.unique(found, return_counts=True)
-        shard = ((found >> np.uint64(KEY_BITS)) % np.uint64(self.n_shards)).astype(np.int64)
-        by = np.lexsort((found & _KEY, shard))
-        return Lookup(found[by], n[by], shard[by])
+    def lookup(self, blocks: list) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+        """Sorted keys of a bucket's shingles, in how many of its rows each is, and the shards they lie in."""
+        key, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *[b[3] for b in blocks]]) >> _CUT, return_counts=True)
+        shard = ((key >> np.uint64(KEY_BITS - 24)) * np.uint64(self.n_shards) >> np.uint64(24)).astype(np.int64)
+        return key, n, _by_shard(shard)
 
     def ask(self, docs: pa.Table) -> pa.Table:
-        k = self.lookup(np.concatenate([np.zeros(0, np.uint64), *[found for _, _, _, found, _ in self.blocks(docs)]]))
-        bucket, key = docs.column("bucket")[0].as_py(), (k.found & _KEY).view(np.int64)
-        return _table([(bucket, p, _packed(np.diff(key[a:b], prepend=0)), _packed(k.n[a:b])) for p, a, b in k.blobs()], self.ASKED)
+        key, n, shards = self.lookup(self.blocks(docs))
+        bucket, key = docs.column("bucket")[0].as_py(), key.view(np.int64)
+        low = lambda p: -(-(p << 24) // self.n_shards) << (KEY_BITS - 24)  # noqa: E731  the least key of a shard
+        return _table([(bucket, p, _packed(np.diff(key[a:b], prepend=low(p))), _packed(n[a:b])) for p, a, b in shards], self.ASKED)
 
     def answer(self, rows: list[dict]) -> pa.Table:
         """Documents of every shingle a bucket asked for; buckets whose shingles no other document has get no row."""
@@ -115,15 +103,14 @@ class Frequencies:
         total = np.bincount(of, np.concatenate([_unpacked(r["n"]) for r in rows])).astype(np.int64)[of]
         return _table([(r["bucket"], r["shard"], _packed(total[a:b])) for r, a, b in zip(rows, at, at[1:]) if total[a:b].max() > 1], self.ANSWER)
 
-    def totals(self, found: np.ndarray, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted shingles of a bucket and the documents of each."""
-        k = self.lookup(found)
-        n, edges = np.ones(len(k.found), dtype=np.int64), {p: (a, b) for p, a, b in k.blobs()}
+    def totals(self, blocks: list, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted keys of a bucket's shingles and the documents of each."""
+        key, _, shards = self.lookup(blocks)
+        n, edges = np.ones(len(key), dtype=np.int64), {p: (a, b) for p, a, b in shards}
         for p, total in zip(answers.column("shard").to_pylist(), answers.column("total").to_pylist()):
             a, b = edges[p]
             n[a:b] = _unpacked(total)
-        by = np.argsort(k.found)
-        return k.found[by], n[by]
+        return key, n
 
 
 def weights(count: np.ndarray, n: np.ndarray, n_docs: int) -> np.ndarray:
@@ -190,11 +177,10 @@ def _sketched(docs: DataFrame, n_docs: int, size: int) -> DataFrame:
         ids, texts = docs.column("_id").to_numpy(), docs.column("_h").to_numpy()
         by = np.lexsort((texts, ids))
         new = np.append(True, (ids[by][1:] != ids[by][:-1]) | (texts[by][1:] != texts[by][:-1]))
-        found = np.concatenate([np.zeros(0, np.uint64), *[found for _, _, _, found, _ in steps.blocks(docs)]])
-        every, total = steps.totals(found, answers)
-        docs, out = docs.take(pa.array(by[new])), []  # rows repeated whole are in one bucket
-        for i, j, row, found, count in steps.blocks(docs):
-            df = total[np.searchsorted(every, found)]
+        blocks, out = steps.blocks(docs), []
+        every, total = steps.totals(blocks, answers)
+        for i, j, row, found, count in blocks:
+            df = total[np.searchsorted(every, found >> _CUT)]
             s = sketch(row, found, weights(count, df, n_docs), j - i)
             with np.errstate(over="ignore"):
                 band = np.zeros((j - i, BANDS), dtype=np.uint64)
@@ -207,7 +193,7 @@ def _sketched(docs: DataFrame, n_docs: int, size: int) -> DataFrame:
             out.append(pa.Table.from_arrays(
                 [part.column("_id"), part.column("_h"), pa.array(size > 0), lists(band.ravel().view(np.int64), np.full(j - i, BANDS), pa.int64()),
                  pa.array([_packed(df[a:b]) for a, b in zip(edge, edge[1:])], type=pa.binary())], schema=_SKETCH))
-        return pa.concat_tables(out)
+        return pa.concat_tables(out).take(pa.array(np.sort(by[new])))  # rows repeated whole are in one bucket
 
     kind = "_id long, _h long, _any boolean, _bands array<long>, _df binary"
     return bucketed.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(run, kind)
@@ -297,7 +283,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id"
     def compared(pairs: DataFrame) -> DataFrame:
         a = sets.select(F.col("node").alias("a"), F.col("s").alias("_sa"), F.col("w").alias("_wa"))
         b = sets.select(F.col("node").alias("b"), F.col("s").alias("_sb"), F.col("w").alias("_wb"))
-        return pairs.join(b, "b").join(a, "a").select("a", "b", _similarity("_sa", "_wa", "_sb", "_wb").alias("_c")).select("a", "b", "_c.*")
+        # Written first, so that few pairs are sent to the sets and not the sets to them.
+        return written(pairs).join(b, "b").join(a, "a").select("a", "b", _similarity("_sa", "_wa", "_sb", "_wb").alias("_c")).select("a", "b", "_c.*")
 
     def parted(frame: DataFrame, parts: DataFrame, node: str, name: str) -> DataFrame:
         """`frame` with the part of a node: its component so far, or the node itself."""
