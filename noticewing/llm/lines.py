@@ -321,6 +321,35 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
     )
 
 
+def _compared_in_groups(members: DataFrame, firsts: DataFrame, gone: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
+    """Signatures, not gone yet, whose set has Jaccard similarity t or more with an earlier member's of a group.
+
+    A line goes for one such member however many there are, so members are semi-joined and no pair of
+    a group becomes a row: lines whom no earlier member fits by lengths, positions and bitmaps are
+    let go first, then members that fit none of the others, and what is left compares its sets.
+    """
+    tn, td = F.lit(t.numerator), F.lit(t.denominator)
+    known = firsts.select(F.col("_sig").alias("sig"), F.col("_first").alias("first"), F.col("_n").alias("size"), F.col("_b0").alias("b0"), F.col("_b1").alias("b1"))
+    placed = written(members.join(known, "sig").join(gone.select(F.col("_sig").alias("sig"), F.lit(True).alias("gone")), "sig", "left"))
+
+    def side(frame: DataFrame, which: str) -> DataFrame:
+        return frame.select("key", *[F.col(c).alias(f"{c}_{which}") for c in frame.columns if c != "key"])
+
+    n, m, i, j, size, other = (F.col(c).cast("long") for c in ("n_x", "n_y", "i_x", "i_y", "size_x", "size_y"))
+    lengths = F.least(n, m) * td >= F.greatest(n, m) * tn
+    places = (F.greatest("i_x", "i_y") >= 255) | ((F.least(n - i, m - j) + F.least(i, j)) * (tn + td) >= tn * (n + m))
+    apart = sum(F.bit_count(F.col(f"{c}_x").bitwiseXOR(F.col(f"{c}_y"))) for c in ("b0", "b1")).cast("long")
+    fair = (F.col("first_y") < F.col("first_x")) & ((F.greatest("n_x", "n_y") >= 65535) | (lengths & places)) & (apart * (tn + td) <= (td - tn) * (size + other))
+    open_, every = side(placed.where("gone is null").drop("gone"), "x"), side(placed.drop("gone"), "y")
+    some = written(open_.join(every, (open_["key"] == every["key"]) & fair, "left_semi"))
+    fits = every.join(some, (every["key"] == some["key"]) & fair, "left_semi")
+    later = written(some.join(sets.select(F.col("_sig").alias("sig_x"), F.col("_tokens").alias("tokens_x")), "sig_x"))
+    earlier = written(fits.join(sets.select(F.col("_sig").alias("sig_y"), F.col("_tokens").alias("tokens_y")), "sig_y"))
+    both = F.size(F.array_intersect("tokens_x", "tokens_y")).cast("long")
+    alike = both * (tn + td) >= tn * (F.size("tokens_x") + F.size("tokens_y")).cast("long")
+    return later.join(earlier, (later["key"] == earlier["key"]) & fair & alike, "left_semi").select(F.col("sig_x").alias("_sig"))
+
+
 def removed_lines(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Lines to remove: `_id`, `_h` (as `doc_keys` gives them) and `_line`, numbered from 0.
 
@@ -370,19 +399,8 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id",
     release(spark)
     gone = written(_verified(first_pairs, sets, t).select(F.col("later").alias("_sig")).distinct())
 
-    members = met.where("kind = 1").select("key", "sig", "n", "i", "other")
-    open_ = members.join(gone, members["sig"] == gone["_sig"], "left_anti").where(F.col("sig") != F.col("other"))
-    y = members.select("key", F.col("sig").alias("other"), F.col("n").alias("m"), F.col("i").alias("j"))
-    tn, td = F.lit(t.numerator), F.lit(t.denominator)
-    n, m, i, j = (F.col(c).cast("long") for c in ("n", "m", "i", "j"))
-    lengths = F.least(n, m) * td >= F.greatest(n, m) * tn
-    fits = lengths & ((F.least(n - i, m - j) + F.least(i, j)) * (tn + td) >= tn * (n + m))
-    rest = (
-        open_.drop("other").join(y, "key").where((F.col("sig") != F.col("other")) & (fits | (F.greatest("n", "m") >= 65535) | (lengths & (F.greatest("i", "j") >= 255))))
-        .select("sig", "other")
-    )
-    later = ordered(rest).join(gone, F.col("later") == gone["_sig"], "left_anti").select("later", "earlier")
-    gone_too = _verified(later, sets, t).select(F.col("later").alias("_sig"))
+    release(spark)
+    gone_too = _compared_in_groups(met.where("kind = 1").select("key", "sig", "n", "i"), firsts, gone, sets, t)
     removed = written(gone.unionByName(gone_too).distinct().withColumn("_gone", F.lit(True)))
     marked = firsts.join(removed, "_sig", "left")
     return (
