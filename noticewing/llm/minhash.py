@@ -27,6 +27,10 @@ COMMON = 0.01
 DAMPING = 0.25
 #: bytes of text in one bucket of documents, and of those whose shingles are made together
 BUCKET_BYTES, _BLOCK = 4 << 20, 1 << 20
+#: words of 64 bits in which a document's shingles leave their parity
+PARITY = 16
+#: shingles of pairs that are compared together
+COMPARED = 1 << 20
 #: bits by which document frequencies tell shingles apart
 KEY_BITS = 48
 _CUT = np.uint64(64 - KEY_BITS)
@@ -199,8 +203,22 @@ def _sketched(docs: DataFrame, n_docs: int, size: int) -> DataFrame:
     return bucketed.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(run, kind)
 
 
+def parities(row: np.ndarray, found: np.ndarray, n_rows: int) -> np.ndarray:
+    """PARITY words of each row: sets differ in at least as many shingles as these differ in bits."""
+    bits = 64 * PARITY
+    out = np.zeros((n_rows, PARITY), dtype=np.uint64)
+    bit = ((found >> np.uint64(8)) % np.uint64(bits)).astype(np.int64)
+    for i in range(0, n_rows, 1 << 10):  # some rows at a time: a count per row and bit
+        n = min(1 << 10, n_rows - i)
+        a, b = np.searchsorted(row, (i, i + n))
+        odd = np.bincount((row[a:b] - i) * bits + bit[a:b], minlength=n * bits).astype(np.uint8) & 1
+        out[i : i + n] = np.packbits(odd.reshape(n, bits), axis=1, bitorder="little").view(np.uint64)
+    return out
+
+
 def _shingle_sets(docs: DataFrame, n_docs: int) -> DataFrame:
-    """`node` with its shingles, sorted, and their weights."""
+    """`node` with its shingles, sorted, and their weights, the least weight and the parities."""
+    names = [f"p{k}" for k in range(PARITY)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,43 +226,51 @@ def _shingle_sets(docs: DataFrame, n_docs: int) -> DataFrame:
             for i, j in batches_of(rows, _BLOCK):
                 row, found, count = _shingles(data[rows[i] : rows[j]], rows[i : j + 1] - rows[i])
                 df = np.concatenate([_unpacked(x) for x in batch.column("_df").slice(i, j - i).to_pylist()])
-                size = np.bincount(row, minlength=j - i)
+                size, w = np.bincount(row, minlength=j - i), weights(count, df, n_docs).astype(np.float32)
+                least, parity = np.full(j - i, np.inf, dtype=np.float32), parities(row, found, j - i).view(np.int64)
+                np.minimum.at(least, row, w)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("node").slice(i, j - i), lists(found.view(np.int64), size, pa.int64()),
-                     lists(weights(count, df, n_docs).astype(np.float32), size, pa.float32())], names=["node", "s", "w"])
+                    [batch.column("node").slice(i, j - i), lists(found.view(np.int64), size, pa.int64()), lists(w, size, pa.float32()),
+                     pa.array(least), *[pa.array(parity[:, k]) for k in range(PARITY)]], names=["node", "s", "w", "least", *names])
 
-    return docs.select("node", "text", "_df").mapInArrow(run, "node long, s array<long>, w array<float>")
+    return docs.select("node", "text", "_df").mapInArrow(run, f"node long, s array<long>, w array<float>, least float, {', '.join(f'{c} long' for c in names)}")
 
 
 _COMPARED = (
-    T.StructType().add("like", "double").add("common", "double").add("weight", "double").add("other", "double")
+    T.StructType().add("a", "long").add("b", "long")
+    .add("like", "double").add("common", "double").add("weight", "double").add("other", "double")
     .add("outside", T.ArrayType(T.LongType())).add("excess", T.ArrayType(T.FloatType()))
 )
 
 
-@F.arrow_udf(_COMPARED)
-def _similarity(columns: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-    """Weighted Jaccard similarity (smaller weights over larger ones), both weights, what the first has beyond the second."""
-    for sa, wa, sb, wb in columns:
+def _similarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Weighted Jaccard similarity of a and b (smaller weights over larger ones), both weights, what the first has beyond the second.
+
+    About COMPARED shingles of a batch are answered at a time.
+    """
+    for batch in batches:
+        sa, wa, sb, wb = [batch.column(c) for c in ("sa", "wa", "sb", "wb")]
         edge = [x.offsets.to_numpy() for x in (sa, sb)]
         flat = [x.values.to_numpy(zero_copy_only=False) for x in (sa, wa, sb, wb)]
-        out, alone, excess, n_alone = np.zeros((len(sa), 4)), [np.zeros(0, np.uint64)], [np.zeros(0)], []
-        for k in range(len(sa)):
-            x, y = slice(edge[0][k], edge[0][k + 1]), slice(edge[1][k], edge[1][k + 1])
-            a, b = flat[0][x].view(np.uint64), flat[2][y].view(np.uint64)
-            u, v = flat[1][x].astype(np.float64), flat[3][y].astype(np.float64)
-            at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-            hit = b[at] == a
-            common = np.minimum(u[hit], v[at[hit]]).sum()
-            out[k] = common / (u.sum() + v.sum() - common), common, u.sum(), v.sum()
-            beyond = np.where(hit, u - v[at], u)
-            more = beyond > 0
-            alone.append(a[more])
-            excess.append(beyond[more])
-            n_alone.append(int(more.sum()))
-        yield pa.StructArray.from_arrays(
-            [*(pa.array(out[:, c]) for c in range(4)), lists(np.concatenate(alone).view(np.int64), np.array(n_alone, dtype=np.int64), pa.int64()),
-             lists(np.concatenate(excess).astype(np.float32), np.array(n_alone, dtype=np.int64), pa.float32())], names=_COMPARED.names)
+        for i, j in batches_of(edge[0] + edge[1], COMPARED):
+            out, alone, excess, n_alone = np.zeros((j - i, 4)), [np.zeros(0, np.uint64)], [np.zeros(0)], []
+            for k in range(i, j):
+                x, y = slice(edge[0][k], edge[0][k + 1]), slice(edge[1][k], edge[1][k + 1])
+                a, b = flat[0][x].view(np.uint64), flat[2][y].view(np.uint64)
+                u, v = flat[1][x].astype(np.float64), flat[3][y].astype(np.float64)
+                at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+                hit = b[at] == a
+                common = np.minimum(u[hit], v[at[hit]]).sum()
+                out[k - i] = common / (u.sum() + v.sum() - common), common, u.sum(), v.sum()
+                beyond = np.where(hit, u - v[at], u)
+                more = beyond > 0
+                alone.append(a[more])
+                excess.append(beyond[more])
+                n_alone.append(int(more.sum()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a").slice(i, j - i), batch.column("b").slice(i, j - i), *(pa.array(out[:, c]) for c in range(4)),
+                 lists(np.concatenate(alone).view(np.int64), np.array(n_alone, dtype=np.int64), pa.int64()),
+                 lists(np.concatenate(excess).astype(np.float32), np.array(n_alone, dtype=np.int64), pa.float32())], names=_COMPARED.names)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -259,8 +285,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id"
     does not reach with the best among themselves. Where the links found so leave a centre's members
     in several parts, two members of different parts are compared if their weights let what both have
     in common with the centre reach the threshold, or else if they share one of the rarest shingles
-    they have beyond it, as many as cover what the centre cannot give: any other pair is below the
-    threshold. So no link between parts is lost, and pairs within a part, which grow with the square
+    they have beyond it, as many as cover what the centre cannot give, and if the parities of their
+    shingles do not show that they differ in too many: any other pair is below the threshold. So no link between parts is lost, and pairs within a part, which grow with the square
     of a group of copies, are never listed.
     """
     slim = docs.select(*[c.alias(n) for n, c in doc_keys(docs, key, text).items()], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
@@ -281,10 +307,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id"
     sets = written(_shingle_sets(one_text.join(df, "node"), n_docs))
 
     def compared(pairs: DataFrame) -> DataFrame:
-        a = sets.select(F.col("node").alias("a"), F.col("s").alias("_sa"), F.col("w").alias("_wa"))
-        b = sets.select(F.col("node").alias("b"), F.col("s").alias("_sb"), F.col("w").alias("_wb"))
+        a = sets.select(F.col("node").alias("a"), F.col("s").alias("sa"), F.col("w").alias("wa"))
+        b = sets.select(F.col("node").alias("b"), F.col("s").alias("sb"), F.col("w").alias("wb"))
         # Written first, so that few pairs are sent to the sets and not the sets to them.
-        return written(pairs).join(b, "b").join(a, "a").select("a", "b", _similarity("_sa", "_wa", "_sb", "_wb").alias("_c")).select("a", "b", "_c.*")
+        return written(pairs).join(b, "b").join(a, "a").select("a", "b", "sa", "wa", "sb", "wb").mapInArrow(_similarity, _COMPARED)
 
     def parted(frame: DataFrame, parts: DataFrame, node: str, name: str) -> DataFrame:
         """`frame` with the part of a node: its component so far, or the node itself."""
@@ -303,16 +329,19 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id"
     own = first.select(F.col("b").alias("centre"), F.col("b").alias("node"), F.col("other").alias("common"), F.col("other").alias("weight"), F.lit(None).cast("array<long>").alias("outside"), F.lit(None).cast("array<float>").alias("excess")).dropDuplicates(["centre"])
     members = parted(first.select(F.col("b").alias("centre"), F.col("a").alias("node"), "common", "weight", "outside", "excess").unionByName(own), parts, "node", "part")
     several = members.groupBy("centre").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p != q").select("centre")
-    members = written(members.join(several, "centre", "left_semi"))
+    marks = ["least", *[f"p{k}" for k in range(PARITY)]]
+    members = written(members.join(several, "centre", "left_semi").join(sets.select("node", *marks), "node"))
     share = threshold / (1 + threshold) * (1 - 1e-6)  # of both weights, what a pair at the threshold has in common
 
     def side(frame: DataFrame, which: str, *keys: str) -> DataFrame:
-        return frame.select(*keys, *[F.col(c).alias(f"{c}_{which}") for c in ("node", "common", "weight", "part")])
+        return frame.select(*keys, *[F.col(c).alias(f"{c}_{which}") for c in ("node", "common", "weight", "part", *marks)])
 
     within = F.least("common_x", "common_y")
     beside = F.least(F.col("weight_x") - F.col("common_x"), F.col("weight_y") - F.col("common_y"))
     needed = (F.col("weight_x") + F.col("weight_y")) * F.lit(share)
-    apart = F.col("part_x") < F.col("part_y")
+    # Both weigh at least this much more than what they have in common: the shingles in only one of them.
+    differ = sum(F.bit_count(F.col(f"{c}_x").bitwiseXOR(F.col(f"{c}_y"))) for c in marks[1:]) * F.least("least_x", "least_y")
+    apart = (F.col("part_x") < F.col("part_y")) & (differ <= (F.col("weight_x") + F.col("weight_y")) * F.lit(1 - 2 * share))
     by_centre = side(members, "x", "centre").join(side(members, "y", "centre"), "centre").where(apart & (within >= needed))
     # Any pair at the threshold has in common at least `threshold` of either weight; what the centre
     # cannot give must come from beyond it. So the rarest shingles beyond it are enough, up to that rest.
@@ -323,7 +352,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id"
     rest = F.lit(threshold * (1 - 1e-6)) * F.col("weight") - F.col("common")
     shown = lone.join(seen, ["centre", "shingle"]).withColumn("ahead", F.sum("excess").over(rarest)).where((F.col("ahead") >= rest) & (F.col("n") > 1))
     met = shown.groupBy("centre", "shingle").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p != q").select("centre", "shingle")
-    shown = shown.join(met, ["centre", "shingle"], "left_semi")
+    shown = written(shown.join(met, ["centre", "shingle"], "left_semi").join(sets.select("node", *marks), "node"))
     by_shingle = side(shown, "x", "centre", "shingle").join(side(shown, "y", "centre", "shingle"), ["centre", "shingle"]).where(apart & (within + beside >= needed))
     asked = by_centre.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).unionByName(by_shingle.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")))
     third = compared(asked.distinct()).where(F.col("like") >= threshold).select("a", "b")
