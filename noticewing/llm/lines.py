@@ -340,11 +340,13 @@ def _compared_in_groups(members: DataFrame, firsts: DataFrame, gone: DataFrame,
     places = (F.greatest("i_x", "i_y") >= 255) | ((F.least(n - i, m - j) + F.least(i, j)) * (tn + td) >= tn * (n + m))
     apart = sum(F.bit_count(F.col(f"{c}_x").bitwiseXOR(F.col(f"{c}_y"))) for c in ("b0", "b1")).cast("long")
     fair = (F.col("first_y") < F.col("first_x")) & ((F.greatest("n_x", "n_y") >= 65535) | (lengths & places)) & (apart * (tn + td) <= (td - tn) * (size + other))
+    release(members.sparkSession)
     open_, every = side(placed.where("gone is null").drop("gone"), "x"), side(placed.drop("gone"), "y")
     some = written(open_.join(every, (open_["key"] == every["key"]) & fair, "left_semi"))
     fits = every.join(some, (every["key"] == some["key"]) & fair, "left_semi")
     later = written(some.join(sets.select(F.col("_sig").alias("sig_x"), F.col("_tokens").alias("tokens_x")), "sig_x"))
     earlier = written(fits.join(sets.select(F.col("_sig").alias("sig_y"), F.col("_tokens").alias("tokens_y")), "sig_y"))
+    release(members.sparkSession)
     both = F.size(F.array_intersect("tokens_x", "tokens_y")).cast("long")
     alike = both * (tn + td) >= tn * (F.size("tokens_x") + F.size("tokens_y")).cast("long")
     return later.join(earlier, (later["key"] == earlier["key"]) & fair & alike, "left_semi").select(F.col("sig_x").alias("_sig"))
@@ -373,6 +375,7 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id",
     firsts = written(lines.groupBy("_sig").agg(F.min(place).alias("_first"), F.max("_n").alias("_n"), F.max("_b0").alias("_b0"), F.max("_b1").alias("_b1")))
     if size is None:
         return lines.select("_id", "_h", "_line").where("false")
+    release(spark)
     n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // TEXT_PER_PARTITION))
     met = written(_meet(_keys(slim, frequent_tokens(read), t, n_parts, int(low), max(1, int(high) - int(low))), t, n_parts))
 
@@ -388,6 +391,7 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id",
 
     release(spark)
     first_pairs = written(ordered(met.where("kind = 0").select("sig", "other")))
+    release(spark)
     named = first_pairs.select(F.col("later").alias("sig")).unionByName(first_pairs.select(F.col("earlier").alias("sig"))).unionByName(
         met.where("kind = 1").select("sig")).distinct()
     homes = firsts.join(named.withColumnRenamed("sig", "_sig"), "_sig", "left_semi").select("_sig", "_first.*")
@@ -402,6 +406,7 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id",
     release(spark)
     gone_too = _compared_in_groups(met.where("kind = 1").select("key", "sig", "n", "i"), firsts, gone, sets, t)
     removed = written(gone.unionByName(gone_too).distinct().withColumn("_gone", F.lit(True)))
+    release(spark)
     marked = firsts.join(removed, "_sig", "left")
     return (
         lines.join(marked, "_sig").where((F.col("_first") != place) | F.col("_gone")).select("_id", "_h", "_line").distinct()
