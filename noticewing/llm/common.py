@@ -11,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticewing.plans.storage import written
+from noticewing.plans.storage import bucketed, written
 
-__all__ = ["free_name", "hash64", "read_table", "release", "uniform", "without", "written"]
+__all__ = ["bucketed", "free_name", "hash64", "read_table", "release", "uniform", "without", "written"]
 
 #: bytes of text hashed at once, so that the arrays beside it stay small
 BLOCK = 1 << 18

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from noticewing.llm.common import (
-    batches_of, hash64, lists, mixed, ranges, release, text_bytes, word_hashes, word_spans, written,
+    batches_of, bucketed, hash64, lists, mixed, ranges, release, text_bytes, word_hashes, word_spans, written,
 )
 
 #: share of all lines from which on a token's frequency is counted; rarer tokens rank as equally rare
@@ -47,24 +47,28 @@ def _token_sets(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, ...]:
     line_no = np.arange(len(cuts)) - np.searchsorted(line_row, line_row)
     starts, ends, _ = word_spans(data, rows)
     tokens = word_hashes(data, starts, ends)
-    line = np.searchsorted(cuts, starts, side="right") - 1
+    line = np.repeat(np.arange(len(cuts)), np.diff(np.append(np.searchsorted(starts, cuts), len(starts))))
     with np.errstate(over="ignore"):
         both = mixed(tokens ^ (line.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
     by = np.argsort(both)
     new = np.ones(len(by), dtype=bool)
     new[1:] = both[by[1:]] != both[by[:-1]]
-    one = np.sort(by[new])  # one place of every (line, token), in the order of lines
+    one = np.zeros(len(by), dtype=bool)
+    one[by[new]] = True  # one place of every (line, token), in the order of lines
     return line_row, line_no, line[one], tokens[one]
 
 
 def _signatures(n_lines: int, line: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of each line's token set, and its size."""
     size = np.bincount(line, minlength=n_lines)
+    some = size > 0
+    first = (np.cumsum(size) - size)[some]
     with np.errstate(over="ignore"):
         total = np.zeros(n_lines, dtype=np.uint64)
         other = np.zeros(n_lines, dtype=np.uint64)
-        np.add.at(total, line, mixed(tokens + np.uint64(1)))
-        np.add.at(other, line, mixed(tokens ^ np.uint64(0x5851F42D4C957F2D)))
+        if len(tokens):
+            total[some] = np.add.reduceat(mixed(tokens + np.uint64(1)), first)
+            other[some] = np.add.reduceat(mixed(tokens ^ np.uint64(0x5851F42D4C957F2D)), first)
         return mixed(total ^ mixed(other + size.astype(np.uint64))), size
 
 
@@ -97,14 +101,15 @@ class FrequentCounts:
 
     def add(self, tokens: np.ndarray, lines: int) -> None:
         new, n = np.unique(tokens, return_counts=True)
-        self.token, at = np.unique(np.concatenate((self.token, new)), return_inverse=True)
-        held, now = at[: len(self.n)], at[len(self.n) :]
-        total, missed = np.zeros(len(self.token), np.int64), np.full(len(self.token), self.share * self.lines)
-        total[held], missed[held] = self.n, self.missed
-        total[now] += n
+        at = np.searchsorted(self.token, new)
+        held = np.append(self.token, np.uint64(0))[at] == new
+        held &= at < len(self.token)
+        self.n[at[held]] += n[held]
+        at, new, n = at[~held], new[~held], n[~held]
+        token, total, missed = np.insert(self.token, at, new), np.insert(self.n, at, n), np.insert(self.missed, at, self.share * self.lines)
         self.lines += lines
         stay = total + missed >= self.share * self.lines
-        self.token, self.n, self.missed = self.token[stay], total[stay], missed[stay]
+        self.token, self.n, self.missed = token[stay], total[stay], missed[stay]
 
 
 def _read(docs: DataFrame) -> DataFrame:
@@ -168,6 +173,18 @@ def pair_prefix(n: np.ndarray, threshold: Fraction) -> np.ndarray:
     return np.minimum((n * slope.numerator) // slope.denominator + 2, n)
 
 
+def _places(often: np.ndarray, edge: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Where tokens are in `often`, if they are; `edge` is where each value of their highest 18 bits begins."""
+    last = len(often) - 1
+    at = np.minimum(edge[tokens >> np.uint64(46)], last)
+    left = np.flatnonzero((often[at] < tokens) & (at < last))
+    while len(left):
+        at[left] += 1
+        now = at[left]
+        left = left[(often[now] < tokens[left]) & (now < last)]
+    return at
+
+
 def _keys(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], threshold: Fraction, n_parts: int, low: int, span: int) -> DataFrame:
     """Blobs of (key, signature, size, position, order) by partition, lines of a chunk collapsed first.
 
@@ -179,6 +196,7 @@ def _keys(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], threshold: F
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, count = shared.value
+        edge = np.searchsorted(often, np.arange(1 << 18, dtype=np.uint64) << np.uint64(46))
         for data, rows, part in _chunks(batches, 1 << 22):  # fewer lines than 2^22
             line_row, _, line, tokens = _token_sets(data, rows)
             sig, size = _signatures(len(line_row), line, tokens)
@@ -193,29 +211,26 @@ def _keys(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], threshold: F
             line, tokens = line[keep], tokens[keep]
             rank = np.zeros(len(tokens), dtype=np.uint64)
             if len(often):
-                at = np.minimum(np.searchsorted(often, tokens), len(often) - 1)
+                at = _places(often, edge, tokens)
                 rank = np.where(often[at] == tokens, count[at] + np.uint64(1), np.uint64(0))
             # Lines in order, in each the rarest first, equal ranks by hash: 22, 10 and 32 bits.
             by = np.argsort(line.astype(np.uint64) << np.uint64(42) | rank << np.uint64(32) | tokens >> np.uint64(32))
             line, tokens = line[by], tokens[by]
-            start = np.searchsorted(line, line)
-            place = np.arange(len(line)) - start
+            many = np.bincount(line, minlength=len(sig))
+            place = np.arange(len(line)) - (np.cumsum(many) - many)[line]
             with np.errstate(over="ignore"):
                 pair = mixed(tokens[:-1] * np.uint64(0x9E3779B97F4A7C15) + tokens[1:]) if len(tokens) else tokens
             show = (line[:-1] == line[1:]) & (place[1:] < pair_prefix(size[line[:-1]], threshold)) if len(tokens) else np.zeros(0, bool)
             at = np.flatnonzero(show)
             pair, line, place = pair[at], line[at], place[at]
             part_no = (pair >> np.uint64(32)) % np.uint64(n_parts)
-            entry = np.zeros(len(at), dtype=ENTRY)
+            by = np.argsort(part_no << np.uint64(32) | pair & np.uint64(0xFFFFFFFF))
+            pair, line, place, part_no = pair[by], line[by], place[by], part_no[by]
+            entry = np.zeros(len(by), dtype=ENTRY)
             entry["key"], entry["sig"], entry["order"] = pair & np.uint64(0xFFFFFFFF), sig[line], order[line]
             entry["n"], entry["i"] = np.minimum(size[line], 65535), np.minimum(place, 255)
-            by = np.argsort(part_no, kind="stable")
-            entry, part_no = entry[by], part_no[by]
-            some, edge = np.unique(part_no, return_index=True)
-            cuts = np.append(edge, len(entry))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(some.astype(np.int32)), pa.array([entry[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], type=pa.binary())],
-                names=["part", "blob"])
+            some, cuts = np.unique(part_no, return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), _blobs(entry, np.append(cuts, len(entry)))], names=["part", "blob"])
 
     return docs.select("_id", "text").mapInArrow(run, "part int, blob binary")
 
@@ -226,6 +241,31 @@ ENTRY = np.dtype([("key", "<u4"), ("sig", "<u8"), ("order", "<u2"), ("n", "<u2")
 _SHARED = "kind int, key long, sig long, other long, n int, i int, m int, j int"
 
 
+def _blobs(entry: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Entries between cuts, by key, as binary values: keys as differences, first bytes of all, second bytes of all and so on.
+
+    Bytes that say little stand together so and cost little, however few entries of a line are in one part.
+    """
+    entry = entry.copy()
+    step = np.diff(entry["key"], prepend=np.uint32(0))
+    step[cuts[:-1]] = entry["key"][cuts[:-1]]
+    entry["key"] = step
+    n, width = np.repeat(np.diff(cuts), np.diff(cuts)), ENTRY.itemsize
+    start = np.repeat(cuts[:-1], np.diff(cuts))
+    at, flat, out = start * (width - 1) + np.arange(len(entry)), entry.view(np.uint8).reshape(-1, width), np.empty(len(entry) * width, np.uint8)
+    for k in range(width):
+        out[at + k * n] = flat[:, k]
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * width).astype(np.int32)), pa.py_buffer(out)])
+
+
+def _entries(blob: pa.Buffer) -> np.ndarray:
+    """What `_blobs` made a value of."""
+    flat = np.frombuffer(blob, dtype=np.uint8).reshape(ENTRY.itemsize, -1)
+    entry = flat.T.copy("C").view(ENTRY)[:, 0]
+    entry["key"] = np.cumsum(entry["key"], dtype=np.uint32)
+    return entry
+
+
 def filtered(n: np.ndarray, i: np.ndarray, m: np.ndarray, j: np.ndarray, t: Fraction) -> np.ndarray:
     """Length and positional filter for sets of n and m tokens whose i-th and j-th are a common pair.
 
@@ -248,15 +288,18 @@ def _meet(blobs: DataFrame, t: Fraction, n_parts: int) -> DataFrame:
         by_part: dict[int, list[np.ndarray]] = {}
         for batch in batches:
             for p, blob in zip(batch.column("part").to_pylist(), batch.column("blob")):
-                by_part.setdefault(p, []).append(np.frombuffer(blob.as_buffer(), dtype=ENTRY))
+                by_part.setdefault(p, []).append(_entries(blob.as_buffer()))
         for p in sorted(by_part):
             e = np.concatenate(by_part.pop(p))
+            by = np.argsort(e["key"])
+            again = np.append(False, np.diff(e["key"][by]) == 0)
+            e = e[by[again | np.append(again[1:], False)]]  # keys shown once, most of them, are done
             e = e[np.lexsort((e["order"], e["sig"], e["key"]))]
             first = np.ones(len(e), dtype=bool)  # a line whose chunks all sent it: the earliest counts
             first[1:] = (e["key"][1:] != e["key"][:-1]) | (e["sig"][1:] != e["sig"][:-1])
             e = e[first]
             e = e[np.lexsort((e["sig"], e["order"], e["key"]))]
-            start = np.flatnonzero(np.append(True, e["key"][1:] != e["key"][:-1]))
+            start = np.flatnonzero(np.append(len(e) > 0, e["key"][1:] != e["key"][:-1]))
             size = np.diff(np.append(start, len(e)))
             for pick, steps in (((size >= 2) & (size <= SMALL), range(1, SMALL)), (size > SMALL, None)):
                 at, g = start[pick], size[pick]
@@ -321,35 +364,51 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
     )
 
 
-def _compared_in_groups(members: DataFrame, firsts: DataFrame, gone: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
-    """Signatures, not gone yet, whose set has Jaccard similarity t or more with an earlier member's of a group.
+class _Groups:
+    """Members of large groups, compared with every earlier member of theirs.
 
     A line goes for one such member however many there are, so members are semi-joined and no pair of
     a group becomes a row: lines whom no earlier member fits by lengths, positions and bitmaps are
-    let go first, then members that fit none of the others, and what is left compares its sets.
+    let go first, then members that fit none of the others. Only what is left has its set made.
     """
-    tn, td = F.lit(t.numerator), F.lit(t.denominator)
-    known = firsts.select(F.col("_sig").alias("sig"), F.col("_first").alias("first"), F.col("_n").alias("size"), F.col("_b0").alias("b0"), F.col("_b1").alias("b1"))
-    placed = written(members.join(known, "sig").join(gone.select(F.col("_sig").alias("sig"), F.lit(True).alias("gone")), "sig", "left"))
 
-    def side(frame: DataFrame, which: str) -> DataFrame:
+    def __init__(self, members: DataFrame, firsts: DataFrame, t: Fraction):
+        self.tn, self.td = F.lit(t.numerator), F.lit(t.denominator)
+        known = firsts.select(F.col("_sig").alias("sig"), F.col("_first").alias("first"), F.col("_n").alias("size"), F.col("_b0").alias("b0"), F.col("_b1").alias("b1"))
+        placed = written(members.join(known, "sig"))
+        release(members.sparkSession)
+        every = self._side(placed, "y")
+        self.some = written(self._fitting(self._side(placed, "x"), every))
+        self.fits = written(self._fitting(every, self.some))
+
+    @staticmethod
+    def _side(frame: DataFrame, which: str) -> DataFrame:
         return frame.select("key", *[F.col(c).alias(f"{c}_{which}") for c in frame.columns if c != "key"])
 
-    n, m, i, j, size, other = (F.col(c).cast("long") for c in ("n_x", "n_y", "i_x", "i_y", "size_x", "size_y"))
-    lengths = F.least(n, m) * td >= F.greatest(n, m) * tn
-    places = (F.greatest("i_x", "i_y") >= 255) | ((F.least(n - i, m - j) + F.least(i, j)) * (tn + td) >= tn * (n + m))
-    apart = sum(F.bit_count(F.col(f"{c}_x").bitwiseXOR(F.col(f"{c}_y"))) for c in ("b0", "b1")).cast("long")
-    fair = (F.col("first_y") < F.col("first_x")) & ((F.greatest("n_x", "n_y") >= 65535) | (lengths & places)) & (apart * (tn + td) <= (td - tn) * (size + other))
-    release(members.sparkSession)
-    open_, every = side(placed.where("gone is null").drop("gone"), "x"), side(placed.drop("gone"), "y")
-    some = written(open_.join(every, (open_["key"] == every["key"]) & fair, "left_semi"))
-    fits = every.join(some, (every["key"] == some["key"]) & fair, "left_semi")
-    later = written(some.join(sets.select(F.col("_sig").alias("sig_x"), F.col("_tokens").alias("tokens_x")), "sig_x"))
-    earlier = written(fits.join(sets.select(F.col("_sig").alias("sig_y"), F.col("_tokens").alias("tokens_y")), "sig_y"))
-    release(members.sparkSession)
-    both = F.size(F.array_intersect("tokens_x", "tokens_y")).cast("long")
-    alike = both * (tn + td) >= tn * (F.size("tokens_x") + F.size("tokens_y")).cast("long")
-    return later.join(earlier, (later["key"] == earlier["key"]) & fair & alike, "left_semi").select(F.col("sig_x").alias("_sig"))
+    def _fitting(self, left: DataFrame, right: DataFrame, also: Column | None = None) -> DataFrame:
+        """Rows of `left` for which a row of `right`, one of them later (x) and one earlier (y), may be similar enough."""
+        n, m, i, j, size, other = (F.col(c).cast("long") for c in ("n_x", "n_y", "i_x", "i_y", "size_x", "size_y"))
+        lengths = F.least(n, m) * self.td >= F.greatest(n, m) * self.tn
+        places = (F.greatest("i_x", "i_y") >= 255) | ((F.least(n - i, m - j) + F.least(i, j)) * (self.tn + self.td) >= self.tn * (n + m))
+        apart = sum(F.bit_count(F.col(f"{c}_x").bitwiseXOR(F.col(f"{c}_y"))) for c in ("b0", "b1")).cast("long")
+        fair = (F.col("first_y") < F.col("first_x")) & ((F.greatest("n_x", "n_y") >= 65535) | (lengths & places)) & (
+            apart * (self.tn + self.td) <= (self.td - self.tn) * (size + other))
+        return left.join(right, (left["key"] == right["key"]) & (fair if also is None else fair & also), "left_semi")
+
+    def sigs(self) -> DataFrame:
+        """Signatures whose sets `gone` may ask for; a line may be in several groups."""
+        return self.some.select(F.col("sig_x").alias("sig")).unionByName(self.fits.select(F.col("sig_y").alias("sig")))
+
+    def gone(self, gone: DataFrame, sets: DataFrame) -> DataFrame:
+        """Signatures, not gone yet, whose set has Jaccard similarity t or more with an earlier member's of a group."""
+        some = written(self.some.join(gone.select(F.col("_sig").alias("sig_x")), "sig_x", "left_anti"))
+        fits = self._fitting(self.fits, some)
+        later = written(some.join(sets.select(F.col("_sig").alias("sig_x"), F.col("_tokens").alias("tokens_x")), "sig_x"))
+        earlier = written(fits.join(sets.select(F.col("_sig").alias("sig_y"), F.col("_tokens").alias("tokens_y")), "sig_y"))
+        release(gone.sparkSession)
+        both = F.size(F.array_intersect("tokens_x", "tokens_y")).cast("long")
+        alike = both * (self.tn + self.td) >= self.tn * (F.size("tokens_x") + F.size("tokens_y")).cast("long")
+        return self._fitting(later, earlier, alike).select(F.col("sig_x").alias("_sig"))
 
 
 def removed_lines(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -372,7 +431,7 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id",
     read = written(_read(slim))
     lines = read.where("_kind = 0").drop("_kind")
     place = F.struct("_id", "_h", "_line")
-    firsts = written(lines.groupBy("_sig").agg(F.min(place).alias("_first"), F.max("_n").alias("_n"), F.max("_b0").alias("_b0"), F.max("_b1").alias("_b1")))
+    firsts = bucketed(lines.groupBy("_sig").agg(F.min(place).alias("_first"), F.max("_n").alias("_n"), F.max("_b0").alias("_b0"), F.max("_b1").alias("_b1")), "_sig")
     if size is None:
         return lines.select("_id", "_h", "_line").where("false")
     release(spark)
@@ -392,19 +451,23 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id",
     release(spark)
     first_pairs = written(ordered(met.where("kind = 0").select("sig", "other")))
     release(spark)
+    groups = _Groups(met.where("kind = 1").select("key", "sig", "n", "i"), firsts, t)
+    release(spark)
     named = first_pairs.select(F.col("later").alias("sig")).unionByName(first_pairs.select(F.col("earlier").alias("sig"))).unionByName(
-        met.where("kind = 1").select("sig")).distinct()
+        groups.sigs()).distinct()
     homes = firsts.join(named.withColumnRenamed("sig", "_sig"), "_sig", "left_semi").select("_sig", "_first.*")
     wanted = homes.groupBy("_id", "_h").agg(F.collect_list("_line").alias("_wanted"))
     # Dropped behind the join, where repeated rows are together already.
     sets = written(slim.join(wanted, ["_id", "_h"]).dropDuplicates(["_id", "_h"]).select(F.explode(_tokens_of("text", "_wanted")).alias("_t")).select(
         F.col("_t.sig").alias("_sig"), F.col("_t.tokens").alias("_tokens")))
 
+    release(spark)
+    sets = bucketed(sets, "_sig")
     release(spark)
     gone = written(_verified(first_pairs, sets, t).select(F.col("later").alias("_sig")).distinct())
 
     release(spark)
-    gone_too = _compared_in_groups(met.where("kind = 1").select("key", "sig", "n", "i"), firsts, gone, sets, t)
+    gone_too = groups.gone(gone, sets)
     removed = written(gone.unionByName(gone_too).distinct().withColumn("_gone", F.lit(True)))
     release(spark)
     marked = firsts.join(removed, "_sig", "left")
@@ -447,7 +510,7 @@ def line_report(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Per document row: doc_id, n_lines (line feeds and one more), n_removed, removed_lines in order."""
     gone = removed_lines(docs, threshold).groupBy("_id", "_h").agg(F.sort_array(F.collect_list("_line")).alias("removed_lines"))
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"), *[c.alias(n) for n, c in doc_keys(docs).items()])
+    rows = docs.select("doc_id", (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"), *[c.alias(n) for n, c in doc_keys(docs).items()])
     out = rows.join(gone, ["_id", "_h"], "left")
     removed = F.coalesce("removed_lines", F.array().cast("array<int>"))
     return out.select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed_lines"))

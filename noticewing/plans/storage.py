@@ -35,3 +35,17 @@ def written(df: DataFrame) -> DataFrame:
     path = scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, column: str) -> DataFrame:
+    """As `written`, with the rows dealt into as many buckets by `column` as shuffles have partitions.
+
+    Joins and groupings by that column read the buckets as they are and shuffle only what comes from
+    elsewhere. For columns whose values have few rows each: a bucket is one task's.
+    """
+    spark = df.sparkSession
+    name, n = f"noticewing_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, column).write.format("parquet").option("path", scratch(spark)).bucketBy(n, column).saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the catalog's entry: the files stay, and `out` knows them
+    return out
