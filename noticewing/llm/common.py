@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from noticewing.plans.storage import bucketed, written
 
-__all__ = ["bucketed", "free_name", "hash64", "read_table", "release", "uniform", "without", "written"]
+__all__ = ["bucketed", "free_name", "hash64", "likely", "read_table", "release", "uniform", "without", "written"]
 
 #: bytes of text hashed at once, so that the arrays beside it stay small
 BLOCK = 1 << 18
+#: bits of the bitmap by which `likely` tells rows apart: 8 MB
+MARKS = 1 << 26
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -54,6 +56,20 @@ def uniform(*cols: str | Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") / F.lit(float(1 << 53))
 
 
+def likely(rows: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
+    """Rows of `rows` whose keys a row of `wanted` has, and some others, so that a join behind it is sent fewer.
+
+    Hashes of the wanted keys are marked in a bitmap that is broadcast, of MARKS bits however many there
+    are: a share of the other rows passes, about as large as that of the bits that are marked.
+    """
+    place = F.pmod(hash64(*keys), F.lit(MARKS))
+    number, bit = F.bitmap_bucket_number(place), F.bitmap_bit_position(place)
+    marks = wanted.select(number.alias("_number"), bit.alias("_bit")).groupBy("_number").agg(F.bitmap_construct_agg("_bit").alias("_marks"))
+    byte = F.conv(F.hex(F.substring(F.col("_marks"), (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), (bit % 8).cast("int") + 1)) != 0
+    return rows.join(F.broadcast(marks), (number == F.col("_number")) & marked, "left_semi")
+
+
 # ---- words of Arrow text columns -------------------------------------------------------------
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from noticewing.llm.common import batches_of, lists, mixed, text_bytes, word_hashes, word_spans, written
+from noticewing.llm.common import batches_of, likely, lists, mixed, text_bytes, word_hashes, word_spans, written
 from noticewing.llm.graph import components
 from noticewing.llm.lines import doc_keys
 from noticewing.llm.repeats import _by_shard, _each_shard, _packed, _sql, _unpacked
@@ -302,8 +302,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id"
     centre = ranked.groupBy("key").agg(F.max(F.struct("degree", "node")).alias("_c")).select("key", F.col("_c.node").alias("centre"))
     centred = written(buckets.join(centre, "key").select("key", "node", "centre"))
 
-    one_text = slim.select(F.col("_h").alias("node"), "text").join(degree.select("node"), "node", "left_semi").dropDuplicates(["node"])
-    df = sketched.select(F.col("_h").alias("node"), "_df").join(degree.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    # Few documents share a bucket: most of the others stay where they are.
+    shared = buckets.select("node").distinct()
+    one_text = likely(slim.select(F.col("_h").alias("node"), "text"), shared, "node").join(shared, "node", "left_semi").dropDuplicates(["node"])
+    df = likely(sketched.select(F.col("_h").alias("node"), "_df"), shared, "node").join(shared, "node", "left_semi").dropDuplicates(["node"])
     sets = written(_shingle_sets(one_text.join(df, "node"), n_docs))
 
     def compared(pairs: DataFrame) -> DataFrame:
