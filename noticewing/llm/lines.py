@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from noticewing.llm.common import (
-    batches_of, bucketed, hash64, lists, mixed, ranges, release, text_bytes, word_hashes, word_spans, written,
+    batches_of, bucketed, hash64, likely, lists, mixed, ranges, release, text_bytes, word_hashes, word_spans, written,
 )
 
 #: share of all lines from which on a token's frequency is counted; rarer tokens rank as equally rare
@@ -375,7 +375,7 @@ class _Groups:
     def __init__(self, members: DataFrame, firsts: DataFrame, t: Fraction):
         self.tn, self.td = F.lit(t.numerator), F.lit(t.denominator)
         known = firsts.select(F.col("_sig").alias("sig"), F.col("_first").alias("first"), F.col("_n").alias("size"), F.col("_b0").alias("b0"), F.col("_b1").alias("b1"))
-        placed = written(members.join(known, "sig"))
+        placed = written(members.join(known.hint("shuffle_hash"), "sig"))
         release(members.sparkSession)
         every = self._side(placed, "y")
         self.some = written(self._fitting(self._side(placed, "x"), every))
@@ -444,7 +444,7 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id",
         b = firsts.select(F.col("_sig").alias("other"), F.col("_first").alias("_q"), *[F.col(c).alias(f"{c}_q") for c in ("_n", "_b0", "_b1")])
         apart = sum(F.bit_count(F.col(f"{c}_p").bitwiseXOR(F.col(f"{c}_q"))) for c in ("_b0", "_b1"))
         fair = apart.cast("long") * (t.denominator + t.numerator) <= (t.denominator - t.numerator) * (F.col("_n_p") + F.col("_n_q")).cast("long")
-        placed = pairs.distinct().join(a, "sig").join(b, "other").where(fair)
+        placed = pairs.distinct().join(a.hint("shuffle_hash"), "sig").join(b.hint("shuffle_hash"), "other").where(fair)
         swap = F.col("_p") < F.col("_q")
         return placed.select(F.when(swap, F.col("other")).otherwise(F.col("sig")).alias("later"), F.when(swap, F.col("sig")).otherwise(F.col("other")).alias("earlier"))
 
@@ -455,25 +455,22 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id",
     release(spark)
     named = first_pairs.select(F.col("later").alias("sig")).unionByName(first_pairs.select(F.col("earlier").alias("sig"))).unionByName(
         groups.sigs()).distinct()
-    homes = firsts.join(named.withColumnRenamed("sig", "_sig"), "_sig", "left_semi").select("_sig", "_first.*")
-    wanted = homes.groupBy("_id", "_h").agg(F.collect_list("_line").alias("_wanted"))
-    # Dropped behind the join, where repeated rows are together already.
-    sets = written(slim.join(wanted, ["_id", "_h"]).dropDuplicates(["_id", "_h"]).select(F.explode(_tokens_of("text", "_wanted")).alias("_t")).select(
-        F.col("_t.sig").alias("_sig"), F.col("_t.tokens").alias("_tokens")))
-
-    release(spark)
-    sets = bucketed(sets, "_sig")
+    homes = firsts.join(named.withColumnRenamed("sig", "_sig").hint("shuffle_hash"), "_sig", "left_semi").select("_first.*")
+    wanted = written(homes.groupBy("_id", "_h").agg(F.collect_list("_line").alias("_wanted")))
+    texts = likely(slim, wanted, "_id", "_h").join(wanted.hint("shuffle_hash"), ["_id", "_h"])
+    # Repeated rows give their lines again; texts would have to be sorted to find them earlier.
+    sets = texts.select(F.explode(_tokens_of("text", "_wanted")).alias("_t")).select(F.col("_t.sig").alias("_sig"), F.col("_t.tokens").alias("_tokens"))
+    sets = bucketed(sets.dropDuplicates(["_sig"]), "_sig")
     release(spark)
     gone = written(_verified(first_pairs, sets, t).select(F.col("later").alias("_sig")).distinct())
 
     release(spark)
     gone_too = groups.gone(gone, sets)
-    removed = written(gone.unionByName(gone_too).distinct().withColumn("_gone", F.lit(True)))
+    removed = written(gone.unionByName(gone_too).distinct())
     release(spark)
-    marked = firsts.join(removed, "_sig", "left")
-    return (
-        lines.join(marked, "_sig").where((F.col("_first") != place) | F.col("_gone")).select("_id", "_h", "_line").distinct()
-    )
+    # By places, of which there is one a line: by signature, a line that many documents have would be one task's.
+    stay = firsts.join(removed.hint("shuffle_hash"), "_sig", "left_anti").select("_first.*")
+    return lines.select("_id", "_h", "_line").join(stay.hint("shuffle_hash"), ["_id", "_h", "_line"], "left_anti").distinct()
 
 
 @F.arrow_udf(T.StringType())
