@@ -116,7 +116,8 @@ def _read(docs: DataFrame) -> DataFrame:
     """Lines with tokens (kind 0: document, number in it, signature, distinct tokens, bitmap) and token counts.
 
     Every task reports tokens in at least half of FREQUENT of its lines (kind 1: token as `_sig`, lines
-    as `_n`, at most that half too few) and how many lines it has (kind 2).
+    as `_n`, at most that half too few) and how many lines it has (kind 2, with the least and the
+    greatest document and the bytes of text as `_id`, `_h` and `_b0`).
     """
     names = ["_kind", "_id", "_h", "_line", "_sig", "_n", "_b0", "_b1"]
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
@@ -126,7 +127,10 @@ def _read(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = FrequentCounts(FREQUENT / 2)
+        low, high, n_bytes = (1 << 63) - 1, -(1 << 63), 0
         for data, rows, part in _chunks(batches):
+            ids = part.column("_id").to_numpy()
+            low, high, n_bytes = min(low, int(ids.min())), max(high, int(ids.max())), n_bytes + len(data)
             line_row, line_no, line, tokens = _token_sets(data, rows)
             counts.add(tokens, len(line_row))
             sig, size = _signatures(len(line_row), line, tokens)
@@ -139,8 +143,8 @@ def _read(docs: DataFrame) -> DataFrame:
         often = counts.n >= max(1.0, FREQUENT / 2 * counts.lines)
         none = np.zeros(int(often.sum()) + 1, dtype=np.int64)
         yield batch(
-            np.append(np.ones(len(none) - 1), 2), none, none, none, np.append(counts.token[often].view(np.int64), 0), np.append(counts.n[often], counts.lines),
-            none, none)
+            np.append(np.ones(len(none) - 1), 2), np.append(none[1:], low), np.append(none[1:], high), none, np.append(counts.token[often].view(np.int64), 0),
+            np.append(counts.n[often], counts.lines), np.append(none[1:], n_bytes), none)
 
     return docs.select("_id", "_h", "text").mapInArrow(run, "_kind int, _id long, _h long, _line int, _sig long, _n int, _b0 long, _b1 long")
 
@@ -412,7 +416,7 @@ class _Groups:
 
 
 def removed_lines(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Lines to remove: `_id`, `_h` (as `doc_keys` gives them) and `_line`, numbered from 0.
+    """Lines to remove: `_id`, `_h` (as `doc_keys` gives them) and `_line`, numbered from 0; repeated rows repeat theirs.
 
     Lines end at line feeds; tokens are their distinct words between ASCII white space. A line goes if
     an earlier line of the corpus, by (doc_id, text hash, line number), has Jaccard similarity
@@ -427,12 +431,12 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id",
     t = Fraction(threshold).limit_denominator(1000)
     spark = docs.sparkSession
     slim = docs.select(*[c.alias(n) for n, c in doc_keys(docs, key, text).items()], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    low, high, size = slim.agg(F.min("_id"), F.max("_id"), F.sum(F.length(F.col("text").cast("binary")))).first()
     read = written(_read(slim))
+    low, high, size = read.where("_kind = 2").agg(F.min("_id"), F.max("_h"), F.sum("_b0")).first()
     lines = read.where("_kind = 0").drop("_kind")
     place = F.struct("_id", "_h", "_line")
     firsts = bucketed(lines.groupBy("_sig").agg(F.min(place).alias("_first"), F.max("_n").alias("_n"), F.max("_b0").alias("_b0"), F.max("_b1").alias("_b1")), "_sig")
-    if size is None:
+    if size is None or low > high:
         return lines.select("_id", "_h", "_line").where("false")
     release(spark)
     n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // TEXT_PER_PARTITION))
@@ -470,7 +474,7 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id",
     release(spark)
     # By places, of which there is one a line: by signature, a line that many documents have would be one task's.
     stay = firsts.join(removed.hint("shuffle_hash"), "_sig", "left_anti").select("_first.*")
-    return lines.select("_id", "_h", "_line").join(stay.hint("shuffle_hash"), ["_id", "_h", "_line"], "left_anti").distinct()
+    return lines.select("_id", "_h", "_line").join(stay.hint("shuffle_hash"), ["_id", "_h", "_line"], "left_anti")
 
 
 @F.arrow_udf(T.StringType())
@@ -490,7 +494,7 @@ def deduped(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text:
 
     Every row stays: a document whose lines all go keeps an empty text. Null texts stay null.
     """
-    gone = removed_lines(docs, threshold, key, text).groupBy("_id", "_h").agg(F.collect_list("_line").alias("_gone"))
+    gone = removed_lines(docs, threshold, key, text).groupBy("_id", "_h").agg(F.collect_set("_line").alias("_gone"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     both = docs.select(row.alias("_row"), *[c.alias(n) for n, c in doc_keys(docs, key, text).items()]).join(gone, ["_id", "_h"], "left")
     new = F.when(F.col("_gone").isNull(), F.col(f"_row.`{text}`")).otherwise(_kept(F.col(f"_row.`{text}`"), F.coalesce("_gone", F.array().cast("array<int>"))))
@@ -505,7 +509,7 @@ def deduped(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text:
 
 def line_report(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Per document row: doc_id, n_lines (line feeds and one more), n_removed, removed_lines in order."""
-    gone = removed_lines(docs, threshold).groupBy("_id", "_h").agg(F.sort_array(F.collect_list("_line")).alias("removed_lines"))
+    gone = removed_lines(docs, threshold).groupBy("_id", "_h").agg(F.sort_array(F.collect_set("_line")).alias("removed_lines"))
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"), *[c.alias(n) for n, c in doc_keys(docs).items()])
     out = rows.join(gone, ["_id", "_h"], "left")
