@@ -143,18 +143,23 @@ class CentroidGraph:
         """Centroids reached from `ids` and their squared distances to every row."""
         seen = np.zeros(len(self.centroids), dtype=bool)
         seen[ids] = True
-        d, opened = _squared(x, self.centroids[ids]), np.zeros(len(ids), dtype=bool)
+        d, opened, edge = _squared(x, self.centroids[ids]), np.zeros(len(ids), dtype=bool), np.inf
         while True:
             if len(ids) > width:  # what is in no row's beam now will not be later
-                inside = (d <= np.partition(d, width - 1, axis=1)[:, width - 1 : width]).any(axis=0)
+                edge = np.partition(d, width - 1, axis=1)[:, width - 1 : width]
+                inside = (d <= edge).any(axis=0)
                 ids, d, opened = ids[inside], d[:, inside], opened[inside]
             if opened.all():
                 return ids, d
-            new = np.unique(self.near[ids[~opened]])
-            new = new[(new >= 0) & ~seen[new]]
+            reached = np.zeros(len(seen), dtype=bool)
+            new = self.near[ids[~opened]]
+            reached[new[new >= 0]] = True
+            new = np.flatnonzero(reached & ~seen)
             seen[new] = True
-            opened = np.concatenate((np.ones(len(ids), dtype=bool), np.zeros(len(new), dtype=bool)))
-            ids, d = np.concatenate((ids, new)), np.concatenate((d, _squared(x, self.centroids[new])), axis=1)
+            more = _squared(x, self.centroids[new])
+            inside = (more <= edge).any(axis=0)
+            opened = np.concatenate((np.ones(len(ids), dtype=bool), np.zeros(int(inside.sum()), dtype=bool)))
+            ids, d = np.concatenate((ids, new[inside])), np.concatenate((d, more[:, inside]), axis=1)
 
 
 def _smallest(d: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
