@@ -132,8 +132,8 @@ class CentroidGraph:
         by = np.argsort(cell, kind="stable")
         cuts = np.searchsorted(cell[by], np.arange(len(self.cells) + 1))
         for c in np.flatnonzero(np.diff(cuts)):
-            for i in range(cuts[c], cuts[c + 1], 256):
-                rows = by[i : min(i + 256, cuts[c + 1])]
+            for i in range(cuts[c], cuts[c + 1], 64):
+                rows = by[i : min(i + 64, cuts[c + 1])]
                 ids, d = self._walk(x[rows], self.members(c), width)
                 at, d = _smallest(d, width)
                 found[rows, : at.shape[1]], dist[rows, : at.shape[1]] = ids[at], d
